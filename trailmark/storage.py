@@ -12,6 +12,7 @@ def local_session(cores: str | int = "*", app: str = "trailmark", **conf: str) -
     """A local session for tests and benchmarks; clusters bring their own."""
     settings = {
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.adaptive.enabled": "true",
