@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, functions as F
 
-# Prices are added as decimals: a float sum depends on the order in which
-# partitions are merged, which would make the last digit vary between runs.
-MONEY = "decimal(28,6)"
+# Sums of prices are kept as whole units and millionths in bigints: a sum of
+# doubles depends on the order in which partitions are merged, which would make
+# the last digit vary between runs. Values too large for that (or infinite) are
+# added as doubles on the side.
+LARGEST_EXACT = 9e15
+MILLIONTH = Decimal("0.000001")
 
 
 def round_to(value: Column, digits: int) -> Column:
@@ -20,27 +25,25 @@ def percent(part: Column, whole: Column, digits: int = 2) -> Column:
     return F.when(whole > 0, round_to(part / whole * F.lit(100.0), digits)).otherwise(F.lit(0.0))
 
 
-def money(value: Column) -> Column:
-    """The decimal part of an exact sum; null where no decimal fits the value."""
-    return value.try_cast(MONEY)
-
-
-def beyond_money(value: Column) -> Column:
-    """The values that fit no decimal (infinite or huge), to be added as doubles."""
-    return F.when(value.try_cast(MONEY).isNull(), value)
-
-
-def join_sums(decimals: Column, doubles: Column) -> Column:
-    """Put the two halves of an exact sum together; null when there were no values."""
-    exact = decimals.cast("double")
-    return F.when(doubles.isNull(), exact).otherwise(F.coalesce(exact, F.lit(0.0)) + doubles)
+def sum_parts(value: Column) -> dict[str, Column]:
+    """The three aggregates of an exact sum; they can be summed again level by level."""
+    small = F.abs(value) < LARGEST_EXACT
+    millionths = F.rint((value - F.floor(value)) * 1e6)
+    return {
+        "units": F.sum(F.when(small, F.floor(value))),
+        "millionths": F.sum(F.when(small, millionths).cast("bigint")),
+        "large": F.sum(F.when(~small, value)),
+    }
 
 
-def exact_sum(value: Column) -> Column:
-    """Aggregate: sum of doubles that does not depend on the order of rows."""
-    return join_sums(F.sum(money(value)), F.sum(beyond_money(value)))
+def sum_total(units: Column, millionths: Column, large: Column) -> Column:
+    """Put an exact sum together; null when there were no values."""
+    exact = (
+        units.cast("decimal(20,0)") + millionths.cast("decimal(20,0)") * F.lit(MILLIONTH)
+    ).cast("double")
+    return F.when(large.isNull(), exact).otherwise(F.coalesce(exact, F.lit(0.0)) + large)
 
 
 def exact_mean(value: Column) -> Column:
     """Aggregate: mean of the non-null values, independent of row order."""
-    return F.when(F.count(value) > 0, exact_sum(value) / F.count(value))
+    return F.when(F.count(value) > 0, sum_total(**sum_parts(value)) / F.count(value))

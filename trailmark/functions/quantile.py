@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Hour, second and microsecond when the values are microseconds. Each step
 # looks only inside the bucket the step before it has found, so no window sees
@@ -17,60 +17,66 @@ def quantile_neighbours(
     q: float,
     steps: tuple[int, ...] = MICROSECOND_STEPS,
 ) -> DataFrame:
-    """One row ``total, lower, upper, fraction`` around the ``q`` quantile.
+    """One row ``total, lower, upper, fraction, up_to_lower`` around the ``q`` quantile.
 
     ``values`` holds each distinct whole number with its count. The linear
-    quantile is ``lower + (upper - lower) * fraction``. No row for no values.
+    quantile is ``lower + (upper - lower) * fraction``; ``up_to_lower`` counts
+    the values that are not greater than ``lower``. No row for no values.
     """
 
     def bucket(step: int):
         return F.expr(f"`{value}` - pmod(`{value}`, {step}L)")
 
+    # The ranks of the two neighbours, then their buckets, finer step by step.
     in_order = Window.orderBy("bucket")
+    so_far = (Window.unboundedPreceding, Window.currentRow)
     everything = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     position = F.lit(q) * (F.col("total") - 1)
     lower_rank = F.floor(position)
-    found = (
+    found = _bucket_of_rank(
         values.groupBy(bucket(steps[0]).alias("bucket"))
         .agg(F.sum(weight).alias("n"))
         .select(
             "bucket",
             "n",
-            F.sum("n").over(in_order.rowsBetween(Window.unboundedPreceding, 0)).alias("up_to"),
+            F.sum("n").over(in_order.rowsBetween(*so_far)).alias("up_to"),
             F.sum("n").over(everything).alias("total"),
+            F.lit(0).cast("bigint").alias("before"),
         )
         .select(
-            "bucket",
-            "n",
-            "up_to",
-            "total",
+            "*",
             (position - lower_rank).alias("fraction"),
             F.posexplode(
                 F.array(lower_rank, F.least(lower_rank + 1, F.col("total") - 1))
             ).alias("side", "rank"),
         )
-        .where((F.col("rank") >= F.col("up_to") - F.col("n")) & (F.col("rank") < F.col("up_to")))
-        .withColumn("rank", F.col("rank") - (F.col("up_to") - F.col("n")))
-        .select("side", "rank", "total", "fraction", "bucket")
     )
-    carried = ["side", "rank", "total", "fraction"]
+    carried = ["side", "rank", "total", "fraction", "before"]
     for coarse, fine in zip(steps, steps[1:]):
-        within = Window.partitionBy("side").orderBy("bucket")
+        within = Window.partitionBy("side").orderBy("bucket").rowsBetween(*so_far)
         # `found` always has two rows, one per side.
         inside = values.withColumn("outer", bucket(coarse)).join(
-            F.broadcast(found.withColumnRenamed("bucket", "outer")), "outer"
+            F.broadcast(found.withColumnRenamed("bucket", "outer").drop("n")), "outer"
         )
-        found = (
+        found = _bucket_of_rank(
             inside.groupBy(*carried, bucket(fine).alias("bucket"))
             .agg(F.sum(weight).alias("n"))
-            .withColumn("up_to", F.sum("n").over(within.rowsBetween(Window.unboundedPreceding, 0)))
-            .where(
-                (F.col("rank") >= F.col("up_to") - F.col("n")) & (F.col("rank") < F.col("up_to"))
-            )
-            .withColumn("rank", F.col("rank") - (F.col("up_to") - F.col("n")))
-            .select(*carried, "bucket")
+            .withColumn("up_to", F.col("before") + F.sum("n").over(within))
         )
+
+    def on(side: int, column) -> Column:
+        return F.max(F.when(F.col("side") == side, column))
+
     return found.groupBy("total", "fraction").agg(
-        F.max(F.when(F.col("side") == 0, F.col("bucket"))).alias("lower"),
-        F.max(F.when(F.col("side") == 1, F.col("bucket"))).alias("upper"),
+        on(0, F.col("bucket")).alias("lower"),
+        on(1, F.col("bucket")).alias("upper"),
+        on(0, F.col("before") + F.col("n")).alias("up_to_lower"),
+    )
+
+
+def _bucket_of_rank(buckets: DataFrame) -> DataFrame:
+    """The buckets in which the ranks lie, with the number of values before them."""
+    before = F.col("up_to") - F.col("n")
+    return buckets.where((F.col("rank") >= before) & (F.col("rank") < F.col("up_to"))).select(
+        "side", "rank", "total", "fraction", before.alias("before"), "bucket", "n"
     )

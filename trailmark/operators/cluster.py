@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
@@ -15,6 +18,9 @@ FEATURES = [
     "total_purchases", "avg_price", "session_count",
 ]
 
+# A fit has converged when no centre moves further than this.
+CENTRE_SHIFT = 0.01
+
 
 def _available(segments: DataFrame) -> list[str]:
     return [name for name in FEATURES if name in segments.columns]
@@ -77,25 +83,26 @@ def cluster_users(
     vectors = VectorAssembler(inputCols=inputs, outputCol="features").transform(scaled)
     model = _best_fit(vectors, n_clusters, seed, starts)
     centres = [tuple(centre) for centre in model.clusterCenters()]
-    number = {old: new for new, old in enumerate(sorted(range(len(centres)), key=centres.__getitem__))}
-    renumbered = F.element_at(
-        F.array(*[F.lit(number[old]) for old in range(len(centres))]), F.col("prediction") + 1
-    )
+    by_centre = sorted(range(len(centres)), key=centres.__getitem__)
+    numbers = F.array(*[F.lit(by_centre.index(old)) for old in range(len(centres))])
+    renumbered = F.element_at(numbers, F.col("prediction") + 1)
     return model.transform(vectors).select(
         *segments.columns, renumbered.alias("cluster"), "pc1", "pc2"
     )
 
 
 def _best_fit(vectors: DataFrame, k: int, seed: int, starts: int) -> KMeansModel:
+    """The fit with the lowest cost; the fits run side by side on one cached table."""
     cached = vectors.select("features").persist()
+    kmeans = KMeans(k=k, maxIter=300, tol=CENTRE_SHIFT)
+    fits = kmeans.fitMultiple(cached, [{kmeans.seed: seed + i} for i in range(starts)])
     try:
-        fits = [
-            KMeans(k=k, seed=seed + start, maxIter=100, tol=1e-4).fit(cached)
-            for start in range(starts)
-        ]
+        with ThreadPool(starts) as pool:
+            task = inheritable_thread_target(vectors.sparkSession)(lambda _: next(fits)[1])
+            models = pool.map(task, range(starts))
     finally:
         cached.unpersist()
-    return min(fits, key=lambda fit: fit.summary.trainingCost)
+    return min(models, key=lambda model: model.summary.trainingCost)
 
 
 def cluster_summary(clustered: DataFrame) -> DataFrame:

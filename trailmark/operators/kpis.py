@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trailmark.functions import percent, round_to
-from trailmark.functions.numeric import join_sums
+from trailmark.functions.numeric import sum_total
 from trailmark.operators.rollups import user_counts
 from trailmark.params import PRODUCT_ID, USER_ID
 
@@ -36,7 +36,9 @@ def kpis_of_users(users: DataFrame, products: DataFrame) -> DataFrame:
     buyers = having(F.col("purchases") > 0)
     carters = having(F.col("carts") > 0)
     leavers = having((F.col("carts") > 0) & (F.col("purchases") == 0))
-    revenue = join_sums(F.sum("revenue_sum"), F.sum("revenue_rest"))
+    revenue = sum_total(
+        F.sum("revenue_units"), F.sum("revenue_millionths"), F.sum("revenue_large")
+    )
     paid = F.sum("revenue_count")
     return users.agg(
         F.coalesce(F.sum("events"), F.lit(0)).alias("total_events"),

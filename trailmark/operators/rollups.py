@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trailmark.functions import epoch_micros
-from trailmark.functions.numeric import beyond_money, join_sums, money
+from trailmark.functions.numeric import sum_parts, sum_total
 from trailmark.params import EVENT_TIME, EVENT_TYPE, PRICE, STAGE_RANK, USER_ID
 
 SUMS = [
     "events", "typed", "views", "carts", "purchases",
-    "price_sum", "price_rest", "price_count",
-    "revenue_sum", "revenue_rest", "revenue_count",
+    "price_units", "price_millionths", "price_large", "price_count",
+    "revenue_units", "revenue_millionths", "revenue_large", "revenue_count",
 ]
 COUNTS = [*SUMS, "stage_rank"]
 
@@ -33,7 +33,8 @@ def stage_rank() -> Column:
 
 def event_counts() -> list[Column]:
     """Aggregates over events: counts, price sums and the furthest funnel stage."""
-    kind, price = F.col(EVENT_TYPE), F.col(PRICE)
+    kind, price = F.col(EVENT_TYPE), F.col(PRICE).cast("double")
+    price = F.when(~F.isnan(price), price)
     paid = F.when(kind == "purchase", price)
     return [
         F.count("*").alias("events"),
@@ -41,11 +42,9 @@ def event_counts() -> list[Column]:
         F.count_if(kind == "view").alias("views"),
         F.count_if(kind == "cart").alias("carts"),
         F.count_if(kind == "purchase").alias("purchases"),
-        F.sum(money(price)).alias("price_sum"),
-        F.sum(beyond_money(price)).alias("price_rest"),
+        *[part.alias(f"price_{name}") for name, part in sum_parts(price).items()],
         F.count(price).alias("price_count"),
-        F.sum(money(paid)).alias("revenue_sum"),
-        F.sum(beyond_money(paid)).alias("revenue_rest"),
+        *[part.alias(f"revenue_{name}") for name, part in sum_parts(paid).items()],
         F.count(paid).alias("revenue_count"),
         F.max(stage_rank()).alias("stage_rank"),
     ]
@@ -63,11 +62,10 @@ def merged_counts() -> list[Column]:
     return [*sums, F.max("stage_rank").alias("stage_rank")]
 
 
-def mean_price(prefix: str = "price") -> Column:
+def mean_price() -> Column:
     """Mean of the prices in a rollup; null when there were none."""
-    count = F.col(f"{prefix}_count")
-    total = join_sums(F.col(f"{prefix}_sum"), F.col(f"{prefix}_rest"))
-    return F.when(count > 0, total / count)
+    total = sum_total(F.col("price_units"), F.col("price_millionths"), F.col("price_large"))
+    return F.when(F.col("price_count") > 0, total / F.col("price_count"))
 
 
 def user_counts(events: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from trailmark.params import (
     USER_ID,
     USER_SESSION,
 )
+from trailmark.storage import materialize
 
 # Fixed value: the one session of all events whose session is missing.
 MISSING_SESSION = "nan"
@@ -273,14 +274,10 @@ def length_distribution(summary: DataFrame) -> DataFrame:
 
 def length_p99(distribution: DataFrame, q: float = 0.99) -> DataFrame:
     """One row: sessions, the exact ``q`` quantile of minutes, sessions up to it."""
-    around = _quantile(distribution, q)
-    kept = distribution.where(F.col("duration_us") <= around.select("lower").scalar()).agg(
-        F.sum("sessions").alias("kept")
-    )
-    return around.select(
+    return _quantile(materialize(distribution, "lengths"), q).select(
         F.col("total").alias("sessions"),
         round_to(F.col("cap_min"), 4).alias("cap_min"),
-        kept.scalar().alias("sessions_kept"),
+        F.col("up_to_lower").alias("sessions_kept"),
     )
 
 
@@ -296,8 +293,10 @@ def length_histogram(distribution: DataFrame, bins: int = 50, q: float = 0.99) -
     """Equal bins over session minutes from the shortest to the ``q`` quantile.
 
     Longer sessions are left out, as in the chart this feeds. Bins without a
-    session are not listed.
+    session are not listed. The distribution is read several times, so it is
+    written down first.
     """
+    distribution = materialize(distribution, "lengths")
     bounds = (
         _quantile(distribution, q)
         .select(
