@@ -54,10 +54,10 @@ def test_shared_given_session_counts_its_whole_span_for_each_user(spark):
 
 def test_summaries(spark):
     table = segments.segment_users_by_session(segment_log(spark), 30, use_existing=False)
-    assert {r[0]: r[1] for r in rows(segments.segment_distribution(table))} == {
-        "Purchaser": 1,
-        "Cart Abandoner": 1,
-        "Browser": 1,
+    assert {r[0]: r[1:] for r in rows(segments.segment_distribution(table))} == {
+        "Purchaser": (1, 33.3),
+        "Cart Abandoner": (1, 33.3),
+        "Browser": (1, 33.3),
     }
     assert rows(segments.segment_summary(table))[2] == ("Purchaser", 1, 3.0, 1.0, 1.0, 1.0, 1.5, 5.0)
     assert rows(segments.segment_metrics(table))[2] == ("Purchaser", 3.0, 1.0, 1.5, 2.0)

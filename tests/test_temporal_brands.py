@@ -29,7 +29,12 @@ def test_time_patterns(spark):
     assert rows(temporal.purchases_by_hour(slots)) == [(5, 2), (7, 2)]
     assert rows(temporal.peak_purchase_time(slots)) == [(5, "Tue", "5:00")]
     assert temporal.daily_events(events).count() == 5
-    assert rows(temporal.event_distribution(events)) == [("odd", 1), ("purchase", 4), ("view", 1)]
+    assert rows(temporal.event_distribution(events)) == [
+        ("odd", 1, 16.7),
+        ("purchase", 4, 66.7),
+        ("view", 1, 16.7),
+    ]
+    assert rows(temporal.heatmap_labels(patterns.heatmap), "hour_label") == [("05:00",), ("07:00",)]
 
 
 def test_no_purchases_no_peak(spark):

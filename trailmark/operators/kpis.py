@@ -54,24 +54,44 @@ def kpis_of_users(users: DataFrame, products: DataFrame) -> DataFrame:
     )
 
 
+def _with_percent(name: str) -> Column:
+    return F.concat(F.col(name).cast("string"), F.lit("%"))
+
+
+def _dollars(name: str) -> Column:
+    return F.concat(F.lit("$"), F.format_number(name, 2))
+
+
+def _as_rows(kpis: DataFrame, texts: dict[str, Column]) -> DataFrame:
+    pairs = [
+        F.struct(F.lit(name).alias("Metric"), text.alias("Value")) for name, text in texts.items()
+    ]
+    return kpis.select(F.inline(F.array(*pairs)))
+
+
 def quick_stats(kpis: DataFrame) -> DataFrame:
     """Four figures as text, one per row."""
+    return _as_rows(
+        kpis,
+        {
+            "Avg Order Value": F.format_string("$%.2f", "avg_order_value"),
+            "Overall Conversion Rate": _with_percent("overall_conversion_rate"),
+            "Cart Abandonment Rate": _with_percent("cart_abandonment_rate"),
+            "Total Revenue": _dollars("total_revenue"),
+        },
+    )
+
 
-    def row(name: str, value: Column) -> Column:
-        return F.struct(F.lit(name).alias("Metric"), value.alias("Value"))
-
-    def with_percent(name: str) -> Column:
-        return F.concat(F.col(name).cast("string"), F.lit("%"))
-
-    return kpis.select(
-        F.inline(
-            F.array(
-                row("Avg Order Value", F.format_string("$%.2f", "avg_order_value")),
-                row("Overall Conversion Rate", with_percent("overall_conversion_rate")),
-                row("Cart Abandonment Rate", with_percent("cart_abandonment_rate")),
-                row(
-                    "Total Revenue", F.concat(F.lit("$"), F.format_number("total_revenue", 2))
-                ),
-            )
-        )
+def kpi_cards(kpis: DataFrame) -> DataFrame:
+    """The six headline figures as text, one per row."""
+    return _as_rows(
+        kpis,
+        {
+            "Total Events": F.format_number("total_events", 0),
+            "Unique Users": F.format_number("unique_users", 0),
+            "Unique Products": F.format_number("unique_products", 0),
+            "Total Revenue": _dollars("total_revenue"),
+            "Conversion Rate": _with_percent("overall_conversion_rate"),
+            "Cart Abandon Rate": _with_percent("cart_abandonment_rate"),
+        },
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trailmark.functions import exact_mean, round_to
+from trailmark.functions import exact_mean, percent, round_to
 from trailmark.operators.rollups import mean_price, user_counts, user_rollup
 from trailmark.operators.sessions import session_rollup, tagged_rollup
 from trailmark.params import (
@@ -64,11 +64,11 @@ def segment_users_by_session(
 
 
 def segment_distribution(segments: DataFrame) -> DataFrame:
-    """Users per segment, largest first."""
-    return (
-        segments.groupBy("segment")
-        .agg(F.count("*").alias("users"))
-        .orderBy(F.desc("users"), "segment")
+    """Users per segment, largest first, with their share in percent."""
+    counts = segments.groupBy("segment").agg(F.count("*").alias("users"))
+    total = counts.agg(F.sum("users")).scalar()
+    return counts.withColumn("share_pct", percent(F.col("users"), total, 1)).orderBy(
+        F.desc("users"), "segment"
     )
 
 

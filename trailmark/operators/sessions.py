@@ -100,16 +100,31 @@ def _given_id() -> Column:
     return F.coalesce(F.col(USER_SESSION).cast("string"), F.lit(MISSING_SESSION))
 
 
+def _join_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """Add ``span_us`` of the session to rows that carry a ``session_id``.
+
+    The hash as a second key says nothing new, but keeps the join from taking
+    over the partitions of the aggregation that made ``spans``. Both sides are
+    then plain shuffles, and only such a join can be broadcast by its real
+    size or be split when one session holds a large part of the rows.
+    """
+    keyed = spans.select(
+        F.col(SESSION_ID).alias("span_session"),
+        F.xxhash64(SESSION_ID).alias("span_hash"),
+        (F.col("end_us") - F.col("start_us")).alias("span_us"),
+    )
+    same = (F.col(SESSION_ID) == F.col("span_session")) & (
+        F.xxhash64(SESSION_ID) == F.col("span_hash")
+    )
+    return rows.join(keyed, same, "left").drop("span_session", "span_hash")
+
+
 def _assign_given(events: DataFrame) -> DataFrame:
     """Take the ids as they are; a session's span is over all events with its id."""
     tagged = events.withColumn(SESSION_ID, _given_id())
-    spans = (
-        tagged.groupBy(F.col(SESSION_ID).alias("span_session"))
-        .agg(*time_span())
-        .select("span_session", seconds(F.col("start_us"), F.col("end_us")).alias("span_sec"))
-    )
-    return tagged.join(spans, F.col(SESSION_ID) == F.col("span_session"), "left").select(
-        *tagged.columns, F.col("span_sec").alias(SESSION_DURATION)
+    spans = tagged.groupBy(SESSION_ID).agg(*time_span())
+    return _join_spans(tagged, spans).select(
+        *tagged.columns, (F.col("span_us") / F.lit(1e6)).alias(SESSION_DURATION)
     )
 
 
@@ -152,10 +167,10 @@ def session_rollup(
     """
     if use_existing and USER_SESSION in events.columns:
         per_user = _given_counts(events)
-        spans = per_user.groupBy(F.col(SESSION_ID).alias("span_session")).agg(
-            (F.max("end_us") - F.min("start_us")).alias("duration_us")
+        spans = per_user.groupBy(SESSION_ID).agg(
+            F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us")
         )
-        rollup = per_user.join(spans, F.col(SESSION_ID) == F.col("span_session"))
+        rollup = _join_spans(per_user, spans).withColumnRenamed("span_us", "duration_us")
         sessions = F.lit(1).cast("bigint")
     else:
         slices = events.groupBy(USER_ID, _slice_start(gap_minutes).alias("slice")).agg(

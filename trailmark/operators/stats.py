@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from trailmark.params import EVENT_TIME, EVENT_TYPE, USER_ID
+from trailmark.storage import materialize
 
 ALPHA = 0.05
 
@@ -108,11 +109,12 @@ def chi_square_tail(chi2: float, dof: int) -> float:
 def chi_square_conversion_test(events: DataFrame, group_col: str) -> ChiSquare:
     """Test whether the share of buyers differs between the groups of ``group_col``.
 
-    Only the statistic, a single row, comes to the driver.
+    The contingency table is written down, as the totals and the statistic
+    both need it. Only the statistic, a single row, comes to the driver.
     """
     if group_col not in events.columns:
         return ChiSquare(None, None, None, None, None)
-    table = contingency(events, group_col)
+    table = materialize(contingency(events, group_col), "contingency")
     rows = chi_square(table).collect()
     if not rows:
         return ChiSquare(None, None, None, None, table)

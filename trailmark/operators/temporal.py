@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from trailmark.functions import percent
 from trailmark.params import EVENT_TIME, EVENT_TYPE, WEEKDAYS
 
 
@@ -52,6 +53,11 @@ def purchase_heatmap(slots: DataFrame) -> DataFrame:
     return _purchases(slots).groupBy("hour").agg(*cells).orderBy("hour")
 
 
+def heatmap_labels(heatmap: DataFrame) -> DataFrame:
+    """The heatmap with its hours as ``HH:00``."""
+    return heatmap.select(F.format_string("%02d:00", "hour").alias("hour_label"), *WEEKDAYS)
+
+
 def purchases_by_hour(slots: DataFrame) -> DataFrame:
     return (
         _purchases(slots).groupBy("hour").agg(F.sum("count").alias("count")).orderBy("hour")
@@ -87,13 +93,16 @@ def daily_events(events: DataFrame) -> DataFrame:
 
 
 def event_distribution(events: DataFrame) -> DataFrame:
-    """Events per type, most frequent first."""
+    """Events per type, most frequent first, with their share in percent."""
     counts = (
         events.where(F.col(EVENT_TYPE).isNotNull())
         .groupBy(EVENT_TYPE)
         .agg(F.count("*").alias("count"))
     )
-    return counts.orderBy(F.desc("count"), EVENT_TYPE)
+    total = counts.agg(F.sum("count")).scalar()
+    return counts.withColumn("share_pct", percent(F.col("count"), total, 1)).orderBy(
+        F.desc("count"), EVENT_TYPE
+    )
 
 
 @dataclass(frozen=True)

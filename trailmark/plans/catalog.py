@@ -210,6 +210,14 @@ def quick_stats(spark: SparkSession, folder: str) -> DataFrame:
     return kpis.quick_stats(headline_kpis(spark, folder))
 
 
+def kpi_cards(spark: SparkSession, folder: str) -> DataFrame:
+    return kpis.kpi_cards(headline_kpis(spark, folder))
+
+
+def funnel_table(spark: SparkSession, folder: str) -> DataFrame:
+    return funnel.display_table(conversion_funnel(spark, folder))
+
+
 # -- cohorts ---------------------------------------------------------------
 
 
@@ -295,6 +303,10 @@ def purchase_heatmap(spark: SparkSession, folder: str) -> DataFrame:
     return temporal.purchase_heatmap(_slots(spark, folder))
 
 
+def purchase_heatmap_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return temporal.heatmap_labels(purchase_heatmap(spark, folder))
+
+
 def purchases_by_hour(spark: SparkSession, folder: str) -> DataFrame:
     return temporal.purchases_by_hour(_slots(spark, folder))
 
@@ -389,10 +401,12 @@ QUERIES: dict[str, Query] = {
     "session_length_p99": session_length_p99,
     "session_length_histogram": session_length_histogram,
     "funnel": conversion_funnel,
+    "funnel_table": funnel_table,
     "funnel_step_rates": funnel_step_rates,
     "funnel_biggest_drop": funnel_biggest_drop,
     "kpis": headline_kpis,
     "quick_stats": quick_stats,
+    "kpi_cards": kpi_cards,
     "cohort_assign": cohort_assign,
     "cohort_active_users": cohort_active_users,
     "cohort_sizes": cohort_sizes,
@@ -410,6 +424,7 @@ QUERIES: dict[str, Query] = {
     "hourly_events": hourly_events,
     "weekday_events": weekday_events,
     "purchase_heatmap": purchase_heatmap,
+    "purchase_heatmap_labels": purchase_heatmap_labels,
     "purchases_by_hour": purchases_by_hour,
     "peak_purchase_time": peak_purchase_time,
     "event_distribution": event_distribution,

@@ -395,6 +395,10 @@ ORACLE: dict[str, str] = {
     FROM binned GROUP BY bin, min_min, width ORDER BY bin""",
     "funnel": FUNNEL
     + """SELECT stage, label, users, percentage, drop_off_pct FROM funnel ORDER BY position""",
+    "funnel_table": FUNNEL
+    + """SELECT label AS "Stage", users AS "Users", percentage AS "% of Total",
+                drop_off_pct AS "Drop-off %"
+         FROM funnel ORDER BY position""",
     "funnel_step_rates": FUNNEL
     + f""", u AS (
       SELECT max(users) FILTER (position = 1) AS v, max(users) FILTER (position = 2) AS c,
@@ -416,6 +420,15 @@ ORACLE: dict[str, str] = {
          SELECT 'Cart Abandonment Rate', concat(CAST(cart_abandonment_rate AS VARCHAR), '%') FROM kpis
          UNION ALL
          SELECT 'Total Revenue', format('${:,.2f}', total_revenue) FROM kpis""",
+    "kpi_cards": KPIS
+    + """SELECT 'Total Events' AS "Metric", format('{:,}', total_events) AS "Value" FROM kpis
+         UNION ALL SELECT 'Unique Users', format('{:,}', unique_users) FROM kpis
+         UNION ALL SELECT 'Unique Products', format('{:,}', unique_products) FROM kpis
+         UNION ALL SELECT 'Total Revenue', format('${:,.2f}', total_revenue) FROM kpis
+         UNION ALL
+         SELECT 'Conversion Rate', concat(CAST(overall_conversion_rate AS VARCHAR), '%') FROM kpis
+         UNION ALL
+         SELECT 'Cart Abandon Rate', concat(CAST(cart_abandonment_rate AS VARCHAR), '%') FROM kpis""",
     "cohort_assign": COHORT + "SELECT * FROM assigned",
     "cohort_active_users": COHORT + "SELECT * FROM active",
     "cohort_sizes": COHORT + "SELECT * FROM sizes ORDER BY cohort",
@@ -435,8 +448,9 @@ ORACLE: dict[str, str] = {
     FROM mean""",
     "segment_users": SEGMENTS + "SELECT * FROM segments",
     "segment_distribution": SEGMENTS
-    + """SELECT segment, count(*) AS users FROM segments GROUP BY segment
-         ORDER BY users DESC, segment""",
+    + """SELECT segment, count(*) AS users,
+                round_even(count(*) / (SELECT count(*) FROM segments) * 100.0, 1) AS share_pct
+         FROM segments GROUP BY segment ORDER BY users DESC, segment""",
     "segment_summary": SEGMENTS
     + f"""SELECT segment, count(*) AS users,
                  round_even(CAST(sum(total_events) AS BIGINT) / count(*), 1) AS avg_events,
@@ -474,6 +488,13 @@ ORACLE: dict[str, str] = {
         for i, day in enumerate(["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"])
     )
     + " FROM slots WHERE event_type = 'purchase' GROUP BY hour ORDER BY hour",
+    "purchase_heatmap_labels": SLOTS
+    + "SELECT concat(lpad(CAST(hour AS VARCHAR), 2, '0'), ':00') AS hour_label, "
+    + ", ".join(
+        f"count(*) FILTER (weekday = {i}) AS {day}"
+        for i, day in enumerate(["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"])
+    )
+    + " FROM slots WHERE event_type = 'purchase' GROUP BY hour ORDER BY hour",
     "purchases_by_hour": SLOTS
     + """SELECT hour, count(*) AS "count" FROM slots WHERE event_type = 'purchase'
          GROUP BY hour ORDER BY hour""",
@@ -491,7 +512,9 @@ ORACLE: dict[str, str] = {
            concat(CAST(hour AS VARCHAR), ':00') AS peak_label
     FROM h, d""",
     "event_distribution": _with(CLICKS)
-    + """SELECT event_type, count(*) AS "count" FROM clicks WHERE event_type IS NOT NULL
+    + """SELECT event_type, count(*) AS "count",
+                round_even(count(*) / (SELECT count(event_type) FROM clicks) * 100.0, 1) AS share_pct
+         FROM clicks WHERE event_type IS NOT NULL
          GROUP BY event_type ORDER BY count(*) DESC, event_type""",
     "daily_events": _with(CLICKS)
     + """SELECT CAST(CAST(event_time AS DATE) AS VARCHAR) AS "date", event_type, count(*) AS "count"
