@@ -117,3 +117,11 @@ def test_group_is_the_first_known_one(spark):
 @pytest.mark.parametrize("chi2,dof", [(3.841459, 1), (5.991465, 2), (7.814728, 3), (9.487729, 4), (124.342113, 100)])
 def test_tail_at_the_critical_values(chi2, dof):
     assert stats.chi_square_tail(chi2, dof) == pytest.approx(0.05, abs=1e-6)
+
+
+def test_events_at_the_same_time_are_ordered_by_their_id(spark):
+    events = spark.createDataFrame(
+        [(2, 1, "a"), (1, 1, "b"), (3, 1, None)], "event_id int, user_id int, brand string"
+    ).selectExpr("*", "timestamp'2024-01-01 00:00:00' AS event_time", "'view' AS event_type")
+    assert rows(stats.user_groups(events, "brand")) == [(1, "b", False)]
+    assert rows(stats.user_groups(events.drop("event_id"), "brand")) == [(1, "a", False)]

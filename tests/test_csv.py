@@ -5,7 +5,7 @@ from helpers import log, rows
 
 from trailmark.sources import read_events_csv, write_events_csv
 
-HEADER = " Event_Time ,EVENT_TYPE,product_id,User_ID, Price,brand,note\n"
+HEADER = "\ufeff Event_Time ,EVENT_TYPE,product_id,User_ID, Price,brand,note\n"
 
 
 def write(path, text):
@@ -62,6 +62,17 @@ def test_line_breaks_inside_quotes(spark, tmp_path):
     assert read_events_csv(spark, path, multiline=True).first().note == "two\nlines"
 
 
+def test_sorted_export(spark, tmp_path):
+    events = spark.range(100).selectExpr("100 - id AS user_id", "id AS product_id").repartition(4)
+    write_events_csv(events, str(tmp_path / "out"), order_by=["user_id"])
+    written = [
+        int(line.split(",")[0])
+        for part in sorted((tmp_path / "out").glob("part-*.csv"))
+        for line in part.read_text().splitlines()[1:]
+    ]
+    assert written == list(range(1, 101))
+
+
 @pytest.mark.parametrize("single_file", [False, True])
 def test_round_trip(spark, tmp_path, single_file):
     events = log(

@@ -27,18 +27,23 @@ class ChiSquare:
 def user_groups(events: DataFrame, group_col: str) -> DataFrame:
     """Each user's first known group and whether the user ever bought.
 
-    First is by time, then by ``event_id`` or, without one, by the group.
+    First is by time, then by ``event_id`` if there is one, then by the group.
+    Events are reduced to one row per user and group before users are formed.
     """
-    order = [F.col(EVENT_TIME).isNull().alias("untimed"), F.col(EVENT_TIME).alias("time")]
+    moment = F.col(EVENT_TIME)
     if "event_id" in events.columns:
-        order.append(F.col("event_id").alias("id"))
-    entry = F.struct(*order, F.col(group_col).alias("group"))
+        moment = F.when(moment.isNotNull(), F.struct(moment, "event_id"))
+    group, first = F.col("group"), F.col("first")
     return (
         events.where(F.col(USER_ID).isNotNull())
+        .groupBy(USER_ID, F.col(group_col).alias("group"))
+        .agg(F.min(moment).alias("first"), F.max(F.col(EVENT_TYPE) == "purchase").alias("bought"))
         .groupBy(USER_ID)
         .agg(
-            F.min(F.when(F.col(group_col).isNotNull(), entry)).getField("group").alias("group"),
-            F.coalesce(F.max(F.col(EVENT_TYPE) == "purchase"), F.lit(False)).alias("purchased"),
+            F.min(F.when(group.isNotNull(), F.struct(first.isNull(), first, group)))
+            .getField("group")
+            .alias("group"),
+            F.coalesce(F.max("bought"), F.lit(False)).alias("purchased"),
         )
     )
 

@@ -344,7 +344,7 @@ def brand_comparison(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def data_quality_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    return quality.quality_metrics(clicks(spark, folder, products=True))
+    return quality.quality_metrics(clicks(spark, folder))
 
 
 def unknown_event_types(spark: SparkSession, folder: str) -> DataFrame:

@@ -533,7 +533,7 @@ ORACLE: dict[str, str] = {
     "brand_comparison": BRANDS
     + "SELECT brand, views, carts, purchases FROM brands ORDER BY total_events, brand DESC",
     "data_quality_metrics": _with(CLICKS)
-    + "SELECT count(*) AS row_count, CAST(9 AS BIGINT) AS column_count, "
+    + "SELECT count(*) AS row_count, CAST(7 AS BIGINT) AS column_count, "
     + """count(*) FILTER (event_type NOT IN ('view', 'cart', 'remove_from_cart', 'purchase'))
            AS unknown_type_rows,
          count(*) FILTER (event_type = 'view') AS view_rows,

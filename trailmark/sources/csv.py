@@ -56,7 +56,7 @@ def parse_time_or_fail(text: Column) -> Column:
 
 def clean_names(columns: list[str]) -> list[str]:
     """Column names stripped and in lower case; they must stay distinct."""
-    names = [name.strip().lower() for name in columns]
+    names = [name.lstrip("\ufeff").strip().lower() for name in columns]
     twice = [name for name, count in Counter(names).items() if count > 1]
     if twice:
         raise ValueError(f"Column names occur more than once: {twice}")
@@ -116,10 +116,18 @@ def read_events_csv(
 
 
 def write_events_csv(
-    events: DataFrame, path: str, mode: str = "errorifexists", single_file: bool = False
+    events: DataFrame,
+    path: str,
+    mode: str = "errorifexists",
+    order_by: list[str] | None = None,
+    single_file: bool = False,
 ) -> None:
-    """Write all rows as CSV with a header: one file per task, or one in all."""
-    frame = events.coalesce(1) if single_file else events
+    """Write all rows as CSV with a header: one file per task, or one in all.
+
+    With ``order_by`` the files, taken in the order of their names, are sorted.
+    """
+    frame = events.orderBy(*order_by) if order_by else events
+    frame = frame.coalesce(1) if single_file else frame
     (
         frame.write.mode(mode)
         .option("header", True)

@@ -85,9 +85,6 @@ def simulate_users(users: DataFrame, seed: int = DEFAULTS.seed) -> DataFrame:
     def product_at(i: Column) -> Column:
         return F.floor(step("product", i) * PRODUCTS).cast("bigint")
 
-    def dwell(i: Column) -> Column:
-        return _seconds(step("dwell", i), DWELL)
-
     def event(kind: Column, product: Column, after: Column) -> Column:
         return F.struct(
             kind.alias("event_type"), product.alias("product"), after.alias("after")
@@ -99,6 +96,9 @@ def simulate_users(users: DataFrame, seed: int = DEFAULTS.seed) -> DataFrame:
         "session",
         _seconds(chance("start"), (0, DAYS * 86_400)).alias("start"),
         F.sequence(F.lit(1), views).alias("steps"),
+        F.transform(
+            F.sequence(F.lit(1), views), lambda i: _seconds(step("dwell", i), DWELL)
+        ).alias("dwells"),
         (chance("cart") < CART_SHARE).alias("carts"),
         (chance("purchase") < PURCHASE_SHARE).alias("buys"),
         (chance("remove") < REMOVE_SHARE).alias("removes"),
@@ -113,12 +113,12 @@ def simulate_users(users: DataFrame, seed: int = DEFAULTS.seed) -> DataFrame:
 
     def dwell_before(i: Column) -> Column:
         return F.aggregate(
-            F.slice("steps", F.lit(1), i - 1),
+            F.slice("dwells", F.lit(1), i - 1),
             F.lit(0).cast("bigint"),
-            lambda total, j: total + dwell(j),
+            lambda total, seconds: total + seconds,
         )
 
-    cart_at = dwell_before(F.size("steps") + 1) + F.col("cart_delay")
+    cart_at = dwell_before(F.size("dwells") + 1) + F.col("cart_delay")
     empty = F.array().cast("array<struct<event_type:string,product:bigint,after:bigint>>")
     cart = F.when(
         F.col("carts"), F.array(event(F.lit("cart"), F.col("carted"), cart_at))
