@@ -52,12 +52,19 @@ def brand_analysis(
 
 
 def _no_brands(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        [],
-        "brand string, total_events bigint, views bigint, carts bigint, purchases bigint, "
-        "avg_price double, unique_products bigint, view_to_cart_rate double, "
-        "cart_to_purchase_rate double, overall_conversion_rate double",
-    )
+    types = {
+        BRAND: "string",
+        "total_events": "bigint",
+        "views": "bigint",
+        "carts": "bigint",
+        "purchases": "bigint",
+        "avg_price": "double",
+        "unique_products": "bigint",
+        "view_to_cart_rate": "double",
+        "cart_to_purchase_rate": "double",
+        "overall_conversion_rate": "double",
+    }
+    return spark.range(0).select(*[F.lit(None).cast(t).alias(name) for name, t in types.items()])
 
 
 def _by_conversion() -> list[Column]:

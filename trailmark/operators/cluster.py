@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -21,6 +22,9 @@ FEATURES = [
 # A fit has converged when no centre moves further than this.
 CENTRE_SHIFT = 0.01
 
+# A pass over fewer users than this takes less time than starting its task.
+USERS_PER_TASK = 50_000
+
 
 def _available(segments: DataFrame) -> list[str]:
     return [name for name in FEATURES if name in segments.columns]
@@ -77,11 +81,13 @@ def cluster_users(
             {"cluster": F.lit(0), "pc1": F.lit(0.0), "pc2": F.lit(0.0)}
         )
     scaled = materialize(scaled_features(segments), "features")
-    if scaled.limit(n_clusters).count() < n_clusters:
+    users = scaled.count()
+    if users < n_clusters:
         raise ValueError(f"{n_clusters} clusters need at least {n_clusters} users")
     inputs = [_scaled(name) for name in _available(segments)]
     vectors = VectorAssembler(inputCols=inputs, outputCol="features").transform(scaled)
-    model = _best_fit(vectors, n_clusters, seed, starts)
+    tasks = math.ceil(users / USERS_PER_TASK)
+    model = _best_fit(vectors.select("features").coalesce(tasks), n_clusters, seed, starts)
     centres = [tuple(centre) for centre in model.clusterCenters()]
     by_centre = sorted(range(len(centres)), key=centres.__getitem__)
     numbers = F.array(*[F.lit(by_centre.index(old)) for old in range(len(centres))])
@@ -93,7 +99,7 @@ def cluster_users(
 
 def _best_fit(vectors: DataFrame, k: int, seed: int, starts: int) -> KMeansModel:
     """The fit with the lowest cost; the fits run side by side on one cached table."""
-    cached = vectors.select("features").persist()
+    cached = vectors.persist()
     kmeans = KMeans(k=k, maxIter=300, tol=CENTRE_SHIFT)
     fits = kmeans.fitMultiple(cached, [{kmeans.seed: seed + i} for i in range(starts)])
     try:

@@ -362,12 +362,18 @@ def chi_square_contingency(spark: SparkSession, folder: str) -> DataFrame:
 
 def chi_square_statistic(spark: SparkSession, folder: str) -> DataFrame:
     log = orders_log(spark, folder, customers=True)
-    rows = []
-    for name in CHI_SQUARE_GROUPS:
-        test = stats.chi_square_conversion_test(log, name)
-        rows.append((name, test.chi2, test.p_value, test.dof, test.significant))
-    schema = "factor string, chi2 double, p_value double, dof bigint, significant boolean"
-    return spark.createDataFrame(rows, schema)
+    tests = {name: stats.chi_square_conversion_test(log, name) for name in CHI_SQUARE_GROUPS}
+    results = [
+        F.struct(
+            F.lit(name).alias("factor"),
+            F.lit(test.chi2).cast("double").alias("chi2"),
+            F.lit(test.p_value).cast("double").alias("p_value"),
+            F.lit(test.dof).cast("bigint").alias("dof"),
+            F.lit(test.significant).cast("boolean").alias("significant"),
+        )
+        for name, test in tests.items()
+    ]
+    return spark.range(1).select(F.inline(F.array(*results)))
 
 
 # -- generated events ------------------------------------------------------
