@@ -125,6 +125,11 @@ def test_gap_sessions_against_brute_force(spark, seed, gap):
         tagged = sessions.assign_sessions(frame.repartition(parts), gap, use_existing=False)
         got = {(r.user_id, r.event_time): (r[-2], r[-1]) for r in tagged.collect()}
         assert got == want
+    running = sessions.assign_sessions(frame, gap, use_existing=False, running_ids=True)
+    order = sorted({(user, moment): s for (user, moment), (s, _) in want.items()}.items())
+    names = list(dict.fromkeys(session for _, session in order))
+    got = {(r.user_id, r.event_time): int(r.session_id) for r in running.collect()}
+    assert got == {key: names.index(session) + 1 for key, session in order}
     summary = sessions.session_summary(frame, gap, use_existing=False)
     assert {(r.session_id, r.session_duration_sec) for r in summary.collect()} == set(want.values())
     assert summary.agg(F.sum("events")).first()[0] == len(events)
@@ -174,3 +179,20 @@ def test_histogram_counts_every_session_up_to_the_cap(spark):
     assert bins[0].from_min == 0.0 and bins[-1].to_min == 989.01
     single = spark.createDataFrame([(5, 3)], "duration_us bigint, sessions bigint")
     assert [tuple(r)[::3] for r in sessions.length_histogram(single).collect()] == [(1, 3)]
+
+
+def test_running_ids_over_several_ranges_of_users(spark):
+    events = spark.range(500).selectExpr(
+        "id AS event_id",
+        "id % 50 AS user_id",
+        "timestamp_seconds(id * 600) AS event_time",
+        "'view' AS event_type",
+        "1.0D AS price",
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tagged = sessions.assign_sessions(events, 30, use_existing=False, running_ids=True)
+        got = {(r.user_id, r.event_time): int(r.session_id) for r in tagged.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {key: number for number, key in enumerate(sorted(got), start=1)}

@@ -53,7 +53,31 @@ def _numbered_slices(slices: DataFrame, gap_minutes: int) -> DataFrame:
     )
 
 
-def _gap_sessions(events: DataFrame, gap_minutes: int) -> DataFrame:
+def _sessions_before(numbered: DataFrame) -> DataFrame:
+    """``before``: how many sessions all lower users have, for each user.
+
+    The users are spread by range and counted per range. The window over the
+    ranges sees one row per partition, those over users one partition each.
+    """
+    counts = numbered.groupBy(USER_ID).agg(F.max("session_seq").alias("n"))
+    ranged = materialize(
+        counts.repartitionByRange(USER_ID).withColumn("range", F.spark_partition_id()), "counts"
+    )
+    lower = (Window.unboundedPreceding, -1)
+    ranges = (
+        ranged.groupBy("range")
+        .agg(F.sum("n").alias("n"))
+        .select("range", F.sum("n").over(Window.orderBy("range").rowsBetween(*lower)).alias("base"))
+    )
+    in_range = Window.partitionBy("range").orderBy(USER_ID).rowsBetween(*lower)
+    before = F.coalesce("base", F.lit(0)) + F.coalesce(F.sum("n").over(in_range), F.lit(0))
+    # `ranges` has one row per partition of the shuffle above.
+    return ranged.join(F.broadcast(ranges), "range").select(
+        F.col(USER_ID).alias("counted_user"), before.alias("before")
+    )
+
+
+def _gap_sessions(events: DataFrame, gap_minutes: int, running_ids: bool) -> DataFrame:
     """(user, slice) -> session id and span, for the events that have user and time."""
     slices = (
         events.where(F.col(USER_ID).isNotNull() & F.col(EVENT_TIME).isNotNull())
@@ -61,15 +85,23 @@ def _gap_sessions(events: DataFrame, gap_minutes: int) -> DataFrame:
         .agg(*time_span())
     )
     session = Window.partitionBy(USER_ID, "session_seq")
-    return _numbered_slices(slices, gap_minutes).select(
+    numbered = _numbered_slices(slices, gap_minutes)
+    session_id = F.concat_ws("_", USER_ID, "session_seq")
+    if running_ids:
+        before = _sessions_before(numbered)
+        numbered = numbered.join(before, F.col(USER_ID) == F.col("counted_user"))
+        session_id = (F.col("before") + F.col("session_seq")).cast("string")
+    return numbered.select(
         F.col(USER_ID).alias("slice_user"),
         "slice",
-        F.concat_ws("_", USER_ID, "session_seq").alias("gap_session"),
+        session_id.alias("gap_session"),
         seconds(F.min("start_us").over(session), F.max("end_us").over(session)).alias("gap_sec"),
     )
 
 
-def _assign_by_gap(events: DataFrame, gap_minutes: int) -> DataFrame:
+def _assign_by_gap(
+    events: DataFrame, gap_minutes: int, running_ids: bool = False
+) -> DataFrame:
     """Join every event with the session of its slice.
 
     The join key is (user, slice). Where even a single slice is hot, the
@@ -81,7 +113,7 @@ def _assign_by_gap(events: DataFrame, gap_minutes: int) -> DataFrame:
     left = events.withColumns(
         {"event_slice": _slice_start(gap_minutes), "lone_id": F.when(alone, lone_id)}
     )
-    sessions = _gap_sessions(events, gap_minutes)
+    sessions = _gap_sessions(events, gap_minutes, running_ids)
     joined = left.join(
         sessions,
         (F.col(USER_ID) == F.col("slice_user")) & (F.col("event_slice") == F.col("slice")),
@@ -133,23 +165,28 @@ def assign_sessions(
     gap_minutes: int = DEFAULTS.session_gap_minutes,
     use_existing: bool = True,
     missing: str = "shared",
+    running_ids: bool = False,
 ) -> DataFrame:
     """Add ``session_id`` and ``session_duration_sec`` to every event.
 
     With ``use_existing`` the ids of ``user_session`` are kept if the log has
     them. Events whose id is missing then form one session together
     (``missing="shared"``) or are given sessions by pauses (``missing="gap"``).
+
+    Sessions by pauses are called ``user_number``; with ``running_ids`` they
+    are numbered 1, 2, 3, ... through the whole log in the order of user and
+    time, which costs one more small table.
     """
     events = events.drop(SESSION_ID, SESSION_DURATION)
     if not (use_existing and USER_SESSION in events.columns):
-        return _assign_by_gap(events, gap_minutes)
+        return _assign_by_gap(events, gap_minutes, running_ids)
     if missing == "shared":
         return _assign_given(events)
     if missing != "gap":
         raise ValueError("missing must be 'shared' or 'gap'")
     named = F.col(USER_SESSION).isNotNull()
     return _assign_given(events.where(named)).unionByName(
-        _assign_by_gap(events.where(~named), gap_minutes)
+        _assign_by_gap(events.where(~named), gap_minutes, running_ids)
     )
 
 

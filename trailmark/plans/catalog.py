@@ -150,6 +150,13 @@ def sessions_gap(spark: SparkSession, folder: str) -> DataFrame:
     return tagged.select("event_id", "session_id", "session_duration_sec")
 
 
+def sessions_gap_running_ids(spark: SparkSession, folder: str) -> DataFrame:
+    tagged = sessions.assign_sessions(
+        clicks(spark, folder), CLICK_GAP, use_existing=False, running_ids=True
+    )
+    return tagged.select("event_id", "session_id", "session_duration_sec")
+
+
 def session_durations(spark: SparkSession, folder: str) -> DataFrame:
     summary = sessions.session_summary(clicks(spark, folder))
     return summary.select("session_id", "events", "session_duration_sec")
@@ -401,6 +408,7 @@ QUERIES: dict[str, Query] = {
     "cleaning_report": cleaning_report,
     "sessions_existing": sessions_existing,
     "sessions_gap": sessions_gap,
+    "sessions_gap_running_ids": sessions_gap_running_ids,
     "session_durations": session_durations,
     "session_summary": session_summary,
     "session_metrics": session_metrics,

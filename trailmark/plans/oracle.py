@@ -364,6 +364,15 @@ ORACLE: dict[str, str] = {
     "sessions_gap": CLICK_SESSIONS
     + """SELECT event_id, session_id, duration_us / 1e6 AS session_duration_sec
          FROM sessioned JOIN spans USING (user_id, session_id)""",
+    "sessions_gap_running_ids": CLICK_SESSIONS
+    + """, numbered AS (
+      SELECT user_id, session_id, duration_us,
+             row_number() OVER (ORDER BY user_id, session_start) AS number
+      FROM spans
+    )
+    SELECT event_id, CAST(number AS VARCHAR) AS session_id,
+           duration_us / 1e6 AS session_duration_sec
+    FROM sessioned JOIN numbered USING (user_id, session_id)""",
     "session_durations": _with(CLICKS)
     + """SELECT user_session AS session_id, count(*) AS events,
                 date_diff('microsecond', min(event_time), max(event_time)) / 1e6
