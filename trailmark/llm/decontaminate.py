@@ -204,6 +204,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
     White space next to a cut stays. ``n_chars``, where present, is counted anew for cut texts.
     """
     found = find_contamination(docs, benchmark, window)
+    names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,7 +212,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
                 text if not spans else without_spans(text, spans)
                 for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())
             ]
-            columns = {name: batch.column(name) for name in docs.columns}
+            columns = {name: batch.column(name) for name in names}
             columns["text"] = pa.array(texts, pa.string())
             if "n_chars" in columns:
                 old, field = batch.column("n_chars").to_pylist(), batch.schema.field("n_chars")
