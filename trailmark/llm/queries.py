@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trailmark.llm.decontaminate import find_contamination
+from trailmark.llm.token_counts import count_tokens, read_vocabulary
 from trailmark.sources.tables import read_table
 
 QUERIES = {}
@@ -33,3 +34,10 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (hit > 0).alias("contaminated"),
     )
+
+
+@query
+def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Unigram tokens of every document, counted only."""
+    vocabulary = read_vocabulary("/opt/tokenizers/piece_bpe_32k.model")
+    return count_tokens(texts(spark, folder), vocabulary).drop("text")
