@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from trailmark.llm.fm_index import FMIndex
+from trailmark.llm.tasks import map_batches
 from trailmark.llm.words import LOWERED, Block, blocks, find_words, hash_words, without_columns
 from trailmark.storage import materialize
 
@@ -192,7 +193,7 @@ def find_contamination(
             for batch in batches:
                 yield find_part(phrases.value, batch, "text")
 
-        carried = carried.mapInArrow(search, result)
+        carried = map_batches(carried, search, result)
         if number + 1 < parts:
             carried = materialize(carried, "contamination")
     return carried
@@ -220,7 +221,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
                 columns["n_chars"] = pa.array(new, field.type)
             yield pa.RecordBatch.from_pydict(columns)
 
-    return found.mapInArrow(cut, docs.schema)
+    return map_batches(found, cut, docs.schema)
 
 
 def without_spans(text: str, spans: list[dict]) -> str:

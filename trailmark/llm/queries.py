@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trailmark.llm.decontaminate import find_contamination
 from trailmark.llm.token_counts import count_tokens, read_vocabulary
+from trailmark.llm.toxicity import held_out, score_toxicity
 from trailmark.sources.tables import read_table
 
 QUERIES = {}
@@ -41,3 +42,16 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Unigram tokens of every document, counted only."""
     vocabulary = read_vocabulary("/opt/tokenizers/piece_bpe_32k.model")
     return count_tokens(texts(spark, folder), vocabulary).drop("text")
+
+
+@query
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels that are not held out."""
+    scored = score_toxicity(texts(spark, folder), read_table(spark, folder, "labels"))
+    return scored.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+        F.size("segments").cast("bigint").alias("n_segments"),
+    )

@@ -26,6 +26,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
+from trailmark.llm.tasks import map_batches
 from trailmark.llm.words import without_columns
 
 # The word mark and the penalty of unknown characters.
@@ -146,4 +147,4 @@ def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]], text: str
         [*docs.select(*names).schema.fields]
         + [T.StructField("n_tokens", T.LongType()), T.StructField("token_score", T.DoubleType())]
     )
-    return docs.mapInArrow(count, schema)
+    return map_batches(docs, count, schema)

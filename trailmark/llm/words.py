@@ -62,6 +62,8 @@ def _table(name: str, n: int) -> np.ndarray:
 
 #: A random number for each byte value, so that no pattern of bytes is special.
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_ODD))
+#: The same with A-Z lower-cased.
+LOWERED_VALUES = BYTE_VALUES[_FOLD]
 
 
 class Sums:
@@ -142,7 +144,7 @@ def find_words(block: Block, table: np.ndarray) -> Words:
 
 def hash_words(block: Block, words: Words, fold: bool = False) -> np.ndarray:
     """A 64-bit hash of each word's bytes; ``fold`` lower-cases A-Z first."""
-    values = BYTE_VALUES[_FOLD] if fold else BYTE_VALUES
+    values = LOWERED_VALUES if fold else BYTE_VALUES
     return Sums(values[block.data]).hash(words.start, words.end)
 
 
