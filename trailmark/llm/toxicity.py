@@ -3,8 +3,9 @@
 Tokens are words and their beginnings of ``PREFIXES`` bytes, so that the forms of a
 stem count together. Learning, from labelled rows: how many toxic and other documents
 hold each token gives its log-odds under a Dirichlet prior spread like the whole
-vocabulary. A word takes the log-odds of its most significant token, if that is far
-from 0 in standard errors, else 0; every word loses ``DRIFT``, so that a random text
+vocabulary. A word takes the log-odds, less two standard errors, of its most
+significant token; tokens count that reach ``MIN_Z`` by likelihood ratio and
+``MIN_ODDS`` in score, other words have 0; every word loses ``DRIFT``, so that a random text
 drifts downwards. Scanning a text, the linear-time algorithm of Ruzzo and Tompa finds
 all its maximal-scoring segments at once.
 
@@ -50,7 +51,8 @@ MAX_LABELLED = 50_000
 MAX_TOKENS = 200_000
 PREFIXES = (4, 5, 6, 7, 8)
 PRIOR = 1.0  # weight of the prior, as a share of what toxic documents hold
-MIN_Z = 3.0
+MIN_Z = 5.5  # a few in 100 million by chance
+MIN_ODDS = 1.5
 DRIFT = 0.25
 LARGEST_EVIDENCE = 60.0
 MERGE_AT = 2_000_000
@@ -120,7 +122,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Model | None]:
     )
     known = materialize(known, "labelled")
     counted = map_batches(
-        labelled(docs, known).select("text", "toxic"),
+        # copies of one text would pass for independent evidence
+        labelled(docs, known).select("text", "toxic").dropDuplicates(),
         count_tokens,
         "token bigint, toxic_docs bigint, clean_docs bigint",
     )
@@ -139,10 +142,19 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Model | None]:
     odds = F.log(in_toxic / (F.lit(toxic + prior) - in_toxic)) - F.log(
         in_clean / (F.lit(clean + prior) - in_clean)
     )
-    z = F.abs(odds / F.sqrt(1 / in_toxic + 1 / in_clean))
+    lower = odds - 2 * F.sqrt(1 / in_toxic + 1 / in_clean)
+    # likelihood ratio against the label share of all tokens; its root is like a z value
+    rate = toxic / (toxic + clean)
+    n = F.col("toxic_docs") + F.col("clean_docs")
+
+    def part(count: Column, expected: Column) -> Column:
+        return F.when(count > 0, count * F.log(count / expected)).otherwise(F.lit(0.0))
+
+    ratio = part(F.col("toxic_docs"), n * rate) + part(F.col("clean_docs"), n * (1 - rate))
+    z = F.sqrt(2 * F.greatest(ratio, F.lit(0.0)))
     rows = (
-        counts.select("token", odds.alias("odds"), z.alias("z"))
-        .where(F.col("z") >= MIN_Z)
+        counts.select("token", lower.alias("odds"), z.alias("z"))
+        .where((F.col("z") >= MIN_Z) & (F.col("odds") >= MIN_ODDS))
         .orderBy(F.col("z").desc(), "token")
         .limit(MAX_TOKENS)
         .toPandas()
