@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trailmark.llm.decontaminate import find_contamination
+from trailmark.llm.oracle import ORACLE
+from trailmark.llm.quality import COUNTS, judge
 from trailmark.llm.token_counts import count_tokens, read_vocabulary
 from trailmark.llm.toxicity import held_out, score_toxicity
 from trailmark.sources.tables import read_table
 
+__all__ = ["ORACLE", "QUERIES"]
+
 QUERIES = {}
-ORACLE = {}
 
 
 def query(function):
@@ -22,6 +25,13 @@ def texts(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return read_table(spark, folder, "documents").select("doc_id", "text", *columns)
 
 
+@query
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    judged = judge(texts(spark, folder, "lang", "source"))
+    return judged.select("doc_id", *COUNTS, "base_failed", "kept")
+
+
 @query
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark words in every document, by FM-index."""
