@@ -77,4 +77,29 @@ FROM measured m LEFT JOIN wide f
   ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source
 """
 
-ORACLE = {"op1_quality_rules": QUALITY}
+MIXING = """
+WITH sizes AS (
+  SELECT source, coalesce(sum(length(text)), 0)::DOUBLE AS size FROM documents GROUP BY source
+), weighed AS (
+  SELECT *, CASE WHEN size > 0 THEN pow(size, 0.5) ELSE 0 END AS weight FROM sizes
+), rates AS (
+  SELECT source, (SELECT sum(size) FROM weighed) * weight / (SELECT sum(weight) FROM weighed) / size AS rate
+  FROM weighed WHERE size > 0
+), masses AS (
+  SELECT source, k, exp(-rate + k * ln(rate) - sum(ln(greatest(k, 1))) OVER (PARTITION BY source ORDER BY k)) AS mass
+  FROM (SELECT source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 40)::BIGINT + 1)) AS k FROM rates)
+), steps AS (
+  SELECT source, k, sum(mass) OVER (PARTITION BY source ORDER BY k) AS step FROM masses
+), drawn AS (
+  SELECT *, (('0x' || substr(md5('count 17|' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5)
+            / 4503599627370496.0::DOUBLE AS u
+  FROM documents
+), counted AS (
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, count(*)::INT AS n_copies
+  FROM drawn d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source AND s.step < d.u GROUP BY ALL
+)
+SELECT *, md5('order 17|' || coalesce(doc_id::VARCHAR, 'null') || '|' || copy) AS shuffle_key
+FROM (SELECT *, unnest(range(1, n_copies + 1))::INT AS copy FROM counted)
+"""
+
+ORACLE = {"op1_quality_rules": QUALITY, "op8_mixing": MIXING}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trailmark.llm.decontaminate import find_contamination
+from trailmark.llm.mixing import mix_sources
 from trailmark.llm.oracle import ORACLE
 from trailmark.llm.quality import COUNTS, judge
 from trailmark.llm.token_counts import count_tokens, read_vocabulary
@@ -65,3 +66,9 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
         F.size("segments").cast("bigint").alias("n_segments"),
     )
+
+
+@query
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents, mixed so that a source counts by the square root of its size."""
+    return mix_sources(read_table(spark, folder, "documents"))
