@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trailmark.llm.decontaminate import find_contamination
+from trailmark.llm.line_dedup import dedup_lines
 from trailmark.llm.mixing import mix_sources
 from trailmark.llm.oracle import ORACLE
 from trailmark.llm.quality import COUNTS, judge
@@ -68,6 +69,19 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What every document loses to repeated chunks of lines, and a digest of the rest."""
+    result = dedup_lines(texts(spark, folder))
+    return result.select(
+        F.col("row.doc_id").alias("doc_id"),
+        "n_lines",
+        "n_removed_chunks",
+        "n_removed_lines",
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents, mixed so that a source counts by the square root of its size."""
