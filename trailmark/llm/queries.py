@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from trailmark.llm.decontaminate import find_contamination
 from trailmark.llm.line_dedup import dedup_lines
 from trailmark.llm.mixing import mix_sources
+from trailmark.llm.near_dedup import find_near_duplicates
 from trailmark.llm.oracle import ORACLE
 from trailmark.llm.quality import COUNTS, judge
 from trailmark.llm.token_counts import count_tokens, read_vocabulary
@@ -56,6 +57,14 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(texts(spark, folder), vocabulary).drop("text")
 
 
+@query
+def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of every document that has words; its smallest id names it and stays."""
+    judged = find_near_duplicates(texts(spark, folder))
+    doc_id = F.when(~F.col("unknown"), F.col("key_id"))
+    return judged.select(doc_id.alias("doc_id"), "class_id", "class_size", "kept")
+
+
 @query
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every document, learned from the labels that are not held out."""

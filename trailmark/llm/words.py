@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
+BLOCK_ROWS = 4096
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _BYTES = np.arange(256)
@@ -114,7 +115,7 @@ class Words:
 
 
 def blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Cut an Arrow column of texts (null: empty) into blocks of about ``size`` bytes."""
+    """Cut an Arrow column of texts (null: empty) into blocks of at most ``size`` bytes or one text."""
     if not len(column):
         return
     column = column.cast(pa.large_binary()).fill_null(b"")
@@ -124,7 +125,7 @@ def blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[Block]:
     row = 0
     while row < len(column):
         last = int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1
-        last = min(max(last, row + 1), len(column))
+        last = min(max(last, row + 1), row + BLOCK_ROWS, len(column))
         lo, hi = offsets[row], offsets[last]
         yield Block(row, data[lo:hi], offsets[row : last + 1] - lo)
         row = last
