@@ -10,6 +10,8 @@ from trailmark.llm.mixing import mix_sources
 from trailmark.llm.near_dedup import find_near_duplicates
 from trailmark.llm.oracle import ORACLE
 from trailmark.llm.quality import COUNTS, judge
+from trailmark.llm.substring_dedup import dedup_substrings
+from trailmark.llm.suffix_dedup import dedup_bytes
 from trailmark.llm.token_counts import count_tokens, read_vocabulary
 from trailmark.llm.toxicity import held_out, score_toxicity
 from trailmark.sources.tables import read_table
@@ -65,6 +67,17 @@ def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select(doc_id.alias("doc_id"), "class_id", "class_size", "kept")
 
 
+@query
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What every document loses to passages of 50 words in documents of smaller ids."""
+    return dedup_substrings(texts(spark, folder)).select(
+        F.col("row.doc_id").alias("doc_id"),
+        F.col("n_symbols").alias("n_words"),
+        "n_removed",
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every document, learned from the labels that are not held out."""
@@ -95,3 +108,15 @@ def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents, mixed so that a source counts by the square root of its size."""
     return mix_sources(read_table(spark, folder, "documents"))
+
+
+@query
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What every document loses to strings of 400 bytes that occur twice."""
+    return dedup_bytes(texts(spark, folder)).select(
+        F.col("row.doc_id").alias("doc_id"),
+        F.col("n_symbols").alias("n_bytes"),
+        "n_removed",
+        "n_spans",
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
