@@ -9,6 +9,7 @@ from trailmark.llm.line_dedup import dedup_lines
 from trailmark.llm.mixing import mix_sources
 from trailmark.llm.near_dedup import find_near_duplicates
 from trailmark.llm.oracle import ORACLE
+from trailmark.llm.privacy import replace_entities
 from trailmark.llm.quality import COUNTS, judge
 from trailmark.llm.substring_dedup import dedup_substrings
 from trailmark.llm.suffix_dedup import dedup_bytes
@@ -37,6 +38,13 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *COUNTS, "base_failed", "kept")
 
 
+@query
+def op2_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with surrogates for the personal data found in it."""
+    replaced = replace_entities(texts(spark, folder), key="op2 query")
+    return replaced.select(F.col("row.doc_id").alias("doc_id"), "n_entities", "text")
+
+
 @query
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark words in every document, by FM-index."""
