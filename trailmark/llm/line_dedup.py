@@ -218,3 +218,22 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         parts.append(others.select("row", "text", untouched))
     done = [map_batches(part, remove_chunks, result) for part in parts]
     return done[0] if len(done) == 1 else done[0].union(done[1])
+
+
+def without_repeated_lines(docs: DataFrame) -> DataFrame:
+    """The documents with repeated chunks removed; same columns.
+
+    A document that had words and keeps none is dropped: all it held is elsewhere.
+    ``n_chars``, where present, is counted anew for cut texts.
+    """
+    result = dedup_lines(docs)
+    cut = F.col("n_removed_lines") > 0
+    columns = []
+    for field in docs.schema.fields:
+        value = F.col("row")[field.name]
+        if field.name == "text":
+            value = F.col("text")
+        elif field.name == "n_chars":
+            value = F.when(cut, F.char_length("text")).otherwise(value).cast(field.dataType)
+        columns.append(value.alias(field.name))
+    return result.where(~cut | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*columns)
