@@ -59,7 +59,50 @@ def test_missing_and_empty_files(spark, tmp_path):
 
 def test_line_breaks_inside_quotes(spark, tmp_path):
     path = write(tmp_path / "e.csv", 'event_type,note\nview,"two\nlines"\n')
-    assert read_events_csv(spark, path, multiline=True).first().note == "two\nlines"
+    assert read_events_csv(spark, path).first().note == "two\nlines"
+    with pytest.raises(Exception, match="multiline=True"):
+        read_events_csv(spark, path, multiline=False).collect()
+    inner = write(tmp_path / "f.csv", 'note,event_type\n"two\nlines",view\n')
+    assert read_events_csv(spark, inner).count() == 1
+    with pytest.raises(Exception, match="multiline=True"):
+        read_events_csv(spark, inner, multiline=False).select("event_type").collect()
+
+
+@pytest.mark.parametrize("multiline", [True, False])
+def test_rows_that_do_not_fit_the_header(spark, tmp_path, multiline):
+    head = "event_type,product_id,user_id,price\n"
+    short = write(tmp_path / "short.csv", head + 'view,1,10,2.5\nview,2\ncart,"a, b"\n')
+    got = rows(read_events_csv(spark, short, multiline=multiline))
+    assert got == [("cart", "a, b", None, None), ("view", "1", "10", 2.5), ("view", "2", None, None)]
+    for extra in ("EXTRA", "", "x,y"):
+        long = write(tmp_path / f"long{len(extra)}.csv", head + f"view,1,10,2.5\nview,1,10,6.0,{extra}\n")
+        frame = read_events_csv(spark, long, multiline=multiline)
+        with pytest.raises(Exception, match="more cells than the 4 columns.*6.0"):
+            frame.select("user_id").collect()
+        with pytest.raises(Exception, match="more cells"):
+            frame.count()
+
+
+@pytest.mark.parametrize("multiline", [True, False])
+def test_files_in_different_column_orders_fail(spark, tmp_path, multiline):
+    for first, second in (("a", "b"), ("b", "a")):
+        folder = tmp_path / first
+        folder.mkdir()
+        write(folder / f"{first}.csv", "product_id,user_id\n100,1\n")
+        write(folder / f"{second}.csv", "user_id,product_id\n2,200\n")
+        with pytest.raises(Exception, match="header does not conform"):
+            read_events_csv(spark, str(folder), multiline=multiline).collect()
+
+
+def test_undecodable_bytes_fail_unless_asked_for(spark, tmp_path):
+    path = tmp_path / "e.csv"
+    path.write_bytes(b"event_type,brand\nview,Lanc\xf4me\n")
+    with pytest.raises(Exception, match="not UTF-8"):
+        read_events_csv(spark, str(path)).select("event_type").collect()
+    assert read_events_csv(spark, str(path), errors="replace").first().brand == "Lanc\ufffdme"
+    assert read_events_csv(spark, str(path), encoding="ISO-8859-1").first().brand == "Lancôme"
+    with pytest.raises(ValueError):
+        read_events_csv(spark, str(path), errors="ignore")
 
 
 def test_sorted_export(spark, tmp_path):
@@ -73,8 +116,7 @@ def test_sorted_export(spark, tmp_path):
     assert written == list(range(1, 101))
 
 
-@pytest.mark.parametrize("single_file", [False, True])
-def test_round_trip(spark, tmp_path, single_file):
+def test_round_trip(spark, tmp_path):
     events = log(
         spark,
         [
@@ -83,8 +125,8 @@ def test_round_trip(spark, tmp_path, single_file):
         ],
     ).repartition(2)
     folder = str(tmp_path / "out")
-    write_events_csv(events, folder, single_file=single_file)
-    assert len(list((tmp_path / "out").glob("*.csv"))) == (1 if single_file else 2)
+    write_events_csv(events, folder)
+    assert len(list((tmp_path / "out").glob("*.csv"))) == 2
     back = read_events_csv(spark, folder).selectExpr(
         "event_time", "event_type", "CAST(product_id AS bigint)", "CAST(user_id AS bigint)",
         "price", "brand", "user_session",

@@ -80,19 +80,57 @@ def normalize_events(raw: DataFrame, parse_dates: bool = True) -> DataFrame:
     return named.select(*columns)
 
 
+# Private-use characters that mark cells while a suspect row is looked at again.
+END_OF_ROW = "\ue000"
+CORRUPT = "_corrupt_record"
+UNDECODABLE = "\ufffd"
+
+
+def _suspect_row(columns: list[str], separator: str, quote: str) -> Column:
+    """What is wrong with a row that has not one cell per column; null if it is only short.
+
+    A cell is put behind the row's text and the text is parsed again: in a short row that
+    cell falls on one of the columns, in a long row behind them.
+    """
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(columns))])
+    raw = F.col(CORRUPT)
+    parsed = F.from_csv(
+        F.concat(raw, F.lit(separator + END_OF_ROW)),
+        schema.simpleString()[len("struct<") : -1].replace(":", " "),
+        {"sep": separator, "quote": quote, "escape": quote, "mode": "PERMISSIVE"},
+    )
+    cells = F.array(*[parsed[f"c{i}"] for i in range(len(columns))])
+    is_short = F.coalesce(F.array_contains(cells, END_OF_ROW), F.lit(False))
+    quotes = F.char_length(raw) - F.char_length(F.replace(raw, F.lit(quote), F.lit("")))
+    return (
+        F.when(raw.isNull(), None)
+        .when(quotes % 2 == 1, "a quote is not closed (line break inside quotes? read with multiline=True)")
+        .when(~is_short, f"more cells than the {len(columns)} columns of the header")
+    )
+
+
 def read_events_csv(
     spark: SparkSession,
     path: str | list[str],
     parse_dates: bool = True,
-    multiline: bool = False,
+    multiline: bool = True,
     encoding: str = "UTF-8",
+    errors: str = "strict",
 ) -> DataFrame:
     """Read CSV files with a header into a normalised event log.
 
     All columns are read as text, so that types depend on the schema and not
-    on a sample. ``multiline`` admits line breaks inside quotes, at the price
-    that a file can no longer be split between tasks.
+    on a sample. Wrong input fails the job that reads it, with the reason and
+    the row: files whose header differs in names or order, rows with more cells
+    than the header, and bytes that are not in ``encoding`` (``errors="replace"``
+    keeps them as replacement characters). Rows with fewer cells end in nulls.
+
+    Line breaks inside quotes are part of the cell. A file can then not be split
+    between tasks; ``multiline=False`` splits large files, and a quote that is
+    still open at the end of a line fails the job.
     """
+    if errors not in ("strict", "replace"):
+        raise ValueError("errors must be 'strict' or 'replace'")
     reader = (
         spark.read.option("header", True)
         .option("inferSchema", False)
@@ -101,18 +139,46 @@ def read_events_csv(
         .option("encoding", encoding)
     )
     try:
-        raw = reader.csv(path)
+        names = reader.csv(path).columns
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"CSV file not found: {path}") from error
         raise
-    if not raw.columns:
+    if not names:
         raise ValueError(f"CSV file is empty: {path}")
-    cells = [
-        F.when(~F.col(f"`{name}`").isin(NULL_TOKENS), F.col(f"`{name}`")).alias(name)
-        for name in raw.columns
-    ]
-    return normalize_events(raw.select(*cells), parse_dates)
+    clean_names(names)
+    # With its own schema a file must have these columns in this order.
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*names, CORRUPT]])
+    raw = (
+        reader.schema(schema)
+        .option("enforceSchema", False)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", CORRUPT)
+        .csv(path)
+    )
+    cells = {name: F.col(f"`{name}`") for name in names}
+    problem = _suspect_row(names, ",", '"')
+    if not multiline:
+        # An open quote in the last column leaves a full row: its cell begins with the quote.
+        opened = F.lit(False)
+        for cell in cells.values():
+            opened |= F.coalesce(cell.startswith('"') & ~cell.endswith('"'), F.lit(False))
+        problem = F.coalesce(problem, F.when(opened, "a quote is not closed; read with multiline=True"))
+    if errors == "strict":
+        broken = F.lit(False)
+        for cell in cells.values():
+            broken |= F.coalesce(F.contains(cell, F.lit(UNDECODABLE)), F.lit(False))
+        problem = F.coalesce(problem, F.when(broken, f"bytes that are not {encoding}"))
+    text = F.concat_ws(",", *cells.values())
+    message = F.concat(F.lit("Bad row in CSV file, "), problem, F.lit(": "), F.coalesce(F.col(CORRUPT), text))
+    # The filter looks at all cells, so no row escapes it, whatever columns are asked for.
+    sound = raw.where(F.when(problem.isNotNull(), F.raise_error(message).cast("boolean")).otherwise(True))
+    return normalize_events(
+        sound.select(
+            *[F.when(~cell.isin(NULL_TOKENS), cell).alias(name) for name, cell in cells.items()]
+        ),
+        parse_dates,
+    )
 
 
 def write_events_csv(
@@ -120,14 +186,12 @@ def write_events_csv(
     path: str,
     mode: str = "errorifexists",
     order_by: list[str] | None = None,
-    single_file: bool = False,
 ) -> None:
-    """Write all rows as CSV with a header: one file per task, or one in all.
+    """Write all rows as CSV with a header, one file per task.
 
     With ``order_by`` the files, taken in the order of their names, are sorted.
     """
     frame = events.orderBy(*order_by) if order_by else events
-    frame = frame.coalesce(1) if single_file else frame
     (
         frame.write.mode(mode)
         .option("header", True)
