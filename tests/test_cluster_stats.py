@@ -4,6 +4,7 @@ import pytest
 from helpers import log, rows
 
 from trailmark.operators import cluster, stats
+from trailmark.plans.catalog import QUERIES
 
 
 def user_table(spark, n):
@@ -115,8 +116,25 @@ def test_group_is_the_first_known_one(spark):
 
 
 @pytest.mark.parametrize("chi2,dof", [(3.841459, 1), (5.991465, 2), (7.814728, 3), (9.487729, 4), (124.342113, 100)])
-def test_tail_at_the_critical_values(chi2, dof):
-    assert stats.chi_square_tail(chi2, dof) == pytest.approx(0.05, abs=1e-6)
+def test_tail_at_the_critical_values(spark, chi2, dof):
+    frame = spark.createDataFrame([(chi2, dof)], "chi2 double, dof bigint")
+    tail = frame.select(stats.tail_probability(frame.chi2, frame.dof)).first()[0]
+    assert tail == pytest.approx(0.05, abs=1e-6)
+
+
+def test_tail_far_out(spark):
+    rows_ = [(5000.0, 2), (5000.0, 1), (0.0, 3), (1.0, 0), (2000.0, 2001), (1e-9, 7)]
+    frame = spark.createDataFrame(rows_, "chi2 double, dof bigint")
+    tails = [row[0] for row in frame.select(stats.tail_probability(frame.chi2, frame.dof)).collect()]
+    assert tails[0] < 1e-9 and tails[1] < 1e-9 and tails[2:4] == [1.0, 1.0]
+    assert tails[4] == pytest.approx(0.5, abs=0.02) and tails[5] == pytest.approx(1.0)
+
+
+def test_the_statistic_is_computed_from_the_tables(spark):
+    plan = QUERIES["chi_square_statistic"](spark, "/root/testdata/sf0.001")._jdf.queryExecution()
+    text = plan.executedPlan().toString()
+    for table in ("lineitem", "orders", "customer", "part"):
+        assert f"{table}.parquet" in text
 
 
 def test_events_at_the_same_time_are_ordered_by_their_id(spark):

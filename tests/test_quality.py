@@ -49,11 +49,13 @@ def test_missing_optional_columns_only_warn(spark):
 
 def test_unknown_types_warn_and_views_are_required(spark):
     result = quality.validate(many(spark, 10, event_type="if(id = 0, 'odd', 'view')"))
-    assert result.is_valid and "['odd']" in result.warnings[0]
+    assert result.is_valid and "1 unknown event types in 1 rows" in result.warnings[0]
+    assert rows(result.unknown_types) == [("odd",)]
     result = quality.validate(many(spark, 10, event_type="'cart'"))
     assert not result.is_valid and "view" in result.errors[0]
     listed = quality.validate(many(spark, 50, event_type="if(id = 0, 'view', 'x' || id)"))
-    assert "and more" in listed.warnings[0]
+    assert "49 unknown event types in 49 rows" in listed.warnings[0]
+    assert listed.unknown_types.count() == 49
 
 
 @pytest.mark.parametrize("bad,warns", [(50, 0), (51, 1)])

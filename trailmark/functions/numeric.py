@@ -6,12 +6,16 @@ from decimal import Decimal
 
 from pyspark.sql import Column, functions as F
 
-# Sums of prices are kept as whole units and millionths in bigints: a sum of
-# doubles depends on the order in which partitions are merged, which would make
-# the last digit vary between runs. Values too large for that (or infinite) are
-# added as doubles on the side.
+# Sums of prices are kept as whole units (in two parts, so that they do not
+# overflow) and millionths in bigints: a sum of doubles depends on the order in
+# which partitions are merged, which would make the last digit vary between
+# runs. What a value has beyond millionths, if it is more than the rounding of a
+# double, and values that are too large for whole units (or infinite) are added
+# as doubles on the side.
 LARGEST_EXACT = 9e15
+HIGH_UNIT = 1 << 26
 MILLIONTH = Decimal("0.000001")
+ROUNDING = 2.0**-51
 
 
 def round_to(value: Column, digits: int) -> Column:
@@ -26,22 +30,26 @@ def percent(part: Column, whole: Column, digits: int = 2) -> Column:
 
 
 def sum_parts(value: Column) -> dict[str, Column]:
-    """The three aggregates of an exact sum; they can be summed again level by level."""
+    """The aggregates of an exact sum; they can be summed again level by level."""
     small = F.abs(value) < LARGEST_EXACT
-    millionths = F.rint((value - F.floor(value)) * 1e6)
+    units = F.floor(value)
+    fraction = value - units
+    millionths = F.rint(fraction * 1e6)
+    rest = fraction - millionths / 1e6
+    is_more = F.abs(rest) > F.abs(value) * ROUNDING + 1e-16
     return {
-        "units": F.sum(F.when(small, F.floor(value))),
+        "high_units": F.sum(F.when(small, F.floor(units / HIGH_UNIT))),
+        "units": F.sum(F.when(small, F.pmod(units, F.lit(HIGH_UNIT)))),
         "millionths": F.sum(F.when(small, millionths).cast("bigint")),
-        "large": F.sum(F.when(~small, value)),
+        "rest": F.sum(F.when(~small, value).when(is_more, rest)),
     }
 
 
-def sum_total(units: Column, millionths: Column, large: Column) -> Column:
+def sum_total(high_units: Column, units: Column, millionths: Column, rest: Column) -> Column:
     """Put an exact sum together; null when there were no values."""
-    exact = (
-        units.cast("decimal(20,0)") + millionths.cast("decimal(20,0)") * F.lit(MILLIONTH)
-    ).cast("double")
-    return F.when(large.isNull(), exact).otherwise(F.coalesce(exact, F.lit(0.0)) + large)
+    whole = high_units.cast("decimal(20,0)") * F.lit(Decimal(HIGH_UNIT)) + units.cast("decimal(20,0)")
+    exact = (whole + millionths.cast("decimal(20,0)") * F.lit(MILLIONTH)).cast("double")
+    return F.when(rest.isNull(), exact).otherwise(F.coalesce(exact, F.lit(0.0)) + rest)
 
 
 def exact_mean(value: Column) -> Column:

@@ -8,6 +8,7 @@ from trailmark.functions import percent, round_to
 from trailmark.operators.rollups import event_counts, mean_price, merged_counts
 from trailmark.params import BRAND, DEFAULTS, PRODUCT_ID
 
+# Columns of the table.
 TABLE = [
     BRAND, "views", "carts", "purchases",
     "view_to_cart_rate", "cart_to_purchase_rate", "overall_conversion_rate", "avg_price",

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -14,6 +13,7 @@ from trailmark.functions import round_to
 from trailmark.params import DEFAULTS, USER_ID
 from trailmark.storage import materialize
 
+# The features, in this order.
 FEATURES = [
     "total_events", "total_views", "total_carts",
     "total_purchases", "avg_price", "session_count",
@@ -22,9 +22,6 @@ FEATURES = [
 # A fit has converged when no centre moves further than this.
 CENTRE_SHIFT = 0.01
 
-# A pass over fewer users than this takes less time than starting its task.
-USERS_PER_TASK = 50_000
-
 
 def _available(segments: DataFrame) -> list[str]:
     return [name for name in FEATURES if name in segments.columns]
@@ -86,8 +83,7 @@ def cluster_users(
         raise ValueError(f"{n_clusters} clusters need at least {n_clusters} users")
     inputs = [_scaled(name) for name in _available(segments)]
     vectors = VectorAssembler(inputCols=inputs, outputCol="features").transform(scaled)
-    tasks = math.ceil(users / USERS_PER_TASK)
-    model = _best_fit(vectors.select("features").coalesce(tasks), n_clusters, seed, starts)
+    model = _best_fit(vectors.select("features"), n_clusters, seed, starts)
     centres = [tuple(centre) for centre in model.clusterCenters()]
     by_centre = sorted(range(len(centres)), key=centres.__getitem__)
     numbers = F.array(*[F.lit(by_centre.index(old)) for old in range(len(centres))])

@@ -37,7 +37,7 @@ def kpis_of_users(users: DataFrame, products: DataFrame) -> DataFrame:
     carters = having(F.col("carts") > 0)
     leavers = having((F.col("carts") > 0) & (F.col("purchases") == 0))
     revenue = sum_total(
-        F.sum("revenue_units"), F.sum("revenue_millionths"), F.sum("revenue_large")
+        *[F.sum(f"revenue_{part}") for part in ("high_units", "units", "millionths", "rest")]
     )
     paid = F.sum("revenue_count")
     return users.agg(

@@ -24,7 +24,6 @@ from trailmark.sources.csv import parse_time
 MANY_BAD_PRICES = 50
 MANY_NULLS = 30
 TOO_MANY_NULLS = 80
-SHOWN_TYPES = 20
 
 
 @dataclass
@@ -36,6 +35,8 @@ class ValidationResult:
     warnings: list[str] = field(default_factory=list)
     row_count: int = 0
     column_count: int = 0
+    #: All event types outside the vocabulary, as a table; None when there are none.
+    unknown_types: DataFrame | None = None
 
     def fail(self, message: str) -> None:
         self.is_valid = False
@@ -127,9 +128,11 @@ def _check(frame: DataFrame, result: ValidationResult) -> None:
         result.warnings.append(f"optional columns are missing, some results may be: {absent}")
 
     if seen.get("unknown_type_rows"):
-        found = [row[0] for row in unknown_event_types(frame).take(SHOWN_TYPES + 1)]
-        more = " and more" if len(found) > SHOWN_TYPES else ""
-        result.warnings.append(f"unknown event types: {found[:SHOWN_TYPES]}{more}")
+        result.unknown_types = unknown_event_types(frame)
+        result.warnings.append(
+            f"{result.unknown_types.count():,} unknown event types in "
+            f"{seen['unknown_type_rows']:,} rows, listed in unknown_types"
+        )
     if seen.get("view_rows") == 0:
         result.fail("no 'view' events, a funnel cannot be built")
 

@@ -15,8 +15,8 @@ from trailmark.params import EVENT_TIME, EVENT_TYPE, PRICE, STAGE_RANK, USER_ID
 
 SUMS = [
     "events", "typed", "views", "carts", "purchases",
-    "price_units", "price_millionths", "price_large", "price_count",
-    "revenue_units", "revenue_millionths", "revenue_large", "revenue_count",
+    "price_high_units", "price_units", "price_millionths", "price_rest", "price_count",
+    "revenue_high_units", "revenue_units", "revenue_millionths", "revenue_rest", "revenue_count",
 ]
 COUNTS = [*SUMS, "stage_rank"]
 
@@ -64,7 +64,9 @@ def merged_counts() -> list[Column]:
 
 def mean_price() -> Column:
     """Mean of the prices in a rollup; null when there were none."""
-    total = sum_total(F.col("price_units"), F.col("price_millionths"), F.col("price_large"))
+    total = sum_total(
+        *[F.col(f"price_{part}") for part in ("high_units", "units", "millionths", "rest")]
+    )
     return F.when(F.col("price_count") > 0, total / F.col("price_count"))
 
 

@@ -34,7 +34,8 @@ CLICK_BOTS, CLICK_GAP = 6, 360
 ORDER_BOTS, ORDER_GAP = 8, 30 * 24 * 60
 DATES = ("2024-01-05", "2024-01-20")
 BRANDS = ["Brand#1", "Brand#2", "Brand#13"]
-CHI_SQUARE_GROUPS = ["market", "account_state"]
+# The brand differs between the events of a user; the others do not.
+CHI_SQUARE_GROUPS = ["market", "account_state", "brand"]
 
 
 def _time_text(name: str) -> Column:
@@ -358,38 +359,17 @@ def unknown_event_types(spark: SparkSession, folder: str) -> DataFrame:
     return quality.unknown_event_types(clicks(spark, folder))
 
 
-def chi_square_contingency(spark: SparkSession, folder: str) -> DataFrame:
-    log = orders_log(spark, folder, customers=True)
-    tables = [
-        stats.contingency(log, name).select(F.lit(name).alias("factor"), "*")
-        for name in CHI_SQUARE_GROUPS
-    ]
-    return tables[0].unionByName(tables[1])
-
-
-def chi_square_statistic(spark: SparkSession, folder: str) -> DataFrame:
-    log = orders_log(spark, folder, customers=True)
-    tests = {name: stats.chi_square_conversion_test(log, name) for name in CHI_SQUARE_GROUPS}
-    results = [
-        F.struct(
-            F.lit(name).alias("factor"),
-            F.lit(test.chi2).cast("double").alias("chi2"),
-            F.lit(test.p_value).cast("double").alias("p_value"),
-            F.lit(test.dof).cast("bigint").alias("dof"),
-            F.lit(test.significant).cast("boolean").alias("significant"),
-        )
-        for name, test in tests.items()
-    ]
-    return spark.range(1).select(F.inline(F.array(*results)))
+def _contingencies(spark: SparkSession, folder: str) -> DataFrame:
+    log = orders_log(spark, folder, products=True, customers=True)
+    return stats.contingencies(log, *CHI_SQUARE_GROUPS)
 
 
-# -- generated events ------------------------------------------------------
+def chi_square_contingency(spark: SparkSession, folder: str) -> DataFrame:
+    return _contingencies(spark, folder)
 
 
-def generate_events(spark: SparkSession, folder: str) -> DataFrame:
-    """A synthetic click log of all customers."""
-    users = read_table(spark, folder, "customer").select(F.col("c_custkey").alias("user_id"))
-    return simulate_users(users).withColumn("event_time", _time_text("event_time"))
+def chi_square_statistic(spark: SparkSession, folder: str) -> DataFrame:
+    return stats.chi_square(_contingencies(spark, folder)).drop("users")
 
 
 QUERIES: dict[str, Query] = {
@@ -451,5 +431,4 @@ QUERIES: dict[str, Query] = {
     "unknown_event_types": unknown_event_types,
     "chi_square_contingency": chi_square_contingency,
     "chi_square_statistic": chi_square_statistic,
-    "generate_events": generate_events,
 }

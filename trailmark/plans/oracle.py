@@ -247,6 +247,7 @@ CONTINGENCY = (
     + """, buyers AS (
   SELECT user_id, arg_min(market, event_time) AS market,
          arg_min(account_state, event_time) AS account_state,
+         min(struct_pack(t := event_time, b := brand)).b AS brand,
          bool_or(event_type = 'purchase') AS bought
   FROM orders_log GROUP BY user_id
 ),
@@ -254,6 +255,8 @@ contingency AS ("""
     + _contingency("market")
     + " UNION ALL "
     + _contingency("account_state")
+    + " UNION ALL "
+    + _contingency("brand")
     + ")"
 )
 
@@ -283,6 +286,8 @@ statistic AS (
 tails AS (
   SELECT factor, dof, chi2,
          CASE dof WHEN 4 THEN exp(-chi2 / 2) * (1 + chi2 / 2)
+                  WHEN 24 THEN exp(-chi2 / 2) * (
+                    SELECT sum(power(chi2 / 2, n) / gamma(n + 1)) FROM range(12) t(n))
                   WHEN 1 THEN 1 - 2 / sqrt(pi()) * (
                     SELECT sum(power(-1, n) * power(sqrt(chi2 / 2), 2 * n + 1)
                                / (gamma(n + 1) * (2 * n + 1)))

@@ -157,20 +157,9 @@ def simulate_users(users: DataFrame, seed: int = DEFAULTS.seed) -> DataFrame:
 
 
 def generate_events(
-    spark: SparkSession,
-    n_rows: int = DEFAULTS.sample_rows,
-    seed: int = DEFAULTS.seed,
-    exact: bool = False,
+    spark: SparkSession, n_rows: int = DEFAULTS.sample_rows, seed: int = DEFAULTS.seed
 ) -> DataFrame:
-    """About ``n_rows`` events of users 1, 2, 3, ...
-
-    With ``exact`` the log ends after exactly ``n_rows`` events in the order of
-    user, session and time, which costs a sort; otherwise every user is whole.
-    """
-    spare = 1.5 * n_rows / EVENTS_PER_USER + 50 if exact else n_rows / EVENTS_PER_USER
-    users = spark.range(1, max(1, round(spare)) + 1).withColumnRenamed("id", "user_id")
-    events = simulate_users(users, seed)
-    if not exact:
-        return events
-    session = F.substring_index("user_session", "_", -1).cast("int")
-    return events.orderBy("user_id", session, "event_time", "event_type").limit(n_rows)
+    """About ``n_rows`` events of users 1, 2, 3, ..., all whole; for tests and benchmarks."""
+    n_users = max(1, round(n_rows / EVENTS_PER_USER))
+    users = spark.range(1, n_users + 1).withColumnRenamed("id", "user_id")
+    return simulate_users(users, seed)
