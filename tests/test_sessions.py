@@ -7,7 +7,7 @@ from helpers import log, rows
 from pyspark.sql import functions as F
 
 from trailmark.functions import quantile_neighbours
-from trailmark.operators import sessions
+from trailmark.operators import clean, cohort, sessions, temporal
 
 
 def spans(frame):
@@ -196,3 +196,97 @@ def test_running_ids_over_several_ranges_of_users(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got == {key: number for number, key in enumerate(sorted(got), start=1)}
+
+
+@pytest.fixture
+def new_york(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    yield spark
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+NIGHT = [
+    (1, "2024-03-10 01:50:00"),
+    (1, "2024-03-10 03:10:00.25"),
+    (1, "2024-03-10 03:20:00"),
+    (1, "1969-12-31 23:59:59.999999"),
+]
+
+
+def night(spark, kind):
+    frame = spark.createDataFrame(NIGHT, "user_id int, text string")
+    return frame.selectExpr(
+        "user_id", f"cast(text AS {kind}) AS event_time", "'view' AS event_type", "1.0D AS price", "7 AS product_id"
+    )
+
+
+def test_times_without_a_zone_mean_the_same_in_any_session(new_york):
+    """The night clocks go forward: 80 minutes by the wall clock, 20 in the zone."""
+    events = night(new_york, "timestamp_ntz")
+    tagged = sessions.assign_sessions(events, 30, use_existing=False)
+    assert sorted((r.session_id, r.session_duration_sec) for r in tagged.collect()) == [
+        ("1_1", 0.0), ("1_2", 0.0), ("1_3", 599.75), ("1_3", 599.75),
+    ]
+    summary = sessions.session_summary(events, 30, use_existing=False).collect()
+    assert sorted((str(r.session_start), str(r.session_end), r.duration_us) for r in summary) == [
+        ("1969-12-31 23:59:59.999999", "1969-12-31 23:59:59.999999", 0),
+        ("2024-03-10 01:50:00", "2024-03-10 01:50:00", 0),
+        ("2024-03-10 03:10:00.250000", "2024-03-10 03:20:00", 599_750_000),
+    ]
+
+
+def test_times_with_a_zone_are_refused_outside_utc(new_york):
+    events = night(new_york, "timestamp")
+    for analysis in (
+        lambda: sessions.assign_sessions(events, use_existing=False),
+        lambda: sessions.session_summary(events),
+        lambda: sessions.session_rollup(events),
+        lambda: temporal.slot_counts(events),
+        lambda: temporal.daily_events(events),
+        lambda: cohort.cohort_assign(events),
+        lambda: clean.bot_users(events),
+        lambda: clean.filter_date_range(events, "2024-01-01", "2024-01-02"),
+    ):
+        with pytest.raises(ValueError, match="timeZone"):
+            analysis()
+
+
+def lone_log(spark):
+    return log(
+        spark,
+        [
+            ("2024-01-01 10:00:00", "view", None, 1, 1.0),
+            ("2024-01-01 10:05:00", "view", None, 1, 1.0),
+            ("2024-01-01 10:05:00", "view", None, 1, 1.0),
+            (None, "cart", None, 1, 1.0),
+            (None, "view", 5, 1, 1.0),
+            ("2024-01-01 10:00:00", "view", 5, 1, 1.0),
+            ("2024-01-01 10:01:00", "cart", 5, 1, 1.0),
+            ("2024-01-01 10:01:00", "cart", 3, 1, 1.0),
+        ],
+    )
+
+
+def test_events_without_a_user_are_sessions_with_stable_ids(spark):
+    events = lone_log(spark)
+    tagged = [rows(sessions.assign_sessions(events.repartition(n), 30, False)) for n in (1, 5)]
+    assert tagged[0] == tagged[1]
+    ids = [row[-2] for row in tagged[0]]
+    assert len(set(ids)) == 7 and sum(i.startswith("row_") for i in ids) == 5
+    table = sessions.session_summary(events, 30, use_existing=False).collect()
+    assert sorted(row.session_id for row in table) == sorted(set(ids))
+    assert all(row.sessions == 1 for row in table)
+    assert sum(row.events for row in table) == 8
+    for row in table:
+        if row.user_id is None:
+            assert (row.events, row.session_start) == (1, row.session_end)
+    metrics = sessions.session_metrics(sessions.session_summary(events, 30, use_existing=False)).first()
+    assert metrics.session_count == 7
+
+
+def test_running_numbers_are_given_to_all_sessions(spark):
+    tagged = sessions.assign_sessions(lone_log(spark), 30, False, running_ids=True)
+    numbers = {}
+    for row in tagged.collect():
+        numbers.setdefault(row.user_id, set()).add(int(row.session_id))
+    assert numbers == {3: {1}, 5: {2, 3}, None: {4, 5, 6, 7}}

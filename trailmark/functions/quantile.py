@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Hour, second and microsecond when the values are microseconds. Each step
@@ -17,17 +19,19 @@ def quantile_neighbours(
     q: float,
     steps: tuple[int, ...] = MICROSECOND_STEPS,
 ) -> DataFrame:
-    """One row ``total, lower, upper, fraction, up_to_lower`` around the ``q`` quantile.
+    """One row ``total, lower, upper, fraction, up_to_lower, smallest`` around the ``q`` quantile.
 
     ``values`` holds each distinct whole number with its count. The linear
     quantile is ``lower + (upper - lower) * fraction``; ``up_to_lower`` counts
     the values that are not greater than ``lower``. No row for no values.
+
+    Between two steps the two buckets found, two small rows, come to the driver:
+    as literal bounds they reach the scan, which then reads those buckets only.
     """
 
-    def bucket(step: int):
+    def bucket(step: int) -> Column:
         return F.expr(f"`{value}` - pmod(`{value}`, {step}L)")
 
-    # The ranks of the two neighbours, then their buckets, finer step by step.
     in_order = Window.orderBy("bucket")
     so_far = (Window.unboundedPreceding, Window.currentRow)
     everything = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -35,12 +39,13 @@ def quantile_neighbours(
     lower_rank = F.floor(position)
     found = _bucket_of_rank(
         values.groupBy(bucket(steps[0]).alias("bucket"))
-        .agg(F.sum(weight).alias("n"))
+        .agg(F.sum(weight).alias("n"), F.min(value).alias("least"))
         .select(
             "bucket",
             "n",
             F.sum("n").over(in_order.rowsBetween(*so_far)).alias("up_to"),
             F.sum("n").over(everything).alias("total"),
+            F.min("least").over(everything).alias("smallest"),
             F.lit(0).cast("bigint").alias("before"),
         )
         .select(
@@ -51,23 +56,35 @@ def quantile_neighbours(
             ).alias("side", "rank"),
         )
     )
-    carried = ["side", "rank", "total", "fraction", "before"]
+    carried = ["side", "rank", "total", "fraction", "smallest", "before"]
     for coarse, fine in zip(steps, steps[1:]):
+        rows = found.collect()  # two rows, one per side
         within = Window.partitionBy("side").orderBy("bucket").rowsBetween(*so_far)
-        # `found` always has two rows, one per side.
-        inside = values.withColumn("outer", bucket(coarse)).join(
-            F.broadcast(found.withColumnRenamed("bucket", "outer").drop("n")), "outer"
-        )
+        sides = []
+        for row in rows:
+            inside = values.where(
+                (F.col(value) >= row["bucket"]) & (F.col(value) < row["bucket"] + coarse)
+            )
+            constants = [
+                F.lit(row[name]).cast(found.schema[name].dataType).alias(name) for name in carried
+            ]
+            sides.append(
+                inside.groupBy(bucket(fine).alias("bucket")).agg(F.sum(weight).alias("n")).select(
+                    *constants, "bucket", "n"
+                )
+            )
+        if not sides:
+            break
         found = _bucket_of_rank(
-            inside.groupBy(*carried, bucket(fine).alias("bucket"))
-            .agg(F.sum(weight).alias("n"))
-            .withColumn("up_to", F.col("before") + F.sum("n").over(within))
+            reduce(DataFrame.unionByName, sides).withColumn(
+                "up_to", F.col("before") + F.sum("n").over(within)
+            )
         )
 
     def on(side: int, column) -> Column:
         return F.max(F.when(F.col("side") == side, column))
 
-    return found.groupBy("total", "fraction").agg(
+    return found.groupBy("total", "fraction", "smallest").agg(
         on(0, F.col("bucket")).alias("lower"),
         on(1, F.col("bucket")).alias("upper"),
         on(0, F.col("before") + F.col("n")).alias("up_to_lower"),
@@ -78,5 +95,5 @@ def _bucket_of_rank(buckets: DataFrame) -> DataFrame:
     """The buckets in which the ranks lie, with the number of values before them."""
     before = F.col("up_to") - F.col("n")
     return buckets.where((F.col("rank") >= before) & (F.col("rank") < F.col("up_to"))).select(
-        "side", "rank", "total", "fraction", before.alias("before"), "bucket", "n"
+        "side", "rank", "total", "fraction", "smallest", before.alias("before"), "bucket", "n"
     )

@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from trailmark.functions import percent
+from trailmark.functions import check_clock, percent
 from trailmark.params import BRAND, DEDUP_KEY, DEFAULTS, EVENT_TIME, USER_ID
 from trailmark.storage import materialize
 
@@ -14,7 +14,8 @@ from trailmark.storage import materialize
 def bot_users(events: DataFrame, threshold: int = DEFAULTS.bot_threshold) -> DataFrame:
     """Users with more than ``threshold`` events on some day, and their busiest day's count."""
     return (
-        events.where(F.col(USER_ID).isNotNull() & F.col(EVENT_TIME).isNotNull())
+        check_clock(events)
+        .where(F.col(USER_ID).isNotNull() & F.col(EVENT_TIME).isNotNull())
         .groupBy(USER_ID, F.to_date(EVENT_TIME).alias("day"))
         .agg(F.count("*").alias("n"))
         .where(F.col("n") > threshold)
@@ -81,7 +82,7 @@ def cleaning_report(events: DataFrame, threshold: int = DEFAULTS.bot_threshold)
     read and shuffled once.
     """
     key = [name for name in DEDUP_KEY if name in events.columns]
-    copies = events.groupBy(*key).agg(F.count("*").alias("copies"))
+    copies = check_clock(events).groupBy(*key).agg(F.count("*").alias("copies"))
     per_day = (
         copies.groupBy(USER_ID, F.to_date(EVENT_TIME).alias("day"))
         .agg(F.sum("copies").alias("rows"), F.count("*").alias("distinct_rows"))
@@ -120,7 +121,7 @@ def filter_date_range(
     The fraction of the last second is left out, unless ``whole_last_day``.
     The bounds take the column's own type, so that the scan can use them.
     """
-    dtype = events.schema[EVENT_TIME].dataType
+    dtype = check_clock(events).schema[EVENT_TIME].dataType
     first, last = (dt.date.fromisoformat(str(day)[:10]) for day in (start, end))
     time = F.col(EVENT_TIME)
     lower = time >= F.lit(f"{first} 00:00:00").cast(dtype)
@@ -150,7 +151,7 @@ def apply_filters(
 
 def date_bounds(events: DataFrame) -> DataFrame:
     """First and last day of the log."""
-    return events.agg(
+    return check_clock(events).agg(
         F.to_date(F.min(EVENT_TIME)).alias("min_date"),
         F.to_date(F.max(EVENT_TIME)).alias("max_date"),
     )

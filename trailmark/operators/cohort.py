@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from trailmark.functions import exact_mean, month_index, month_label, percent, round_to
+from trailmark.functions import check_clock, exact_mean, month_index, month_label, percent, round_to
 from trailmark.params import DEFAULTS, EVENT_TIME, EVENT_TYPE, USER_ID
 
 
@@ -17,7 +17,8 @@ def cohort_assign(events: DataFrame, event_types: list[str] | None = None) -> Da
     if event_types:
         events = events.where(F.col(EVENT_TYPE).isin(event_types))
     months = (
-        events.where(F.col(USER_ID).isNotNull() & F.col(EVENT_TIME).isNotNull())
+        check_clock(events)
+        .where(F.col(USER_ID).isNotNull() & F.col(EVENT_TIME).isNotNull())
         .select(USER_ID, month_index(F.col(EVENT_TIME)).alias("month"))
         .distinct()
     )

@@ -11,7 +11,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from trailmark.functions import epoch_micros, quantile_neighbours, round_to
+from trailmark.functions import (
+    check_clock,
+    epoch_micros,
+    from_micros,
+    quantile_neighbours,
+    round_to,
+)
 from trailmark.operators.rollups import COUNTS, event_counts, merged_counts, time_span
 from trailmark.params import (
     DEFAULTS,
@@ -40,10 +46,7 @@ def _slice_start(gap_minutes: int) -> Column:
 
 
 def _numbered_slices(slices: DataFrame, gap_minutes: int) -> DataFrame:
-    """Add ``session_seq``, the number of the session within its user.
-
-    A slice without a user or a time joins no other slice.
-    """
+    """Add ``session_seq``, the number of the session within its user."""
     in_order = Window.partitionBy(USER_ID).orderBy(F.col("slice").asc_nulls_last())
     pause = F.col("start_us") - F.lag("end_us").over(in_order)
     same = F.col(USER_ID).isNotNull() & F.coalesce(pause <= gap_minutes * 60_000_000, F.lit(False))
@@ -53,79 +56,93 @@ def _numbered_slices(slices: DataFrame, gap_minutes: int) -> DataFrame:
     )
 
 
-def _sessions_before(numbered: DataFrame) -> DataFrame:
-    """``before``: how many sessions all lower users have, for each user.
+def _alone() -> Column:
+    """An event without a user or a time is a session of its own."""
+    return F.col(USER_ID).isNull() | F.col(EVENT_TIME).isNull()
+
+
+def _lone_events(events: DataFrame) -> DataFrame:
+    """The events that are alone, with a ``session_id`` made of what they hold.
+
+    Equal events are counted and numbered, so the ids do not depend on the
+    order of rows or files.
+    """
+    names = events.columns
+    content = F.sha2(F.to_json(F.struct(*[F.col(f"`{n}`") for n in names])), 256)
+    name = F.concat_ws("_", F.lit("row"), F.substring(content, 1, 32), "copy")
+    return (
+        events.where(_alone())
+        .groupBy(*[F.col(f"`{n}`") for n in names])
+        .agg(F.count(F.lit(1)).alias("copies"))
+        .select(*[F.col(f"`{n}`") for n in names], F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+        .select(*[F.col(f"`{n}`") for n in names], name.alias(SESSION_ID))
+    )
+
+
+def _numbered_in_ranges(rows: DataFrame, order: list[Column], size: Column, label: str) -> DataFrame:
+    """Add ``before``, the sum of ``size`` over all lower rows in a global order.
 
-    The users are spread by range and counted per range. The window over the
-    ranges sees one row per partition, those over users one partition each.
+    The rows are spread by range and counted per range. The window over the
+    ranges sees one row per partition, those over rows one partition each.
     """
-    counts = numbered.groupBy(USER_ID).agg(F.max("session_seq").alias("n"))
     ranged = materialize(
-        counts.repartitionByRange(USER_ID).withColumn("range", F.spark_partition_id()), "counts"
+        rows.withColumn("size", size).repartitionByRange(*order).withColumn("range", F.spark_partition_id()),
+        label,
     )
     lower = (Window.unboundedPreceding, -1)
     ranges = (
         ranged.groupBy("range")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum("size").alias("n"))
         .select("range", F.sum("n").over(Window.orderBy("range").rowsBetween(*lower)).alias("base"))
     )
-    in_range = Window.partitionBy("range").orderBy(USER_ID).rowsBetween(*lower)
-    before = F.coalesce("base", F.lit(0)) + F.coalesce(F.sum("n").over(in_range), F.lit(0))
+    in_range = Window.partitionBy("range").orderBy(*order).rowsBetween(*lower)
+    before = F.coalesce("base", F.lit(0)) + F.coalesce(F.sum("size").over(in_range), F.lit(0))
     # `ranges` has one row per partition of the shuffle above.
-    return ranged.join(F.broadcast(ranges), "range").select(
-        F.col(USER_ID).alias("counted_user"), before.alias("before")
-    )
+    return ranged.join(F.broadcast(ranges), "range").withColumn("before", before).drop("range", "base")
+
 
+def _assign_by_gap(
+    events: DataFrame, gap_minutes: int, running_ids: bool = False
+) -> DataFrame:
+    """Join every event with the session of its slice.
 
-def _gap_sessions(events: DataFrame, gap_minutes: int, running_ids: bool) -> DataFrame:
-    """(user, slice) -> session id and span, for the events that have user and time."""
+    The join key is (user, slice). Where even a single slice is hot, the
+    adaptive skew join splits the events of that slice over several tasks.
+    """
+    known = events.where(~_alone()).withColumn("event_slice", _slice_start(gap_minutes))
     slices = (
-        events.where(F.col(USER_ID).isNotNull() & F.col(EVENT_TIME).isNotNull())
+        events.where(~_alone())
         .groupBy(USER_ID, _slice_start(gap_minutes).alias("slice"))
         .agg(*time_span())
     )
-    session = Window.partitionBy(USER_ID, "session_seq")
     numbered = _numbered_slices(slices, gap_minutes)
+    lone = _lone_events(events)
     session_id = F.concat_ws("_", USER_ID, "session_seq")
     if running_ids:
-        before = _sessions_before(numbered)
-        numbered = numbered.join(before, F.col(USER_ID) == F.col("counted_user"))
+        # written once: counted per user here, joined with the events below
+        numbered = materialize(numbered, "numbered-slices")
+        counts = numbered.groupBy(USER_ID).agg(F.max("session_seq").alias("n"))
+        counts = _numbered_in_ranges(counts, [F.col(USER_ID)], F.col("n"), "session-counts")
+        last = F.coalesce(counts.agg(F.sum("size").alias("n")).scalar(), F.lit(0))
+        order = [F.col(USER_ID).asc_nulls_last(), F.col(EVENT_TIME).asc_nulls_last(), F.col(SESSION_ID).asc()]
+        lone = _numbered_in_ranges(lone, order, F.lit(1), "lone-events")
+        lone = lone.withColumn(SESSION_ID, (F.col("before") + 1 + last).cast("string"))
+        counts = counts.select(F.col(USER_ID).alias("counted_user"), "before")
+        numbered = numbered.join(counts, F.col(USER_ID) == F.col("counted_user"))
         session_id = (F.col("before") + F.col("session_seq")).cast("string")
-    return numbered.select(
+    session = Window.partitionBy(USER_ID, "session_seq")
+    sessions = numbered.select(
         F.col(USER_ID).alias("slice_user"),
         "slice",
-        session_id.alias("gap_session"),
-        seconds(F.min("start_us").over(session), F.max("end_us").over(session)).alias("gap_sec"),
+        session_id.alias(SESSION_ID),
+        seconds(F.min("start_us").over(session), F.max("end_us").over(session)).alias(SESSION_DURATION),
     )
-
-
-def _assign_by_gap(
-    events: DataFrame, gap_minutes: int, running_ids: bool = False
-) -> DataFrame:
-    """Join every event with the session of its slice.
-
-    The join key is (user, slice). Where even a single slice is hot, the
-    adaptive skew join splits the events of that slice over several tasks.
-    An event without a user or a time is a session of its own.
-    """
-    alone = F.col(USER_ID).isNull() | F.col(EVENT_TIME).isNull()
-    lone_id = F.concat(F.lit("row_"), F.monotonically_increasing_id().cast("string"))
-    left = events.withColumns(
-        {"event_slice": _slice_start(gap_minutes), "lone_id": F.when(alone, lone_id)}
-    )
-    sessions = _gap_sessions(events, gap_minutes, running_ids)
-    joined = left.join(
-        sessions,
-        (F.col(USER_ID) == F.col("slice_user")) & (F.col("event_slice") == F.col("slice")),
-        "left",
+    tagged = known.join(
+        sessions, (F.col(USER_ID) == F.col("slice_user")) & (F.col("event_slice") == F.col("slice"))
     )
-    lone_sec = F.when(F.col(EVENT_TIME).isNotNull(), F.lit(0.0))
-    return joined.withColumns(
-        {
-            SESSION_ID: F.coalesce("gap_session", "lone_id"),
-            SESSION_DURATION: F.coalesce("gap_sec", lone_sec),
-        }
-    ).select(*events.columns, SESSION_ID, SESSION_DURATION)
+    columns = [*[F.col(f"`{n}`") for n in events.columns], F.col(SESSION_ID)]
+    lone_sec = F.when(F.col(EVENT_TIME).isNotNull(), F.lit(0.0)).alias(SESSION_DURATION)
+    return tagged.select(*columns, SESSION_DURATION).unionByName(lone.select(*columns, lone_sec))
 
 
 def _given_id() -> Column:
@@ -173,11 +190,12 @@ def assign_sessions(
     them. Events whose id is missing then form one session together
     (``missing="shared"``) or are given sessions by pauses (``missing="gap"``).
 
-    Sessions by pauses are called ``user_number``; with ``running_ids`` they
-    are numbered 1, 2, 3, ... through the whole log in the order of user and
-    time, which costs one more small table.
+    Sessions by pauses are called ``user_number``; an event without a user or a
+    time is a session of its own, called after its content. With ``running_ids``
+    all of them are numbered 1, 2, 3, ... through the whole log in the order of
+    user and time, those events last.
     """
-    events = events.drop(SESSION_ID, SESSION_DURATION)
+    events = check_clock(events).drop(SESSION_ID, SESSION_DURATION)
     if not (use_existing and USER_SESSION in events.columns):
         return _assign_by_gap(events, gap_minutes, running_ids)
     if missing == "shared":
@@ -198,23 +216,24 @@ def session_rollup(
     """One row per user and session with its counts, without tagging any event.
 
     Columns: ``user_id, session_id, sessions, start_us, end_us, duration_us``
-    and the event counts. With sessions by pauses, an event without a user or
-    a time is a session of its own: such events share rows here, and
-    ``sessions`` tells how many sessions a row stands for (otherwise 1).
+    and the event counts; ``sessions`` is 1. With sessions by pauses, an event
+    without a user or a time is a session and a row of its own, with the same
+    id as in ``assign_sessions``.
     """
+    check_clock(events)
     if use_existing and USER_SESSION in events.columns:
         per_user = _given_counts(events)
         spans = per_user.groupBy(SESSION_ID).agg(
             F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us")
         )
         rollup = _join_spans(per_user, spans).withColumnRenamed("span_us", "duration_us")
-        sessions = F.lit(1).cast("bigint")
     else:
-        slices = events.groupBy(USER_ID, _slice_start(gap_minutes).alias("slice")).agg(
-            *time_span(), *event_counts()
+        slices = (
+            events.where(~_alone())
+            .groupBy(USER_ID, _slice_start(gap_minutes).alias("slice"))
+            .agg(*time_span(), *event_counts())
         )
-        alone = F.col(USER_ID).isNull() | F.col("start_us").isNull()
-        rollup = (
+        known = (
             _numbered_slices(slices, gap_minutes)
             .groupBy(USER_ID, "session_seq")
             .agg(
@@ -223,18 +242,15 @@ def session_rollup(
                 *merged_counts(),
             )
             .withColumn(SESSION_ID, F.concat(F.col(USER_ID), F.lit("_"), F.col("session_seq")))
-            .withColumn(
-                "duration_us",
-                F.when(
-                    F.col(USER_ID).isNull(), F.when(F.col("start_us").isNotNull(), F.lit(0))
-                ).otherwise(F.col("end_us") - F.col("start_us")),
-            )
+            .drop("session_seq")
         )
-        sessions = F.when(alone, F.col("events")).otherwise(F.lit(1))
+        lone = _lone_events(events.drop(SESSION_ID, SESSION_DURATION))
+        lone = lone.groupBy(USER_ID, SESSION_ID).agg(*time_span(), *event_counts())
+        rollup = known.unionByName(lone).withColumn("duration_us", F.col("end_us") - F.col("start_us"))
     return rollup.select(
         USER_ID,
         SESSION_ID,
-        sessions.alias("sessions"),
+        F.lit(1).cast("bigint").alias("sessions"),
         "start_us",
         "end_us",
         "duration_us",
@@ -270,6 +286,7 @@ def session_summary(
 
     A given id shared by several users is one session; its user is the lowest.
     """
+    check_clock(events)
     if use_existing and USER_SESSION in events.columns:
         rows = (
             _given_counts(events)
@@ -290,8 +307,8 @@ def session_summary(
         USER_ID,
         SESSION_ID,
         "sessions",
-        F.timestamp_micros("start_us").cast(dtype).alias("session_start"),
-        F.timestamp_micros("end_us").cast(dtype).alias("session_end"),
+        from_micros(F.col("start_us"), dtype).alias("session_start"),
+        from_micros(F.col("end_us"), dtype).alias("session_end"),
         "events",
         "views",
         "duration_us",
@@ -324,9 +341,15 @@ def length_distribution(summary: DataFrame) -> DataFrame:
     )
 
 
+def _written(distribution: DataFrame) -> DataFrame:
+    """The distribution in order of length, so that a scan can skip what it need not see."""
+    ordered = distribution.repartitionByRange("duration_us").sortWithinPartitions("duration_us")
+    return materialize(ordered, "lengths")
+
+
 def length_p99(distribution: DataFrame, q: float = 0.99) -> DataFrame:
     """One row: sessions, the exact ``q`` quantile of minutes, sessions up to it."""
-    return _quantile(materialize(distribution, "lengths"), q).select(
+    return _quantile(_written(distribution), q).select(
         F.col("total").alias("sessions"),
         round_to(F.col("cap_min"), 4).alias("cap_min"),
         F.col("up_to_lower").alias("sessions_kept"),
@@ -344,37 +367,37 @@ def _quantile(distribution: DataFrame, q: float) -> DataFrame:
 def length_histogram(distribution: DataFrame, bins: int = 50, q: float = 0.99) -> DataFrame:
     """Equal bins over session minutes from the shortest to the ``q`` quantile.
 
-    Longer sessions are left out, as in the chart this feeds. Bins without a
-    session are not listed. The distribution is read several times, so it is
-    written down first.
+    Longer sessions are left out, as in the chart this feeds. All bins are
+    listed, those without a session with 0; no sessions at all make no bins.
     """
-    distribution = materialize(distribution, "lengths")
-    bounds = (
-        _quantile(distribution, q)
-        .select(
-            F.struct(
-                "lower",
-                "cap_min",
-                (distribution.agg(F.min("duration_us")).scalar() / F.lit(60e6)).alias("min_min"),
-            ).alias("bounds")
-        )
-        .scalar()
+    distribution = _written(distribution)
+    found = _quantile(distribution, q).select(
+        "lower", "cap_min", (F.col("smallest") / F.lit(60e6)).alias("min_min")
     )
+    limit = found.first()
+    if limit is None:
+        limit = {"lower": -1, "cap_min": 0.0, "min_min": 0.0}
     minutes = F.col("duration_us") / F.lit(60e6)
-    width = (F.col("b.cap_min") - F.col("b.min_min")) / F.lit(bins)
-    index = F.when(
-        width > 0, F.least(F.floor((minutes - F.col("b.min_min")) / width), F.lit(bins - 1))
-    ).otherwise(F.lit(0))
+    span = limit["cap_min"] - limit["min_min"]
+    bins = bins if span > 0 else 1  # sessions of one length
+    start, width = F.lit(limit["min_min"]), F.lit(span / bins)
+    index = F.when(width > 0, F.least(F.floor((minutes - start) / width), F.lit(bins - 1))).otherwise(F.lit(0))
+    # the bound is a literal, so the scan skips what is longer
+    counts = (
+        distribution.where(F.col("duration_us") <= limit["lower"])
+        .groupBy((index + 1).cast("bigint").alias("bin"))
+        .agg(F.sum("sessions").alias("n"))
+        .groupBy()
+        .agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("n"))
+    )  # one row, with at most `bins` entries
     return (
-        distribution.withColumn("b", bounds)
-        .where(F.col("duration_us") <= F.col("b.lower"))
-        .groupBy((index + 1).cast("bigint").alias("bin"), F.col("b"))
-        .agg(F.sum("sessions").alias("sessions"))
+        counts.where(F.size("n") > 0)
+        .select("n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(bins).cast("bigint"))).alias("bin"))
         .select(
             "bin",
-            round_to(F.col("b.min_min") + width * (F.col("bin") - 1), 4).alias("from_min"),
-            round_to(F.col("b.min_min") + width * F.col("bin"), 4).alias("to_min"),
-            "sessions",
+            round_to(start + width * (F.col("bin") - 1), 4).alias("from_min"),
+            round_to(start + width * F.col("bin"), 4).alias("to_min"),
+            F.coalesce(F.try_element_at("n", F.col("bin")), F.lit(0)).alias("sessions"),
         )
         .orderBy("bin")
     )

@@ -10,14 +10,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from trailmark.functions import percent
+from trailmark.functions import check_clock, percent
 from trailmark.params import EVENT_TIME, EVENT_TYPE, WEEKDAYS
 
 
 def slot_counts(events: DataFrame) -> DataFrame:
     """Events per weekday (0 = Monday), hour and type."""
     return (
-        events.where(F.col(EVENT_TIME).isNotNull() & F.col(EVENT_TYPE).isNotNull())
+        check_clock(events)
+        .where(F.col(EVENT_TIME).isNotNull() & F.col(EVENT_TYPE).isNotNull())
         .groupBy(
             F.weekday(EVENT_TIME).alias("weekday"), F.hour(EVENT_TIME).alias("hour"), EVENT_TYPE
         )
@@ -86,7 +87,8 @@ def peak_purchase_time(slots: DataFrame) -> DataFrame:
 def daily_events(events: DataFrame) -> DataFrame:
     """Events per calendar day and type."""
     return (
-        events.where(F.col(EVENT_TIME).isNotNull() & F.col(EVENT_TYPE).isNotNull())
+        check_clock(events)
+        .where(F.col(EVENT_TIME).isNotNull() & F.col(EVENT_TYPE).isNotNull())
         .groupBy(F.to_date(EVENT_TIME).alias("date"), EVENT_TYPE)
         .agg(F.count("*").alias("count"))
     )

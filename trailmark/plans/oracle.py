@@ -404,9 +404,12 @@ ORACLE: dict[str, str] = {
                   AS BIGINT) + 1 AS bin, min_min, (cap_min - min_min) / 50 AS width
       FROM spans, bounds WHERE duration_us / 60e6 <= cap_min
     )
-    SELECT bin, round_even(min_min + width * (bin - 1), 4) AS from_min,
-           round_even(min_min + width * bin, 4) AS to_min, count(*) AS sessions
-    FROM binned GROUP BY bin, min_min, width ORDER BY bin""",
+    , every AS (
+      SELECT unnest(range(1, 51)) AS bin, min_min, (cap_min - min_min) / 50 AS width FROM bounds
+    )
+    SELECT e.bin, round_even(e.min_min + e.width * (e.bin - 1), 4) AS from_min,
+           round_even(e.min_min + e.width * e.bin, 4) AS to_min, count(b.bin) AS sessions
+    FROM every e LEFT JOIN binned b USING (bin) GROUP BY e.bin, e.min_min, e.width ORDER BY e.bin""",
     "funnel": FUNNEL
     + """SELECT stage, label, users, percentage, drop_off_pct FROM funnel ORDER BY position""",
     "funnel_table": FUNNEL
