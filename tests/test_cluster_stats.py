@@ -43,6 +43,15 @@ def test_clear_groups_are_found_and_numbered_by_centre(spark):
     assert cluster.scatter_points(clustered).count() == 89
 
 
+def test_labels_do_not_depend_on_partitions(spark):
+    table = QUERIES["segment_users"](spark, "/root/testdata/sf0.001")
+    labels = [
+        {r.user_id: r.cluster for r in cluster.cluster_users(table.repartition(n, "user_id"), 4).collect()}
+        for n in (1, 5, 11)
+    ]
+    assert labels[0] == labels[1] == labels[2] and len(set(labels[0].values())) == 4
+
+
 def test_too_few_users_or_features(spark):
     with pytest.raises(ValueError):
         cluster.cluster_users(user_table(spark, 3), 4)

@@ -6,14 +6,17 @@ from contextlib import contextmanager
 import pytest
 from pyspark.sql import functions as F
 
-from trailmark.operators import clean, sessions
+from trailmark.operators import clean, cluster, sessions
 from trailmark.plans.catalog import QUERIES
 from trailmark.storage import materialize
 
 FOLDER = "/root/testdata/sf0.001"
 
 
-BOUNDED_WINDOWS = {"session_length_p99", "session_length_histogram", "sessions_gap_running_ids"}
+BOUNDED_WINDOWS = {
+    "session_length_p99", "session_length_histogram", "sessions_gap_running_ids", "running_ids_without_user",
+}
+FITS = {"kmeans_clusters", "kmeans_properties", "cluster_summary"}
 
 
 def plan(frame):
@@ -50,15 +53,44 @@ def is_global(window):
     return not keys or " ASC " in keys[0] or " DESC " in keys[0]
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"kmeans_clusters", "cluster_summary"}))
-def test_no_python_no_pairing_of_all_rows_no_global_window(spark, name):
+@pytest.fixture
+def written(monkeypatch):
+    """Plans of all frames that are written down on the way to a result."""
+    plans = []
+
+    def recorded(frame, label):
+        plans.append(plan(frame))
+        return materialize(frame, label)
+
+    for module in (clean, cluster, sessions):
+        monkeypatch.setattr(module, "materialize", recorded)
+    return plans
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - FITS))
+def test_no_python_no_pairing_of_all_rows_no_global_window(spark, written, name):
     """Two windows have no keys: over hours, which the calendar bounds, and over partitions."""
-    text = plan(QUERIES[name](spark, FOLDER))
-    for node in ("EvalPython", "InPandas", "MapInArrow", "CartesianProduct", "NestedLoopJoin"):
-        assert node not in text
-    windows = [line.split("Window ", 1)[1] for line in text.splitlines() if "- Window [" in line]
-    if name not in BOUNDED_WINDOWS:
-        assert not any(map(is_global, windows))
+    written.append(plan(QUERIES[name](spark, FOLDER)))
+    for text in written:
+        for node in ("EvalPython", "InPandas", "MapInArrow", "CartesianProduct", "NestedLoopJoin"):
+            assert node not in text
+        windows = [line.split("Window ", 1)[1] for line in text.splitlines() if "- Window [" in line]
+        if name not in BOUNDED_WINDOWS:
+            assert not any(map(is_global, windows))
+    if name.startswith(("sessions_", "session_", "remove_bots", "chi_square", "segment", "kpis")):
+        assert any("parquet" in text and "Exchange" in text for text in written)
+
+
+def test_the_length_search_reads_only_the_buckets_it_needs(spark):
+    lengths = spark.range(100_000).selectExpr("id * 1000003 AS duration_us", "1L AS sessions")
+    stored = sessions._written(lengths)
+    text = plan(sessions.quantile_neighbours(stored, "duration_us", "sessions", 0.99))
+    assert "GreaterThanOrEqual(duration_us," in text and "LessThan(duration_us," in text
+
+
+def test_running_ids_number_the_slices_once(spark, written):
+    QUERIES["sessions_gap_running_ids"](spark, FOLDER)
+    assert sum("events.parquet" in text and "lag(" in text for text in written) == 1
 
 
 def test_filters_and_columns_reach_the_scan(spark):

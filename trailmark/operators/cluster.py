@@ -65,10 +65,13 @@ def cluster_users(
     n_clusters: int = DEFAULTS.clusters,
     seed: int = DEFAULTS.seed,
     starts: int = 10,
+    fit_tasks: int = DEFAULTS.fit_tasks,
 ) -> DataFrame:
     """Add ``cluster``, ``pc1`` and ``pc2`` to the user table.
 
-    The best of ``starts`` k-means fits is kept. Clusters are numbered by
+    The best of ``starts`` k-means fits is kept. Where a fit starts depends on the
+    order of users in its tasks, so they are dealt to ``fit_tasks`` tasks by a hash
+    and put in order: the labels are the same however the log was partitioned. Clusters are numbered by
     their centres, so the numbers mean the same from run to run. The features
     are written down once: every pass of every fit reads that table and not
     the event log behind it.
@@ -83,7 +86,8 @@ def cluster_users(
         raise ValueError(f"{n_clusters} clusters need at least {n_clusters} users")
     inputs = [_scaled(name) for name in _available(segments)]
     vectors = VectorAssembler(inputCols=inputs, outputCol="features").transform(scaled)
-    model = _best_fit(vectors.select("features"), n_clusters, seed, starts)
+    dealt = vectors.repartition(fit_tasks, USER_ID).sortWithinPartitions(USER_ID)
+    model = _best_fit(dealt.select("features"), n_clusters, seed, starts)
     centres = [tuple(centre) for centre in model.clusterCenters()]
     by_centre = sorted(range(len(centres)), key=centres.__getitem__)
     numbers = F.array(*[F.lit(by_centre.index(old)) for old in range(len(centres))])
@@ -107,6 +111,44 @@ def _best_fit(vectors: DataFrame, k: int, seed: int, starts: int) -> KMeansModel
     return min(models, key=lambda model: model.summary.trainingCost)
 
 
+def cluster_properties(segments: DataFrame, clustered: DataFrame) -> DataFrame:
+    """One row about a clustering of ``segments``: users, clusters, and what contradicts it.
+
+    ``misplaced`` counts users to whom another cluster's mean is nearer than that
+    of their own by more than the shift at which a fit counts as converged;
+    ``unmatched`` counts users that the summary's clusters leave out or add.
+    """
+    names = [_scaled(name) for name in _available(segments)]
+    # one fit: both the means and the distances read its result
+    labelled = materialize(clustered.select(USER_ID, "cluster", "segment", "total_events", "total_purchases"), "labels")
+    points = scaled_features(segments).select(F.col(USER_ID).alias("of"), *names)
+    points = materialize(
+        points.join(labelled, F.col("of").eqNullSafe(F.col(USER_ID))).select("cluster", F.array(*names).alias("point")),
+        "points",
+    )
+    means = points.groupBy("cluster").agg(
+        F.array(*[F.avg(F.get("point", i)) for i in range(len(names))]).alias("mean")
+    )
+    # as many rows as there are clusters
+    means = means.groupBy().agg(F.sort_array(F.collect_list(F.struct("cluster", "mean"))).alias("means")).scalar()
+
+    def distance(mean: Column) -> Column:
+        squares = F.zip_with("point", mean, lambda a, b: (a - b) * (a - b))
+        return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, square: total + square))
+
+    away = F.transform("means", lambda m: F.struct(m.cluster.alias("cluster"), distance(m["mean"]).alias("d")))
+    own = F.get(F.filter("away", lambda a: a.cluster == F.col("cluster")), 0)["d"]
+    nearest = F.array_min(F.transform("away", lambda a: a.d))
+    placed = points.withColumn("means", means).withColumn("away", away)
+    counted = placed.agg(
+        F.count("*").alias("users"),
+        F.count_distinct("cluster").alias("clusters"),
+        F.count_if(own > nearest + len(names) * CENTRE_SHIFT).alias("misplaced"),
+    )
+    listed = cluster_summary(labelled).agg(F.coalesce(F.sum("users"), F.lit(0)).alias("listed")).scalar()
+    return counted.select("*", F.abs(F.col("users") - listed).alias("unmatched"))
+
+
 def cluster_summary(clustered: DataFrame) -> DataFrame:
     """Users, mean totals and most frequent segment of each cluster.
 

@@ -104,54 +104,112 @@ def unknown_event_types(frame: DataFrame) -> DataFrame:
     )
 
 
+def validation_report(frame: DataFrame) -> DataFrame:
+    """One row per finding: ``level`` (info, warning, error), ``check``, ``count``.
+
+    The two infos are the numbers of rows and columns. A log without rows or
+    columns has no other finding than that.
+    """
+    spark = frame.sparkSession
+    finding = "level string, check string, count bigint"
+    if not frame.columns:
+        return spark.createDataFrame(
+            [("info", "rows", 0), ("info", "columns", 0), ("error", "no_rows", 0)], finding
+        )
+    present = set(frame.columns)
+    seen = quality_metrics(frame)
+    rows = F.col("row_count")
+
+    def share(name: str) -> Column:
+        return F.col(name) / rows * 100
+
+    found: list[tuple[str, str, Column | bool, Column | int]] = []
+    for name in REQUIRED_COLUMNS:
+        found.append(("error", f"missing_{name}", name not in present, 1))
+    for name in OPTIONAL_COLUMNS:
+        found.append(("warning", f"missing_{name}", name not in present, 1))
+    if EVENT_TYPE in present:
+        unknown = F.col("unknown_type_rows")
+        found.append(("warning", "unknown_type_rows", unknown > 0, unknown))
+        found.append(("error", "no_views", F.col("view_rows") == 0, 0))
+    if PRICE in present:
+        bad, negative = F.col("bad_price_rows"), F.col("negative_price_rows")
+        found.append(("warning", "bad_price_rows", share("bad_price_rows") > MANY_BAD_PRICES, bad))
+        found.append(("warning", "negative_price_rows", negative > 0, negative))
+    for name in REQUIRED_COLUMNS:
+        if name in present:
+            nulls = f"null_{name}"
+            found.append(("warning", nulls, share(nulls) > MANY_NULLS, F.col(nulls)))
+            found.append(("error", nulls, share(nulls) > TOO_MANY_NULLS, F.col(nulls)))
+    if "bad_time_rows" in seen.columns:
+        found.append(("error", "bad_time_rows", F.col("bad_time_rows") > 0, F.col("bad_time_rows")))
+
+    def row(level: str, check: str, count: Column | int) -> Column:
+        count = F.lit(count) if isinstance(count, int) else count
+        return F.struct(
+            F.lit(level).alias("level"), F.lit(check).alias("check"), count.cast("bigint").alias("count")
+        )
+
+    entries = []
+    for level, check, holds, count in found:
+        if isinstance(holds, bool):
+            holds = F.lit(holds)
+        entries.append(F.when(holds, row(level, check, count)))
+    general = [row("info", "rows", rows), row("info", "columns", len(frame.columns))]
+    empty = F.array(*general, row("error", "no_rows", 0))
+    full = F.concat(F.array(*general), F.filter(F.array(*entries), lambda entry: entry.isNotNull()))
+    return seen.select(F.inline(F.when(rows == 0, empty).otherwise(full)))
+
+
 def validate(frame: DataFrame) -> ValidationResult:
-    """Check columns, types, prices, null rates and times of a raw log."""
+    """Check columns, types, prices, null rates and times of a raw log.
+
+    A view of ``validation_report`` on the driver, with the findings in words.
+    """
     result = ValidationResult(column_count=len(frame.columns))
     try:
-        _check(frame, result)
+        found = [tuple(row) for row in validation_report(frame).collect()]
+        result.row_count = next(count for _, check, count in found if check == "rows")
+        if any(check == "unknown_type_rows" for _, check, _ in found):
+            result.unknown_types = unknown_event_types(frame)
+            n_types = result.unknown_types.count()
+        else:
+            n_types = 0
     except PySparkException as error:
         result.fail(f"the check itself failed: {error}")
+        return result
+    absent = [
+        [check.removeprefix("missing_") for l, check, _ in found if l == level and check.startswith("missing_")]
+        for level in ("error", "warning")
+    ]
+    if absent[0]:
+        result.fail(f"required columns are missing: {absent[0]}")
+    if absent[1]:
+        result.warnings.append(f"optional columns are missing, some results may be: {absent[1]}")
+    for level, check, count in found:
+        share = count / max(result.row_count, 1) * 100
+        column = check.removeprefix("null_")
+        text = {
+            "no_rows": "there are no rows to analyse",
+            "unknown_type_rows": f"{n_types:,} unknown event types in {count:,} rows, listed in unknown_types",
+            "no_views": "no 'view' events, a funnel cannot be built",
+            "bad_price_rows": f"{share:.1f}% of prices are missing or no numbers",
+            "negative_price_rows": f"{count:,} prices are negative",
+            "bad_time_rows": f"{count:,} values of '{EVENT_TIME}' are no times",
+        }.get(check)
+        if check.startswith("null_"):
+            text = (
+                f"column '{column}' is {share:.1f}% null"
+                if level == "warning"
+                else f"column '{column}' is more than {TOO_MANY_NULLS}% null"
+            )
+        if text and level == "error":
+            result.fail(text)
+        elif text:
+            result.warnings.append(text)
     return result
 
 
-def _check(frame: DataFrame, result: ValidationResult) -> None:
-    seen = quality_metrics(frame).first().asDict() if frame.columns else {"row_count": 0}
-    rows = result.row_count = seen["row_count"]
-    if rows == 0:
-        result.fail("there are no rows to analyse")
-        return
-    absent = [name for name in REQUIRED_COLUMNS if name not in frame.columns]
-    if absent:
-        result.fail(f"required columns are missing: {absent}")
-    absent = [name for name in OPTIONAL_COLUMNS if name not in frame.columns]
-    if absent:
-        result.warnings.append(f"optional columns are missing, some results may be: {absent}")
-
-    if seen.get("unknown_type_rows"):
-        result.unknown_types = unknown_event_types(frame)
-        result.warnings.append(
-            f"{result.unknown_types.count():,} unknown event types in "
-            f"{seen['unknown_type_rows']:,} rows, listed in unknown_types"
-        )
-    if seen.get("view_rows") == 0:
-        result.fail("no 'view' events, a funnel cannot be built")
-
-    bad_prices = seen.get("bad_price_rows", 0) / rows * 100
-    if bad_prices > MANY_BAD_PRICES:
-        result.warnings.append(f"{bad_prices:.1f}% of prices are missing or no numbers")
-    if seen.get("negative_price_rows"):
-        result.warnings.append(f"{seen['negative_price_rows']:,} prices are negative")
-
-    for name in REQUIRED_COLUMNS:
-        nulls = seen.get(f"null_{name}", 0) / rows * 100
-        if nulls > MANY_NULLS:
-            result.warnings.append(f"column '{name}' is {nulls:.1f}% null")
-        if nulls > TOO_MANY_NULLS:
-            result.fail(f"column '{name}' is more than {TOO_MANY_NULLS}% null")
-    if seen.get("bad_time_rows"):
-        result.fail(f"{seen['bad_time_rows']:,} values of '{EVENT_TIME}' are no times")
-
-
 def coerce_columns(frame: DataFrame) -> DataFrame:
     """Strip all text, make prices numbers and ids text. Missing ids stay null."""
     columns = []

@@ -43,13 +43,14 @@ class Params:
     bot_threshold: int = 1000
     cohort_periods: int = 12
     clusters: int = 4
+    fit_tasks: int = 16  # tasks of one k-means pass; more for more users
     top_brands: int = 15
     min_brand_events: int = 100
     sample_rows: int = 50_000
     seed: int = 42
 
     def __post_init__(self) -> None:
-        for name in ("session_gap_minutes", "bot_threshold", "sample_rows", "top_brands"):
+        for name in ("session_gap_minutes", "bot_threshold", "sample_rows", "top_brands", "fit_tasks"):
             if getattr(self, name) <= 0:
                 raise ValueError(f"{name} must be positive")
         if self.cohort_periods < 0:

@@ -7,6 +7,7 @@ and dates are put out as text, so that any engine can be compared with it.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -24,9 +25,10 @@ from trailmark.operators import (
     stats,
     temporal,
 )
-from trailmark.sources import clicks, orders_log, simulate_users
+from trailmark.sources import clicks, orders_log, read_events_csv
 from trailmark.sources.csv import normalize_events
 from trailmark.sources.tables import read_table
+from trailmark.storage import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -158,6 +160,55 @@ def sessions_gap_running_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tagged.select("event_id", "session_id", "session_duration_sec")
 
 
+def _clicks_without_some_users(spark: SparkSession, folder: str) -> DataFrame:
+    """Every seventh event has no user; of these every third has a copy."""
+    log = clicks(spark, folder)
+    user = F.when(F.col("event_id") % 7 != 0, F.col("user_id"))
+    copies = F.when(F.col("event_id") % 21 == 0, 2).otherwise(1)
+    return log.withColumn("user_id", user).withColumn("n", F.explode(F.sequence(F.lit(1), copies))).drop("n")
+
+
+def sessions_without_user(spark: SparkSession, folder: str) -> DataFrame:
+    """How many sessions the tagged events without a user have, event by event."""
+    tagged = sessions.assign_sessions(
+        _clicks_without_some_users(spark, folder), CLICK_GAP, use_existing=False
+    )
+    return tagged.groupBy("event_id", "user_id").agg(
+        F.count("*").alias("events"),
+        F.count_distinct("session_id").alias("sessions"),
+        F.max("session_duration_sec").alias("session_duration_sec"),
+    )
+
+
+def session_table_without_user(spark: SparkSession, folder: str) -> DataFrame:
+    """The session table, and how many of its ids the tagged events have too."""
+    log = _clicks_without_some_users(spark, folder)
+    table = sessions.session_summary(log, CLICK_GAP, use_existing=False)
+    tagged = sessions.assign_sessions(log, CLICK_GAP, use_existing=False)
+    ids = tagged.select(F.col("session_id").alias("tagged_id")).distinct()
+    return (
+        table.join(ids, F.col("session_id") == F.col("tagged_id"), "left")
+        .groupBy("user_id")
+        .agg(
+            F.count("session_id").alias("sessions"),
+            F.count("tagged_id").alias("matched"),
+            F.sum("events").alias("events"),
+            F.sum("duration_us").alias("duration_us"),
+        )
+    )
+
+
+def running_ids_without_user(spark: SparkSession, folder: str) -> DataFrame:
+    """Running session numbers per user: their range and number."""
+    tagged = sessions.assign_sessions(
+        _clicks_without_some_users(spark, folder), CLICK_GAP, use_existing=False, running_ids=True
+    )
+    number = F.col("session_id").cast("bigint")
+    return tagged.groupBy("user_id").agg(
+        F.min(number).alias("first"), F.max(number).alias("last"), F.count_distinct(number).alias("sessions")
+    )
+
+
 def session_durations(spark: SparkSession, folder: str) -> DataFrame:
     summary = sessions.session_summary(clicks(spark, folder))
     return summary.select("session_id", "events", "session_duration_sec")
@@ -288,6 +339,11 @@ def kmeans_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return cluster.cluster_users(segment_users(spark, folder))
 
 
+def kmeans_properties(spark: SparkSession, folder: str) -> DataFrame:
+    """What any k-means result must fulfil, as one row of counts."""
+    return cluster.cluster_properties(segment_users(spark, folder), kmeans_clusters(spark, folder))
+
+
 def cluster_summary(spark: SparkSession, folder: str) -> DataFrame:
     return cluster.cluster_summary(kmeans_clusters(spark, folder))
 
@@ -355,6 +411,51 @@ def data_quality_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_metrics(clicks(spark, folder))
 
 
+def _spoiled_clicks(spark: SparkSession, folder: str) -> DataFrame:
+    """Clicks with bad prices and times, missing users, and without brands."""
+    event = F.col("event_id")
+    return clicks(spark, folder).select(
+        "event_id",
+        F.when(event % 10 == 3, "soon").otherwise(F.col("event_time").cast("string")).alias("event_time"),
+        "event_type",
+        F.when(event % 20 == 0, F.col("product_id")).alias("product_id"),
+        F.when(event % 5 > 1, F.col("user_id")).alias("user_id"),
+        F.when(event % 5 < 3, F.lit("n.a."))
+        .when(event % 5 == 3, F.lit("-1"))
+        .otherwise(F.col("price").cast("string"))
+        .alias("price"),
+    )
+
+
+def validation_report(spark: SparkSession, folder: str) -> DataFrame:
+    """The findings about the clicks as they are, and about a spoiled copy."""
+    logs = {"clean": clicks(spark, folder), "spoiled": _spoiled_clicks(spark, folder)}
+    reports = [
+        quality.validation_report(log).select(F.lit(name).alias("log"), "*") for name, log in logs.items()
+    ]
+    return reports[0].unionByName(reports[1])
+
+
+def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """``events`` written as an untidy CSV file and read back as a log."""
+    raw = _raw_events(spark, folder)
+    note = F.concat(F.lit('said "'), F.col("event_type"), F.lit('",\nthen left'))
+    notes = read_table(spark, folder, "events").select(
+        F.col("event_id").cast("string").alias("of"), note.alias("NOTE")
+    )
+    untidy = raw.join(notes, F.col("` Event_ID`") == F.col("of")).drop("of")
+    path = f"{shared_folder(spark)}/trailmark/csv-{uuid.uuid4().hex}"
+    (
+        untidy.write.option("header", True)
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .csv(path)
+    )
+    log = read_events_csv(spark, path)
+    return log.select("event_id", "event_type", _time_text("event_time"), "price", "note")
+
+
 def unknown_event_types(spark: SparkSession, folder: str) -> DataFrame:
     return quality.unknown_event_types(clicks(spark, folder))
 
@@ -389,6 +490,9 @@ QUERIES: dict[str, Query] = {
     "sessions_existing": sessions_existing,
     "sessions_gap": sessions_gap,
     "sessions_gap_running_ids": sessions_gap_running_ids,
+    "sessions_without_user": sessions_without_user,
+    "session_table_without_user": session_table_without_user,
+    "running_ids_without_user": running_ids_without_user,
     "session_durations": session_durations,
     "session_summary": session_summary,
     "session_metrics": session_metrics,
@@ -414,6 +518,7 @@ QUERIES: dict[str, Query] = {
     "cart_abandoners": cart_abandoners,
     "user_features_scaled": user_features_scaled,
     "kmeans_clusters": kmeans_clusters,
+    "kmeans_properties": kmeans_properties,
     "cluster_summary": cluster_summary,
     "hourly_events": hourly_events,
     "weekday_events": weekday_events,
@@ -428,6 +533,8 @@ QUERIES: dict[str, Query] = {
     "top_converting_brand": top_converting_brand,
     "brand_comparison": brand_comparison,
     "data_quality_metrics": data_quality_metrics,
+    "validation_report": validation_report,
+    "csv_round_trip": csv_round_trip,
     "unknown_event_types": unknown_event_types,
     "chi_square_contingency": chi_square_contingency,
     "chi_square_statistic": chi_square_statistic,

@@ -296,6 +296,38 @@ tails AS (
 )"""
 )
 
+LONE = (
+    _with(CLICKS)
+    + """, lone_log AS (
+  SELECT * EXCLUDE (user_id, k), CASE WHEN event_id % 7 <> 0 THEN user_id END AS user_id
+  FROM (SELECT *, unnest(CASE WHEN event_id % 21 = 0 THEN [1, 2] ELSE [1] END) AS k FROM clicks)
+),
+flagged AS (
+  SELECT *, CASE WHEN lag(event_time) OVER w IS NULL
+                   OR event_time - lag(event_time) OVER w > INTERVAL '360 minutes' THEN 1 ELSE 0 END AS starts
+  FROM lone_log WHERE user_id IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY event_time)
+),
+numbered AS (
+  SELECT *, sum(starts) OVER (PARTITION BY user_id ORDER BY event_time
+                              RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seq FROM flagged
+),
+known AS (
+  SELECT user_id, seq, count(*) AS events, epoch_us(max(event_time)) - epoch_us(min(event_time)) AS us
+  FROM numbered GROUP BY ALL
+)"""
+)
+
+SPOILED = (
+    _with(CLICKS)
+    + """, n AS (
+  SELECT count(*) AS n, count(*) FILTER (event_type = 'error') AS unknown,
+         count(*) FILTER (event_id % 10 = 3) AS bad_time, count(*) FILTER (event_id % 20 <> 0 OR product_id IS NULL) AS no_product,
+         count(*) FILTER (event_id % 5 <= 1 OR user_id IS NULL) AS no_user,
+         count(*) FILTER (event_id % 5 < 3) AS bad_price, count(*) FILTER (event_id % 5 = 3) AS negative
+  FROM clicks
+)"""
+)
+
 ORACLE: dict[str, str] = {
     "normalize_event_type": """
       SELECT CAST(event_id AS VARCHAR) AS event_id, event_type FROM events""",
@@ -378,6 +410,28 @@ ORACLE: dict[str, str] = {
     SELECT event_id, CAST(number AS VARCHAR) AS session_id,
            duration_us / 1e6 AS session_duration_sec
     FROM sessioned JOIN numbered USING (user_id, session_id)""",
+    "sessions_without_user": LONE
+    + """SELECT event_id, user_id, count(*) AS events, count(DISTINCT seq) AS sessions,
+             max(us / 1e6) AS session_duration_sec
+      FROM numbered JOIN known USING (user_id, seq) GROUP BY event_id, user_id
+      UNION ALL
+      SELECT event_id, NULL, count(*), count(*), 0.0 FROM lone_log WHERE user_id IS NULL GROUP BY event_id""",
+    "session_table_without_user": LONE
+    + """SELECT user_id, count(*) AS sessions, count(*) AS matched, CAST(sum(events) AS BIGINT) AS events,
+             CAST(sum(us) AS BIGINT) AS duration_us
+      FROM known GROUP BY user_id
+      UNION ALL
+      SELECT NULL, count(*), count(*), count(*), 0 FROM lone_log WHERE user_id IS NULL""",
+    "running_ids_without_user": LONE
+    + """, per_user AS (
+        SELECT user_id, count(*) AS sessions FROM known GROUP BY user_id
+        UNION ALL
+        SELECT NULL, count(*) FROM lone_log WHERE user_id IS NULL
+      ),
+      ends AS (
+        SELECT *, CAST(sum(sessions) OVER (ORDER BY user_id NULLS LAST) AS BIGINT) AS last FROM per_user
+      )
+      SELECT user_id, last - sessions + 1 AS first, last, sessions FROM ends""",
     "session_durations": _with(CLICKS)
     + """SELECT user_session AS session_id, count(*) AS events,
                 date_diff('microsecond', min(event_time), max(event_time)) / 1e6
@@ -549,6 +603,32 @@ ORACLE: dict[str, str] = {
          FROM brands ORDER BY overall_conversion_rate DESC, brand LIMIT 1""",
     "brand_comparison": BRANDS
     + "SELECT brand, views, carts, purchases FROM brands ORDER BY total_events, brand DESC",
+    "validation_report": SPOILED
+    + """SELECT 'clean' AS log, level, "check", CAST(count AS BIGINT) AS count FROM n, LATERAL (VALUES
+        ('info', 'rows', n), ('info', 'columns', 7), ('warning', 'missing_category_id', 1),
+        ('warning', 'missing_category_code', 1), ('warning', 'missing_brand', 1),
+        ('warning', 'unknown_type_rows', unknown)) AS f(level, "check", count)
+      UNION ALL
+      SELECT 'spoiled', level, "check", CAST(count AS BIGINT) FROM n, LATERAL (VALUES
+        ('info', 'rows', n), ('info', 'columns', 6), ('warning', 'missing_category_id', 1),
+        ('warning', 'missing_category_code', 1), ('warning', 'missing_brand', 1),
+        ('warning', 'missing_user_session', 1), ('warning', 'unknown_type_rows', unknown),
+        ('warning', 'bad_price_rows', bad_price), ('warning', 'negative_price_rows', negative),
+        ('warning', 'null_product_id', no_product), ('error', 'null_product_id', no_product),
+        ('warning', 'null_user_id', no_user), ('error', 'bad_time_rows', bad_time)) AS f(level, "check", count)""",
+    "csv_round_trip": f"""
+      SELECT CAST(event_id AS VARCHAR) AS event_id, event_type,
+             strftime(CASE event_type
+                      WHEN 'click' THEN date_trunc('minute', ts)
+                      WHEN 'view' THEN ts
+                      WHEN 'signup' THEN CAST(date_trunc('day', ts) AS TIMESTAMP)
+                      ELSE date_trunc('second', ts) END, {TIME}) AS event_time,
+             CASE WHEN event_type = 'error' THEN NULL ELSE value END AS price,
+             concat('said "', event_type, '",', chr(10), 'then left') AS note
+      FROM events""",
+    "kmeans_properties": _with(ORDERS)
+    + """SELECT count(DISTINCT user_id) AS users, 4 AS clusters, 0 AS misplaced, 0 AS unmatched
+      FROM orders_log""",
     "data_quality_metrics": _with(CLICKS)
     + "SELECT count(*) AS row_count, CAST(7 AS BIGINT) AS column_count, "
     + """count(*) FILTER (event_type NOT IN ('view', 'cart', 'remove_from_cart', 'purchase'))

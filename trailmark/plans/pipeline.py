@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
@@ -29,7 +30,16 @@ class Analysis:
     time_patterns: temporal.TimePatterns | None = None
     brands: DataFrame | None = None
     kpis: DataFrame | None = None
-    clustered: DataFrame | None = None
+    params: Params = DEFAULTS
+
+    @cached_property
+    def clustered(self) -> DataFrame | None:
+        """Users with their cluster; k-means is fitted when this is first asked for."""
+        if self.segments is None:
+            return None
+        return cluster.cluster_users(
+            self.segments, self.params.clusters, self.params.seed, fit_tasks=self.params.fit_tasks
+        )
 
 
 def run(
@@ -41,8 +51,8 @@ def run(
 ) -> Analysis:
     """Filter, validate, clean, build sessions and set up every analysis.
 
-    Three tables are written to the shared folder: the clean events, one row
-    per user, and the scaled features. All results read those, each only the
+    Two tables are written to the shared folder: the clean events, and one row
+    per user. All results read those, each only the
     columns it needs; the clean events are never shuffled whole again unless
     the tagged log (``sessioned``) itself is asked for.
     """
@@ -68,5 +78,5 @@ def run(
         time_patterns=temporal.time_patterns(cleaned),
         brands=brand_ops.brand_analysis(cleaned, params.top_brands, params.min_brand_events),
         kpis=kpis.kpis_of_users(users, kpis.distinct_products(cleaned)),
-        clustered=cluster.cluster_users(segments, params.clusters, params.seed),
+        params=params,
     )
