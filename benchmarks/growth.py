@@ -1,11 +1,12 @@
 """How run times grow with the log, and what one hot user does to them.
 
-    python benchmarks/growth.py 1000000 10000000
+    python benchmarks/growth.py SCRATCH_FOLDER 1000000 10000000
 
-For each size a synthetic log is written to a new scratch folder, once as
-generated and once with a third of all events given to a single user, brand
-and session. Every operator then runs in full over both. The log lines show
-seconds and, for the skewed log, the ratio to the even one.
+For each size a synthetic log is written to the folder, once as generated and
+once with a third of all events given to a single user, brand and session.
+Every operator then runs in full over both. ``remove_bots`` runs with a
+threshold that only the hot user exceeds (a short list), and with one that
+about every other user does (a long list).
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 from pathlib import Path
 
@@ -24,21 +24,29 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from trailmark.operators import (  # noqa: E402
     brands,
     clean,
+    cluster,
     cohort,
     funnel,
     kpis,
     segments,
     sessions,
+    stats,
     temporal,
 )
 from trailmark.sources import generate_events  # noqa: E402
 from trailmark.storage import local_session  # noqa: E402
 
 OPERATORS = {
-    "remove_bots": lambda log: clean.remove_bots(log, 100_000_000),
+    "remove_bots_short_list": lambda log: clean.remove_bots(log, 1000),
+    "remove_bots_long_list": lambda log: clean.remove_bots(log, 5),
+    "cleaning_report": clean.cleaning_report,
     "deduplicate_events": clean.deduplicate_events,
     "sessions_gap": lambda log: sessions.assign_sessions(log, use_existing=False),
     "sessions_existing": sessions.assign_sessions,
+    "sessions_running_ids": lambda log: sessions.assign_sessions(log, use_existing=False, running_ids=True),
+    "session_length_p99": lambda log: sessions.length_p99(
+        sessions.length_distribution(sessions.session_summary(log, use_existing=False))
+    ),
     "session_rollup": lambda log: sessions.session_rollup(log, use_existing=False),
     "segment_users": lambda log: segments.segment_users_by_session(log, use_existing=False),
     "funnel": funnel.funnel,
@@ -46,6 +54,8 @@ OPERATORS = {
     "cohort_retention": lambda log: cohort.cohort_retention(cohort.cohort_assign(log)),
     "time_heatmap": lambda log: temporal.purchase_heatmap(temporal.slot_counts(log)),
     "brand_analysis": brands.brand_analysis,
+    "chi_square": lambda log: stats.chi_square(stats.contingencies(log, "brand", "category_code")),
+    "kmeans": lambda log: cluster.cluster_users(segments.segment_users_by_session(log, use_existing=False)),
 }
 
 
@@ -61,11 +71,11 @@ def hot(log):
     )
 
 
-def main(sizes: list[int]) -> None:
+def main(scratch: str, sizes: list[int]) -> None:
     cores = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cores, "growth", **{"spark.sql.shuffle.partitions": "64"})
     spark.sparkContext.setLogLevel("ERROR")
-    scratch = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    spark.sparkContext.setCheckpointDir(f"{scratch}/intermediate")
     results = {}
     for size in sizes:
         generate_events(spark, size).write.parquet(f"{scratch}/even-{size}")
@@ -83,4 +93,4 @@ def main(sizes: list[int]) -> None:
 
 
 if __name__ == "__main__":
-    main([int(arg) for arg in sys.argv[1:]] or [1_000_000])
+    main(sys.argv[1], [int(arg) for arg in sys.argv[2:]] or [1_000_000])

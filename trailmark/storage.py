@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,14 +45,35 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_folder: ContextVar[str | None] = ContextVar("folder", default=None)
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables of the code inside go to a folder of its own, which is removed at the end.
+
+    Store results before leaving: what has not been computed by then cannot be any more.
+    """
+    folder = f"{shared_folder(spark)}/trailmark/run-{uuid.uuid4().hex}"
+    token = _folder.set(folder)
+    try:
+        yield folder
+    finally:
+        _folder.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(frame: DataFrame, label: str) -> DataFrame:
     """Write ``frame`` as Parquet to the shared folder and read it back.
 
     The copy cuts the lineage, survives lost executors, keeps column pruning
     for the readers, and gives the planner the table's true size, so that it
-    broadcasts a join side only when that side is really small.
+    broadcasts a join side only when that side is really small. It stays until
+    its ``workspace`` is left or the folder's ``trailmark`` part is deleted.
     """
     spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/trailmark/{label}-{uuid.uuid4().hex}"
+    folder = _folder.get() or f"{shared_folder(spark)}/trailmark"
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
