@@ -15,7 +15,7 @@ def test_distributions_equal_the_formula(spark):
         for k, step in enumerate(got[source]):
             total += math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1))
             assert abs(step - total) < 1e-9
-        assert step > 1 - 1e-12
+        assert step > 1 - 1e-10
 
 
 def test_sources_reach_their_weights(spark):
@@ -43,8 +43,9 @@ def test_odd_cases(spark):
     mixed = mix_sources(docs, repeat=5.0)
     assert [c for c in mixed.columns if c not in docs.columns] == ["copy", "n_copies", "shuffle_key"]
     rows = mixed.collect()
-    counts = {(row.doc_id, row.text): row.n_copies for row in rows}
-    assert len(rows) == sum(n * (2 if key[0] == 50 else 1) for key, n in counts.items())
+    # the rows of one id are in different sources here, with rates of their own
+    counts = {(row.doc_id, row.source, row.text): row.n_copies for row in rows}
+    assert len(rows) == sum(counts.values())
     assert mix_sources(no_documents(spark)).collect() == []
     textless = documents(spark, [None, ""])
     assert mix_sources(textless).collect() == []
