@@ -1,5 +1,14 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup: every repeated run of two or more lines, and content-defined chunks of lines.
 
+``dedup_runs`` is the whole job. Every line that is not blank forms a pair with the next one
+like it, blank lines between them included. A pair that also stands at an earlier place (a
+smaller id, or further up in the same document without sharing a line) is repeated, and its
+lines go; of a repeated run of any length, anywhere in a text, these are all lines. The first
+occurrence of a line never goes. Bytes are compared before removal: in a run of repeated
+pairs every second one and the last are fetched, which cover all its lines. Blank lines go if
+the lines around them go on both sides.
+
+``dedup_lines`` is coarser and lighter: it finds the repeated runs that hold a whole chunk.
 Lines are hashed, and a rolling hash over ``ROLL`` line hashes ends a chunk behind every
 line where it is 0 modulo ``MEAN_LINES``: a boundary depends on the lines around it only,
 so inserted or missing lines move no other boundary. Chunks of at least ``MIN_LINES`` lines
@@ -7,24 +16,25 @@ that are not blank take part. Their hashes are counted over all documents; the f
 occurrence, by id and place, stays. Every other one is compared with the first one byte by
 byte and removed, with its line breaks, if they are equal.
 
-What is shuffled first is a few numbers a chunk. Bytes are fetched only for first
-occurrences of repeated chunks and sent to the documents that repeat them; a hot chunk is
-one row on its side of the join, and the other side can be split.
+In both, what is shuffled first is a few numbers a chunk or pair. Bytes are fetched only for first
+occurrences of repeated ones and sent to the documents that repeat them; a hot one is a
+single row on its side of the join, and the other side can be split.
 
 Defined cases: null ids come last and are all different from numbers; rows with equal id and
 text count as one document and get equal results; null and empty texts stay as they are; a
 document may lose all its lines and then has an empty text; a difference behind equal hashes
-leaves both chunks in place; other columns are carried along, whatever their names.
+leaves both in place; other columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from trailmark.llm.keys import KEY, bring_back, keyed
 from trailmark.llm.tasks import map_batches
@@ -36,6 +46,18 @@ MEAN_LINES = 4
 MIN_LINES = 2
 
 
+@dataclass
+class Lines:
+    """All lines of a block: row and bytes of each, whether it ends its text or holds a word byte."""
+
+    row: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    last: np.ndarray
+    filled: np.ndarray
+    sums: Sums
+
+
 @dataclass
 class Chunks:
     """All chunks of a block: row, number within the row, bytes and lines of each."""
@@ -49,7 +71,7 @@ class Chunks:
     hash: np.ndarray
 
 
-def find_chunks(block: Block) -> Chunks:
+def find_lines(block: Block) -> Lines:
     n = block.n_rows
     breaks = np.flatnonzero(block.data == 10)
     break_row = np.searchsorted(block.offsets, breaks, "right") - 1
@@ -57,9 +79,15 @@ def find_chunks(block: Block) -> Chunks:
     start = np.concatenate([block.offsets[:-1], breaks + 1])
     order = np.lexsort((start, row))
     row, start = row[order], start[order]
-    last = np.append(row[1:] != row[:-1], True)  # the last line of its text
+    last = np.append(row[1:] != row[:-1], True)
     end = np.where(last, block.offsets[row + 1], np.append(start[1:], 0) - 1)
-    sums = Sums(BYTE_VALUES[block.data])
+    word_bytes = np.concatenate([[0], np.cumsum(PLAIN[block.data])])
+    return Lines(row, start, end, last, word_bytes[end] > word_bytes[start], Sums(BYTE_VALUES[block.data]))
+
+
+def find_chunks(block: Block) -> Chunks:
+    found = find_lines(block)
+    row, start, end, last, sums = found.row, found.start, found.end, found.last, found.sums
     lines = sums.hash(start, end)
     rolling = lines.copy()
     first = np.concatenate([[True], last[:-1]])
@@ -70,8 +98,7 @@ def find_chunks(block: Block) -> Chunks:
     cut = last | (mix(rolling) % np.uint64(MEAN_LINES) == 0)
     tail = np.flatnonzero(cut)
     head = np.concatenate([[0], tail[:-1] + 1])
-    word_bytes = np.concatenate([[0], np.cumsum(PLAIN[block.data])])
-    filled = np.concatenate([[0], np.cumsum(word_bytes[end] > word_bytes[start])])
+    filled = np.concatenate([[0], np.cumsum(found.filled)])
     number = np.arange(len(head)) - np.searchsorted(row[head], row[head])
     return Chunks(
         row[head],
@@ -84,13 +111,27 @@ def find_chunks(block: Block) -> Chunks:
     )
 
 
-def list_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def find_pairs(block: Block) -> Chunks:
+    """All lines that are not blank, each with the next one like it in its text, as chunks."""
+    lines = find_lines(block)
+    full = np.flatnonzero(lines.filled)
+    a, b = full[:-1], full[1:]
+    same = lines.row[a] == lines.row[b]
+    a, b = a[same], b[same]
+    row, start, end = lines.row[a], lines.start[a], lines.end[b]
+    number = np.arange(len(a)) - np.searchsorted(row, row)
+    return Chunks(row, number, start, end, b - a + 1, np.full(len(a), 2), lines.sums.hash(start, end))
+
+
+def list_chunks(
+    batches: Iterator[pa.RecordBatch], find: Callable[[Block], Chunks] = find_chunks
+) -> Iterator[pa.RecordBatch]:
     """Chunks that take part: document, number, hash and length in bytes."""
     for batch in batches:
         keys = [batch.column(name).to_numpy() for name in KEY]
         unknown = batch.column("unknown").to_numpy(zero_copy_only=False)
         for block in blocks(batch.column("text")):
-            chunks = find_chunks(block)
+            chunks = find(block)
             kept = np.flatnonzero(chunks.n_filled >= MIN_LINES)
             row = block.first_row + chunks.row[kept]
             yield pa.RecordBatch.from_arrays(
@@ -105,12 +146,14 @@ def list_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def fetch_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def fetch_chunks(
+    batches: Iterator[pa.RecordBatch], find: Callable[[Block], Chunks] = find_chunks
+) -> Iterator[pa.RecordBatch]:
     """The bytes of the chunks asked for by number."""
     for batch in batches:
         wanted = batch.column("numbers").to_pylist()
         for block in blocks(batch.column("text")):
-            chunks = find_chunks(block)
+            chunks = find(block)
             first = np.searchsorted(chunks.row, np.arange(block.n_rows))
             found = [
                 int(first[r]) + number
@@ -163,6 +206,48 @@ def remove_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
+def remove_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without the lines of pairs that equal the bytes sent along, and what was removed."""
+    for batch in batches:
+        sent = batch.column("sent").to_pylist()
+        texts: list[str | None] = batch.column("text").to_pylist()
+        n_lines, n_runs, n_gone = (np.zeros(len(texts), np.int64) for _ in range(3))
+        for block in blocks(batch.column("text")):
+            lines = find_lines(block)
+            first = np.searchsorted(lines.row, np.arange(block.n_rows + 1))
+            n_lines[block.first_row : block.first_row + block.n_rows] = np.diff(first)
+            for r in range(block.n_rows):
+                at = block.first_row + r
+                if not sent[at]:
+                    continue
+                start, end = lines.start[first[r] : first[r + 1]], lines.end[first[r] : first[r + 1]]
+                full = np.flatnonzero(lines.filled[first[r] : first[r + 1]])
+                gone = np.zeros(len(full), bool)
+                for pair in sent[at]:
+                    a, b = full[pair["number"]], full[pair["number"] + 1]
+                    if block.data[start[a] : end[b]].tobytes() == pair["bytes"]:
+                        gone[pair["number"] : pair["number"] + 2] = True
+                # blank lines follow the lines on both sides of them
+                cut = np.zeros(len(start), bool)
+                cut[full] = gone
+                for i in np.flatnonzero(gone[:-1] & gone[1:]):
+                    cut[full[i] : full[i + 1]] = True
+                n_gone[at] = cut.sum()
+                n_runs[at] = (cut & ~np.concatenate([[False], cut[:-1]])).sum()
+                left = [block.data[start[i] : end[i]].tobytes() for i in np.flatnonzero(~cut)]
+                texts[at] = b"\n".join(left).decode()
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("row"),
+                pa.array(texts, pa.string()),
+                pa.array(n_lines),
+                pa.array(n_runs),
+                pa.array(n_gone),
+            ],
+            names=["row", "text", "n_lines", "n_removed_chunks", "n_removed_lines"],
+        )
+
+
 def find_repeats(rows: DataFrame) -> DataFrame:
     """Chunks to compare, by document: ``key_id, key_text, sent`` (number and first one's bytes)."""
     listed = map_batches(
@@ -202,10 +287,66 @@ def find_repeats(rows: DataFrame) -> DataFrame:
     return compared.groupBy(*KEY).agg(F.collect_list(F.struct("number", "bytes")).alias("sent"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``row`` (the document as it was), the new ``text``, and counts of lines and chunks removed."""
+def find_repeated_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of lines to compare, by document: ``key_id, key_text, sent`` (number and first one's bytes)."""
+    listed = map_batches(
+        rows.select(F.col("row.doc_id").isNull().alias("unknown"), *KEY, "text"),
+        partial(list_chunks, find=find_pairs),
+        "unknown boolean, key_id bigint, key_text bigint, number int, hash bigint, n_bytes bigint",
+    )
+    pairs = materialize(listed, "line-pairs")
+    place = F.struct("unknown", *KEY, "number")
+    repeated = (
+        pairs.groupBy("hash", "n_bytes")
+        .agg(F.min(place).alias("first"), F.max(place).alias("last"))
+        .where(F.col("first") != F.col("last"))
+        .select(F.col("hash").alias("h"), F.col("n_bytes").alias("b"), "first")
+    )
+    # a pair that shares a line with its first occurrence is not another one
+    shares = F.struct("unknown", *KEY, (F.col("number") - 1).alias("number")) == F.col("first")
+    later = (
+        pairs.join(repeated, (F.col("hash") == F.col("h")) & (F.col("n_bytes") == F.col("b")))
+        .where((place != F.col("first")) & ~shares)
+        .dropDuplicates([*KEY, "number"])
+    )
+    # every second pair of a run and its last one hold all its lines
+    in_text = Window.partitionBy(*KEY).orderBy("number")
+    run = later.withColumn("run", F.col("number") - F.row_number().over(in_text)).withColumn(
+        "ends", F.coalesce(F.lead("number").over(in_text) != F.col("number") + 1, F.lit(True))
+    )
+    begin = F.min("number").over(Window.partitionBy(*KEY, "run"))
+    needed = run.withColumn("begin", begin).where(((F.col("number") - F.col("begin")) % 2 == 0) | F.col("ends"))
+    needed = materialize(needed.select(*KEY, "number", "hash", "n_bytes", "first"), "pairs-to-fetch")
+    firsts = materialize(
+        needed.select("first")
+        .distinct()
+        .groupBy(F.col("first.key_id").alias("key_id"), F.col("first.key_text").alias("key_text"))
+        .agg(F.collect_list("first.number").alias("numbers")),
+        "first-pairs",
+    )
+    owners, others = bring_back(rows.select(*KEY, "text"), firsts)
+    if others is None:
+        owners = owners.where("numbers IS NOT NULL")
+    content = map_batches(
+        owners.select("text", "numbers"),
+        partial(fetch_chunks, find=find_pairs),
+        "hash bigint, n_bytes bigint, bytes binary",
+    )
+    content = content.select(F.col("hash").alias("of"), F.col("n_bytes").alias("of_bytes"), "bytes")
+    content = content.dropDuplicates(["of", "of_bytes"])  # rows of one document have the same
+    compared = needed.select(*KEY, "number", "hash", "n_bytes").join(
+        content, (F.col("hash") == F.col("of")) & (F.col("n_bytes") == F.col("of_bytes"))
+    )
+    return compared.groupBy(*KEY).agg(F.collect_list(F.struct("number", "bytes")).alias("sent"))
+
+
+def remove_repeats(
+    docs: DataFrame,
+    find: Callable[[DataFrame], DataFrame],
+    remove: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+) -> DataFrame:
     rows = keyed(docs)
-    repeats = materialize(find_repeats(rows), "chunks-to-compare")
+    repeats = materialize(find(rows), "chunks-to-compare")
     decided, others = bring_back(rows, repeats)
     untouched = F.lit(None).cast("array<struct<number:int,bytes:binary>>").alias("sent")
     result = T.StructType(
@@ -216,17 +357,29 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     parts = [decided.select("row", "text", "sent")]
     if others is not None:
         parts.append(others.select("row", "text", untouched))
-    done = [map_batches(part, remove_chunks, result) for part in parts]
+    done = [map_batches(part, remove, result) for part in parts]
     return done[0] if len(done) == 1 else done[0].union(done[1])
 
 
-def without_repeated_lines(docs: DataFrame) -> DataFrame:
-    """The documents with repeated chunks removed; same columns.
+def dedup_runs(docs: DataFrame) -> DataFrame:
+    """``row`` (the document as it was), the new ``text``, and counts of lines and runs removed."""
+    return remove_repeats(docs, find_repeated_pairs, remove_pairs)
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """``row`` (the document as it was), the new ``text``, and counts of lines and chunks removed."""
+    return remove_repeats(docs, find_repeats, remove_chunks)
+
+
+def without_repeated_lines(
+    docs: DataFrame, dedup: Callable[[DataFrame], DataFrame] = dedup_lines
+) -> DataFrame:
+    """The documents with repeated chunks (or what ``dedup`` finds) removed; same columns.
 
     A document that had words and keeps none is dropped: all it held is elsewhere.
     ``n_chars``, where present, is counted anew for cut texts.
     """
-    result = dedup_lines(docs)
+    result = dedup(docs)
     cut = F.col("n_removed_lines") > 0
     columns = []
     for field in docs.schema.fields:

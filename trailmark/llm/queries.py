@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from trailmark.llm.decontaminate import find_contamination
-from trailmark.llm.line_dedup import dedup_lines
+from trailmark.llm.line_dedup import dedup_runs
 from trailmark.llm.mixing import mix_sources
 from trailmark.llm.near_dedup import find_near_duplicates
 from trailmark.llm.oracle import ORACLE
@@ -101,8 +101,8 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """What every document loses to repeated chunks of lines, and a digest of the rest."""
-    result = dedup_lines(texts(spark, folder))
+    """What every document loses to repeated runs of lines, and a digest of the rest."""
+    result = dedup_runs(texts(spark, folder))
     return result.select(
         F.col("row.doc_id").alias("doc_id"),
         "n_lines",
