@@ -10,6 +10,11 @@ all anchors in it do. Consecutive candidate windows with the same routing anchor
 hash, leftmost) form a piece. Equal windows have equal routing anchors at equal places, so
 they meet in the group of that anchor. Equal pieces count as one, however many documents
 have them; what a group holds are the different surroundings of one gram.
+
+A passage that many documents embed in texts of their own has about one piece per document.
+Groups of more than ``MAX_GROUP`` pieces are not gathered: their windows are dealt one by one,
+by two hashes of the whole window (which fix the anchor and its offset), and only counts and
+smallest ids per window are exchanged, aggregated before the shuffle.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ from trailmark.llm.words import BYTE_VALUES, PLAIN, Block, Sums, blocks, find_wo
 from trailmark.storage import materialize
 
 REMEMBERED_PIECES = 500_000
+#: Groups of more pieces than this are dealt window by window.
+MAX_GROUP = 1000
 
 
 @dataclass(frozen=True)
@@ -279,6 +286,59 @@ def match_groups(match: Callable[[list[dict]], list[list[int]]]) -> Callable:
     return run
 
 
+def list_windows(spec: Spec) -> Callable:
+    """All windows of pieces: two hashes of each, and its place in its piece."""
+
+    def list_them(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch.column("body"), spec.block):
+                symbols = symbols_of(block, spec)
+                n = np.diff(symbols.first) - spec.window + 1
+                row = np.repeat(np.arange(block.n_rows), n)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                start = symbols.first[row] + place
+                other = Sums(mix(symbols.values ^ np.uint64(0x5851F42D4C957F2D)))
+                hashes = [sums.hash(start, start + spec.window) for sums in (Sums(symbols.values), other)]
+                taken = pa.array(block.first_row + row)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[batch.column(name).take(taken) for name in ("piece", "owner", "n")],
+                        pa.array(place.astype(np.int32)),
+                        *[pa.array(h.view(np.int64)) for h in hashes],
+                    ],
+                    names=["piece", "owner", "n", "place", "h1", "h2"],
+                )
+
+    return list_them
+
+
+def match_windows(crowded: DataFrame, spec: Spec, ordered: bool) -> DataFrame:
+    """``piece, owner, n, ranges`` as from ``match_groups``, but only equal windows meet."""
+    crowded = materialize(crowded, "crowded-pieces")
+    windows = map_batches(
+        crowded.select("piece", "owner", "n", "body"),
+        list_windows(spec),
+        "piece binary, owner bigint, n bigint, place int, h1 bigint, h2 bigint",
+    )
+    windows = materialize(windows, "crowded-windows")
+    met = windows.groupBy("h1", "h2").agg(
+        F.min("owner").alias("least"), F.max("owner").alias("most"), F.count(F.lit(1)).alias("times")
+    )
+    met = met.where("least < most" if ordered else "times > 1")
+    met = met.select(F.col("h1").alias("of1"), F.col("h2").alias("of2"), "least")
+    found = windows.join(met, (F.col("h1") == F.col("of1")) & (F.col("h2") == F.col("of2")))
+    # unordered, a piece in several places goes as a whole and needs no ranges
+    found = found.where("least < owner" if ordered else "n = 1")
+    places = found.groupBy("piece").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    first = F.filter("places", lambda p, i: ~(p - 1).eqNullSafe(F.get("places", i - 1)))
+    last = F.filter("places", lambda p, i: ~(p + 1).eqNullSafe(F.get("places", i + 1)))
+    edges = F.zip_with(first, last, lambda a, b: F.array(a.cast("bigint"), (b + 1).cast("bigint")))
+    ranges = places.select(F.col("piece").alias("of"), F.flatten(edges).alias("ranges"))
+    joined = crowded.select("piece", "owner", "n").join(ranges, F.col("piece") == F.col("of"), "left")
+    none = F.array().cast("array<bigint>")
+    return joined.select("piece", "owner", "n", F.coalesce("ranges", none).alias("ranges"))
+
+
 def ranges_of(flags: np.ndarray) -> list[int]:
     """True runs as [from, to, from, to, ...]."""
     edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
@@ -327,8 +387,22 @@ def remove_windows(spec: Spec) -> Callable:
     return remove
 
 
+def different_pieces(pieces: DataFrame) -> DataFrame:
+    """Each piece once: its smallest id, the number of its places, its anchor and its body."""
+    return pieces.groupBy("piece").agg(
+        F.min("key_id").alias("owner"),
+        F.count(F.lit(1)).alias("n"),
+        F.first("anchor").alias("anchor"),
+        F.max("body").alias("body"),
+    )
+
+
 def find_repeated(
-    rows: DataFrame, spec: Spec, match: Callable[[list[dict]], list[list[int]]], ordered: bool
+    rows: DataFrame,
+    spec: Spec,
+    match: Callable[[list[dict]], list[list[int]]],
+    ordered: bool,
+    max_group: int,
 ) -> DataFrame:
     """Windows to remove, by document: ``key_id, key_text, ranges`` (array of start, end).
 
@@ -352,16 +426,20 @@ def find_repeated(
         "key_id bigint, key_text bigint, piece binary, anchor bigint, start bigint, `end` bigint, body binary",
     )
     pieces = materialize(pieces, "pieces")
-    different = pieces.groupBy("piece").agg(
-        F.min("key_id").alias("owner"),
-        F.count(F.lit(1)).alias("n"),
-        F.first("anchor").alias("anchor"),
-        F.max("body").alias("body"),
-    )
-    dealt = different.repartition("anchor").sortWithinPartitions("anchor", "owner", "piece")
+    # every different piece has a body from at least one task, so this is no less than their number
+    bodies = pieces.where("body IS NOT NULL").groupBy("anchor").agg(F.count(F.lit(1)).alias("bodies"))
+    crowds = bodies.where(F.col("bodies") > max_group).select(F.col("anchor").alias("of"))
+    crowds = materialize(crowds, "crowded-anchors")
+    crowded = F.col("anchor") == F.col("of")
+    some_crowded = not crowds.isEmpty()
+    even = different_pieces(pieces.join(crowds, crowded, "left_anti") if some_crowded else pieces)
+    dealt = even.repartition("anchor").sortWithinPartitions("anchor", "owner", "piece")
     matched = map_batches(
         dealt, match_groups(match), "piece binary, owner bigint, n bigint, ranges array<bigint>"
     )
+    if some_crowded:
+        many = different_pieces(pieces.join(crowds, crowded, "left_semi"))
+        matched = matched.unionByName(match_windows(many, spec, ordered))
     matched = materialize(matched, "matched-pieces").select(
         F.col("piece").alias("of"), "owner", F.col("n").alias("n_places"), "ranges"
     )
@@ -380,12 +458,16 @@ def find_repeated(
 
 
 def remove_repeated(
-    rows: DataFrame, spec: Spec, match: Callable[[list[dict]], list[list[int]]], ordered: bool
+    rows: DataFrame,
+    spec: Spec,
+    match: Callable[[list[dict]], list[list[int]]],
+    ordered: bool,
+    max_group: int = MAX_GROUP,
 ) -> DataFrame:
     """``row, kept, n_symbols, n_removed, n_spans`` for all ``rows`` (keyed documents)."""
     # documents without an id have no place in an order of ids
     inside = rows.where(F.col("row.doc_id").isNotNull()) if ordered else rows
-    windows = materialize(find_repeated(inside, spec, match, ordered), "windows-to-remove")
+    windows = materialize(find_repeated(inside, spec, match, ordered, max_group), "windows-to-remove")
     decided, others = bring_back(rows, windows)
     none = F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("ranges")
     result = T.StructType(
