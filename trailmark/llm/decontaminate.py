@@ -175,17 +175,25 @@ def find_contamination(
         F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("name"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    size = items.agg(F.sum(F.octet_length("text") + F.octet_length("name"))).first()[0] or 0
-    # parts are dealt by hash; the margin keeps uneven ones below the bound
+    items = materialize(items.distinct(), "benchmark-items")
+    n_bytes = F.sum(F.octet_length("text") + F.octet_length("name"))
+    size = items.agg(n_bytes).first()[0] or 0
+    # parts are dealt by hash: more of them until only single items are beyond the bound
     parts = 1 if size <= part_bytes else 2 * size // part_bytes + 1
-    part = F.pmod(F.xxhash64("name", "text"), F.lit(parts))
+    while True:
+        part = F.pmod(F.xxhash64("name", "text"), F.lit(parts))
+        sizes = items.groupBy(part.alias("part")).agg(n_bytes.alias("size"), F.count(F.lit(1)).alias("n"))
+        if parts == 1 or sizes.where((F.col("size") > part_bytes) & (F.col("n") > 1)).isEmpty():
+            break
+        parts *= 2
+    numbers = [row["part"] for row in sizes.select("part").collect()] or [0]
     carried = docs.select(*without_columns(docs.columns, RESULTS))
     schema = carried.schema
     result = T.StructType(
         [*schema.fields, T.StructField("n_words", T.LongType())]
         + [T.StructField("spans", T.ArrayType(SPAN)), T.StructField("items", T.ArrayType(T.StringType()))]
     )
-    for number in range(parts):
+    for place, number in enumerate(numbers):
         rows = items.where(part == number).collect()
         phrases = spark.sparkContext.broadcast(Phrases([tuple(row) for row in rows], window))
 
@@ -194,7 +202,7 @@ def find_contamination(
                 yield find_part(phrases.value, batch, "text")
 
         carried = map_batches(carried, search, result)
-        if number + 1 < parts:
+        if place + 1 < len(numbers):
             carried = materialize(carried, "contamination")
     return carried
 
