@@ -9,6 +9,7 @@ from trailmark.llm.line_dedup import dedup_runs
 from trailmark.llm.mixing import mix_sources
 from trailmark.llm.near_dedup import find_near_duplicates
 from trailmark.llm.oracle import ORACLE
+from trailmark.llm.periodic_runs import find_runs
 from trailmark.llm.privacy import replace_entities
 from trailmark.llm.quality import COUNTS, judge
 from trailmark.llm.substring_dedup import dedup_substrings
@@ -128,3 +129,44 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "n_spans",
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+def plant_repeats(docs: DataFrame) -> DataFrame:
+    """The documents; in a tenth of them, by checksum of the id, the words from some place on repeat a few of them.
+
+    With checksum h and g = h // 10, the text of an id with h % 10 = 0 has the same words up to word
+    a = g % n and repeats the next 1 + (n - a) // (3 + g % 8) words from there to its end.
+    """
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    checksum = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = docs.withColumns({"_h": checksum, "_w": F.when(checksum % 10 == 0, words)})
+    n, g = F.size("_w"), F.floor(F.col("_h") / 10)
+    placed = chosen.withColumns({"_a": (g % F.greatest(n, F.lit(1))).cast("int"), "_n": n})
+    period = F.lit(1) + F.floor((F.col("_n") - F.col("_a")) / (3 + g % 8)).cast("int")
+    measured = placed.withColumn("_p", period)
+    kept = F.slice("_w", F.lit(1), F.col("_a"))
+    repeated = F.transform(
+        F.sequence(F.col("_a"), F.greatest(F.col("_n") - 1, F.col("_a"))),
+        lambda i: F.get("_w", F.col("_a") + (i - F.col("_a")) % F.col("_p")),
+    )
+    text = F.when(F.col("_n") > 0, F.array_join(F.concat(kept, repeated), " ")).otherwise(F.col("text"))
+    return measured.withColumn("text", text).select(*docs.columns)
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of words in every document, the longest one, and digests of all and of what is left."""
+    found = find_runs(plant_repeats(texts(spark, folder)))
+    order = F.transform("runs", lambda r: F.struct(r.length, -r.start, -r.period, r.start, r.period))
+    longest = found.withColumn("longest", F.array_max(order))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    return longest.select(
+        F.col("row.doc_id").alias("doc_id"),
+        F.size("runs").cast("bigint").alias("n_runs"),
+        F.col("longest.start").alias("start"),
+        F.col("longest.length").alias("length"),
+        F.col("longest.period").alias("period"),
+        F.floor(F.col("longest.length") * 1000 / F.col("longest.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
