@@ -16,6 +16,7 @@ from trailmark.llm.substring_dedup import dedup_substrings
 from trailmark.llm.suffix_dedup import dedup_bytes
 from trailmark.llm.token_counts import count_tokens, read_vocabulary
 from trailmark.llm.toxicity import held_out, score_toxicity
+from trailmark.llm.whitening import whiten
 from trailmark.sources.tables import read_table
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -170,3 +171,18 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every embedding on the four principal components, whitened."""
+    whitened = whiten(read_table(spark, folder, "embeddings").select("vec_id", "embedding"))
+    return whitened.select(
+        F.col("row.vec_id").alias("vec_id"),
+        "component",
+        "n",
+        "deviation",
+        "whitened",
+        "explained",
+        "identity_error",
+    )
