@@ -12,6 +12,7 @@ from trailmark.llm.oracle import ORACLE
 from trailmark.llm.periodic_runs import find_runs
 from trailmark.llm.privacy import replace_entities
 from trailmark.llm.quality import COUNTS, judge
+from trailmark.llm.rule_ensemble import held_out as held_out_quality, score_quality
 from trailmark.llm.substring_dedup import dedup_substrings
 from trailmark.llm.suffix_dedup import dedup_bytes
 from trailmark.llm.token_counts import count_tokens, read_vocabulary
@@ -173,6 +174,18 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op12_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document by weighted rules, learned from the labels that are not held out."""
+    scored = score_quality(texts(spark, folder), read_table(spark, folder, "labels"))
+    return scored.select(
+        F.col("row.doc_id").alias("doc_id"),
+        held_out_quality(F.col("row.doc_id")).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
+
+
 @query
 def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     """Every embedding on the four principal components, whitened."""
