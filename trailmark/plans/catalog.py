@@ -25,7 +25,7 @@ from trailmark.operators import (
     stats,
     temporal,
 )
-from trailmark.sources import clicks, orders_log, read_events_csv
+from trailmark.sources import clicks, orders_log, read_events_csv, write_events_csv
 from trailmark.sources.csv import normalize_events
 from trailmark.sources.tables import read_table
 from trailmark.storage import shared_folder
@@ -445,13 +445,7 @@ def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     )
     untidy = raw.join(notes, F.col("` Event_ID`") == F.col("of")).drop("of")
     path = f"{shared_folder(spark)}/trailmark/csv-{uuid.uuid4().hex}"
-    (
-        untidy.write.option("header", True)
-        .option("escape", '"')
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .csv(path)
-    )
+    write_events_csv(untidy, path)
     log = read_events_csv(spark, path)
     return log.select("event_id", "event_type", _time_text("event_time"), "price", "note")
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from trailmark.functions import normalize_type, strip, to_price
 from trailmark.params import EVENT_TIME, EVENT_TYPE, PRICE
+from trailmark.sources.records import read_records
 
 # Cell texts that stand for a missing value.
 NULL_TOKENS = [
@@ -84,6 +85,37 @@ def normalize_events(raw: DataFrame, parse_dates: bool = True) -> DataFrame:
 END_OF_ROW = "\ue000"
 CORRUPT = "_corrupt_record"
 UNDECODABLE = "\ufffd"
+# Encodings in which a quote and a line break are the same bytes everywhere.
+SPLITTABLE = ("UTF-8", "UTF8", "ISO-8859-1")
+
+
+def _parse_records(records: DataFrame, names: list[str], encoding: str) -> DataFrame:
+    """Cells and the text of bad rows, as the CSV reader gives them; headers are checked and left out."""
+    text = F.col("record")
+    if encoding.upper() == "ISO-8859-1":
+        text = F.decode(text.cast("binary"), "ISO-8859-1")
+    text = F.when(text.endswith("\r"), F.substring(text, 1, F.char_length(text) - 1)).otherwise(text)
+    columns = [f"c{i}" for i in range(len(names))]
+    schema = ", ".join(f"{column} string" for column in [*columns, "behind"])
+    options = {"escape": '"', "multiLine": "true", "mode": "PERMISSIVE"}
+    # The cell behind a row ends its last cell, as a line break does in a file, and tells its length.
+    ended = F.concat("record", F.lit("," + END_OF_ROW))
+    parsed = (
+        records.select("first", text.alias("record"))
+        .where(F.col("record") != "")
+        .select("first", "record", F.from_csv(ended, schema, options).alias("row"))
+    )
+    fits = F.coalesce(F.col("row.behind") == END_OF_ROW, F.lit(False))
+    same = fits
+    for i, (column, name) in enumerate(zip(columns, names)):
+        head = F.ltrim(F.coalesce(F.col(f"row.{column}"), F.lit(f"_c{i}")), F.lit("\ufeff"))
+        same = same & (F.lower(head) == name.lstrip("\ufeff").lower())
+    message = F.lit(f"CSV header does not conform to the columns {names}")
+    body = parsed.where(
+        F.when(F.col("first") & ~same, F.raise_error(message).cast("boolean")).otherwise(~F.col("first"))
+    )
+    cells = [F.when(F.col(f"row.{c}") != END_OF_ROW, F.col(f"row.{c}")).alias(n) for c, n in zip(columns, names)]
+    return body.select(*cells, F.when(~fits, F.col("record")).alias(CORRUPT))
 
 
 def _suspect_row(columns: list[str], separator: str, quote: str) -> Column:
@@ -125,9 +157,11 @@ def read_events_csv(
     than the header, and bytes that are not in ``encoding`` (``errors="replace"``
     keeps them as replacement characters). Rows with fewer cells end in nulls.
 
-    Line breaks inside quotes are part of the cell. A file can then not be split
-    between tasks; ``multiline=False`` splits large files, and a quote that is
-    still open at the end of a line fails the job.
+    Line breaks inside quotes are part of the cell, and large files are still read by
+    many tasks (see ``records``): a first pass over the quotes finds where records
+    begin, when this is called. Only encodings other than UTF-8 and ISO-8859-1 make a
+    file one task. ``multiline=False`` saves that pass, and a quote that is still open
+    at the end of a line fails the job.
     """
     if errors not in ("strict", "replace"):
         raise ValueError("errors must be 'strict' or 'replace'")
@@ -149,12 +183,20 @@ def read_events_csv(
     clean_names(names)
     # With its own schema a file must have these columns in this order.
     schema = T.StructType([T.StructField(name, T.StringType()) for name in [*names, CORRUPT]])
+    records = None
+    by_line = not multiline
+    if multiline and encoding.upper() in SPLITTABLE:
+        records = read_records(spark, path)
+        by_line = records is None
     raw = (
         reader.schema(schema)
+        .option("multiLine", not by_line)
         .option("enforceSchema", False)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .csv(path)
+        if records is None
+        else _parse_records(records, names, encoding)
     )
     cells = {name: F.col(f"`{name}`") for name in names}
     problem = _suspect_row(names, ",", '"')
@@ -196,6 +238,8 @@ def write_events_csv(
         frame.write.mode(mode)
         .option("header", True)
         .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .option("timestampFormat", "yyyy-MM-dd HH:mm:ss.SSSSSSXXX")
         .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS")
         .csv(path)
