@@ -72,7 +72,7 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op4_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """The class of every document that has words; its smallest id names it and stays."""
+    """The class of every document; its smallest id names it and stays."""
     judged = find_near_duplicates(texts(spark, folder))
     doc_id = F.when(~F.col("unknown"), F.col("key_id"))
     return judged.select(doc_id.alias("doc_id"), "class_id", "class_size", "kept")
