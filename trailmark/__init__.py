@@ -13,7 +13,7 @@ from trailmark.operators.stats import chi_square_conversion_test
 from trailmark.operators.temporal import time_patterns
 from trailmark.params import DEFAULTS, Params
 from trailmark.plans.pipeline import Analysis, run
-from trailmark.sources import generate_events, read_events_csv, write_events_csv
+from trailmark.sources import generate_events, read_events_csv, read_log, write_events_csv, write_log
 
 __all__ = [
     "DEFAULTS",
@@ -34,6 +34,8 @@ __all__ = [
     "funnel",
     "generate_events",
     "read_events_csv",
+    "read_log",
+    "write_log",
     "remove_bots",
     "run",
     "segment_users",

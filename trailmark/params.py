@@ -16,6 +16,9 @@ USER_SESSION = "user_session"
 SESSION_ID = "session_id"
 SESSION_DURATION = "session_duration_sec"
 
+# Partition column of logs stored by day.
+EVENT_DAY = "event_day"
+
 REQUIRED_COLUMNS = [EVENT_TIME, EVENT_TYPE, PRODUCT_ID, USER_ID, PRICE]
 OPTIONAL_COLUMNS = ["category_id", CATEGORY, BRAND, USER_SESSION]
 DEDUP_KEY = [USER_ID, EVENT_TYPE, PRODUCT_ID, EVENT_TIME]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import astuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -25,10 +26,10 @@ from trailmark.operators import (
     stats,
     temporal,
 )
-from trailmark.sources import clicks, orders_log, read_events_csv, write_events_csv
+from trailmark.sources import clicks, orders_log, read_events_csv, read_log, write_events_csv, write_log
 from trailmark.sources.csv import normalize_events
 from trailmark.sources.tables import read_table
-from trailmark.storage import shared_folder
+from trailmark.storage import materialize, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -119,6 +120,24 @@ def date_bounds(spark: SparkSession, folder: str) -> DataFrame:
     return bounds.select(*[F.col(name).cast("string").alias(name) for name in bounds.columns])
 
 
+def _stored_clicks(spark: SparkSession, folder: str) -> DataFrame:
+    """The clicks, stored by day and read back."""
+    path = f"{shared_folder(spark)}/trailmark/log-{uuid.uuid4().hex}"
+    write_log(clicks(spark, folder), path)
+    return read_log(spark, path)
+
+
+def stored_date_range(spark: SparkSession, folder: str) -> DataFrame:
+    """``filter_date_range`` on a log stored by day, which reads the days asked for only."""
+    return _click_rows(clean.filter_date_range(_stored_clicks(spark, folder), *DATES))
+
+
+def stored_date_bounds(spark: SparkSession, folder: str) -> DataFrame:
+    """``date_bounds`` of a log stored by day, from its folders."""
+    bounds = clean.date_bounds(_stored_clicks(spark, folder))
+    return bounds.select(*[F.col(name).cast("string").alias(name) for name in bounds.columns])
+
+
 def brand_options(spark: SparkSession, folder: str) -> DataFrame:
     return clean.brand_options(clicks(spark, folder, products=True))
 
@@ -143,6 +162,25 @@ def cleaning_report(spark: SparkSession, folder: str) -> DataFrame:
     return clean.cleaning_report(orders_log(spark, folder), ORDER_BOTS)
 
 
+def run_cleaning_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """``cleaning_report`` as the pipeline observes it while it writes the clean log."""
+    log = orders_log(spark, folder)
+    counts = clean.clean_log(log, quality.validate(log).row_count, ORDER_BOTS)[1]
+    row = (*astuple(counts), counts.duplicates_removed, counts.duplicate_pct)
+    return spark.createDataFrame(
+        [row],
+        "bot_users bigint, rows_in bigint, rows_without_bots bigint, rows_out bigint, "
+        "duplicates_removed bigint, duplicate_pct double",
+    )
+
+
+def remove_many_bots(spark: SparkSession, folder: str) -> DataFrame:
+    """``remove_bots`` by the sieve and the shuffled join that a long list takes."""
+    log = clicks(spark, folder)
+    bots = materialize(clean.bot_users(log, CLICK_BOTS).select("user_id"), "bots")
+    return _click_rows(clean.without_many_users(log, bots))
+
+
 def sessions_existing(spark: SparkSession, folder: str) -> DataFrame:
     tagged = sessions.assign_sessions(clicks(spark, folder))
     return tagged.select("event_id", "session_id", "session_duration_sec")
@@ -476,11 +514,15 @@ QUERIES: dict[str, Query] = {
     "filter_brands": filter_brands,
     "apply_filters": apply_filters,
     "date_bounds": date_bounds,
+    "stored_date_range": stored_date_range,
+    "stored_date_bounds": stored_date_bounds,
     "brand_options": brand_options,
     "bot_users": bot_users,
     "remove_bots": remove_bots,
     "deduplicate_events": deduplicate_events,
     "cleaning_report": cleaning_report,
+    "run_cleaning_counts": run_cleaning_counts,
+    "remove_many_bots": remove_many_bots,
     "sessions_existing": sessions_existing,
     "sessions_gap": sessions_gap,
     "sessions_gap_running_ids": sessions_gap_running_ids,

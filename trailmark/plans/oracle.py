@@ -652,3 +652,11 @@ ORACLE: dict[str, str] = {
                 p < 0.05 AS significant
          FROM tails""",
 }
+
+# The same results on other paths: a log stored by day, the sieve, and counts observed in passing.
+ORACLE |= {
+    "stored_date_range": ORACLE["filter_date_range"],
+    "stored_date_bounds": ORACLE["date_bounds"],
+    "remove_many_bots": ORACLE["remove_bots"],
+    "run_cleaning_counts": ORACLE["cleaning_report"],
+}

@@ -30,6 +30,7 @@ class Analysis:
     time_patterns: temporal.TimePatterns | None = None
     brands: DataFrame | None = None
     kpis: DataFrame | None = None
+    cleaning: clean.CleaningCounts | None = None
     params: Params = DEFAULTS
 
     @cached_property
@@ -62,8 +63,7 @@ def run(
         return Analysis(validation, error=validation.summary())
 
     gap = params.session_gap_minutes
-    without_bots = clean.remove_bots(chosen, params.bot_threshold)
-    cleaned = materialize(clean.deduplicate_events(without_bots), "events")
+    cleaned, counts = clean.clean_log(chosen, validation.row_count, params.bot_threshold)
     rollup = sessions.session_rollup(cleaned, gap, use_existing_sessions)
     users = materialize(rollups.user_rollup(rollup), "users")
     segments = segment_ops.segments_of_users(users)
@@ -78,5 +78,6 @@ def run(
         time_patterns=temporal.time_patterns(cleaned),
         brands=brand_ops.brand_analysis(cleaned, params.top_brands, params.min_brand_events),
         kpis=kpis.kpis_of_users(users, kpis.distinct_products(cleaned)),
+        cleaning=counts,
         params=params,
     )
