@@ -6,7 +6,7 @@ import pytest
 from helpers import log, rows
 from pyspark.sql import functions as F
 
-from trailmark.functions import quantile_neighbours
+from trailmark.functions import quantile, quantile_neighbours
 from trailmark.operators import clean, cohort, sessions, temporal
 
 
@@ -164,6 +164,23 @@ def test_quantile_against_numpy(spark, seed):
         assert row.up_to_lower == (values <= row.lower).sum()
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_quantile_by_many_passes(spark, seed, monkeypatch):
+    """Coarse sketches without a margin give wrong bounds, ties and neighbours on both sides of a bound."""
+    for name, setting in (("SKETCH_SIZE", 8), ("MARGIN", 0.0), ("FEW", 2)):
+        monkeypatch.setattr(quantile, name, setting)
+    rng = np.random.default_rng(seed)
+    values = np.concatenate([rng.integers(0, 60, 300), np.full(200, 31), rng.integers(0, 10**9, 200)])
+    frame = spark.createDataFrame([(int(v), 1) for v in values], "v bigint, n bigint").repartition(3).persist()
+    for q in (0.0, 0.21, 0.5, 0.77, 0.99, 1.0):
+        row = quantile_neighbours(frame, "v", "n", q).first()
+        got = row.lower + (row.upper - row.lower) * row.fraction
+        assert got == pytest.approx(np.quantile(values, q), rel=1e-12)
+        assert (row.total, row.smallest) == (len(values), values.min())
+        assert row.up_to_lower == (values <= row.lower).sum()
+    frame.unpersist()
+
+
 def test_quantile_of_nothing(spark):
     nothing = spark.createDataFrame([], "v bigint, n bigint")
     assert quantile_neighbours(nothing, "v", "n", 0.99).count() == 0

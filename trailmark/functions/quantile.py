@@ -1,99 +1,107 @@
-"""Exact quantiles of whole numbers without gathering the values in one place."""
+"""Exact quantiles of whole numbers without gathering or ordering the values."""
 
 from __future__ import annotations
 
-from functools import reduce
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+#: A sketch of this size errs by about 0.13 % of the ranks; bounds are taken three times as wide.
+SKETCH_SIZE = 4096
+MARGIN = 0.004
+#: The search ends when no more values than this lie between the bounds.
+FEW = 10_000
 
-# Hour, second and microsecond when the values are microseconds. Each step
-# looks only inside the bucket the step before it has found, so no window sees
-# more than (range / hour), 3600 or 1,000,000 rows, whatever the data size.
-MICROSECOND_STEPS = (3_600_000_000, 1_000_000, 1)
+SCHEMA = (
+    "total bigint, lower bigint, upper bigint, fraction double, up_to_lower bigint, smallest bigint"
+)
 
 
-def quantile_neighbours(
-    values: DataFrame,
-    value: str,
-    weight: str,
-    q: float,
-    steps: tuple[int, ...] = MICROSECOND_STEPS,
-) -> DataFrame:
+def quantile_neighbours(values: DataFrame, value: str, weight: str, q: float) -> DataFrame:
     """One row ``total, lower, upper, fraction, up_to_lower, smallest`` around the ``q`` quantile.
 
-    ``values`` holds each distinct whole number with its count. The linear
-    quantile is ``lower + (upper - lower) * fraction``; ``up_to_lower`` counts
-    the values that are not greater than ``lower``. No row for no values.
+    ``values`` holds whole numbers with their counts. The linear quantile is
+    ``lower + (upper - lower) * fraction``; ``up_to_lower`` counts the values that are
+    not greater than ``lower``. No row for no values.
 
-    Between two steps the two buckets found, two small rows, come to the driver:
-    as literal bounds they reach the scan, which then reads those buckets only.
+    A mergeable sketch, made in the first pass, gives two bounds around the quantile. The next
+    pass counts exactly what lies below and between them and sketches what lies between, and so
+    on: every pass leaves a hundredth of the values, so two or three passes do for any log. The
+    counts decide, not the sketch: where a bound was wrong the search goes on outside it. A few
+    numbers a pass come to the driver; as literal bounds they reach the scan.
     """
+    spark = values.sparkSession
+    v, n = F.col(value), F.col(weight)
+    first = values.agg(
+        F.sum(n).alias("total"), F.min(v).alias("low"), F.max(v).alias("high"), *_sketch(v)
+    ).first()
+    if first.total is None:
+        return spark.createDataFrame([], SCHEMA)
+    position = q * (first.total - 1)
+    rank = int(position)
+    next_rank = min(rank + 1, first.total - 1)
+    # both neighbours lie between `low` and `high`, and `below` values lie under `low`
+    low, high, below = first.low, first.high, 0
+    a, b = _bounds(spark, first.sketch, q)
+    while True:
+        within = values.where((v >= low) & (v < high + 1))
+        seen = within.agg(
+            *[
+                F.coalesce(F.sum(F.when(part, n)), F.lit(0)).alias(name)
+                for name, part in {"under_a": v < a, "to_a": v <= a, "under_b": v < b, "to_b": v <= b}.items()
+            ],
+            F.max(F.when(v < a, v)).alias("before_a"),
+            F.min(F.when(v > a, v)).alias("after_a"),
+            F.max(F.when(v < b, v)).alias("before_b"),
+            F.min(F.when(v > b, v)).alias("after_b"),
+            F.count_if((v > a) & (v < b)).alias("rows"),
+            *_sketch(F.when((v > a) & (v < b), v)),
+        ).first()
+        # what lies below each of five parts, and their smallest and largest values: under a, a, between, b, above b
+        starts = [below + x for x in (0, seen.under_a, seen.to_a, seen.under_b, seen.to_b)]
+        least, most = [low, a, seen.after_a, b, seen.after_b], [seen.before_a, a, seen.before_b, b, high]
+        ends = [*starts[1:], first.total]
+        part, next_part = (next(i for i in range(5) if r < ends[i]) for r in (rank, next_rank))
+        if part != next_part:
+            # neighbours on both sides of a bound: the last of one part and the first of the next one
+            low, high = most[part], least[next_part]
+            below = values.where(v < low).agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+            break
+        low, high, below = least[part], most[part], starts[part]
+        if part in (1, 3) or low == high or part == 2 and seen.rows <= FEW:
+            break
+        if part == 2:
+            a, b = _bounds(spark, seen.sketch, (rank - below) / (ends[2] - below))
+            a, b = max(a, low), min(b, high)
+        else:
+            a, b = low, high
+    few = values.where((v >= low) & (v < high + 1)).groupBy(v.alias("v")).agg(F.sum(n).alias("n"))
+    so_far = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = few.select("v", "n", (F.lit(below) + F.sum("n").over(so_far)).alias("up_to"))
 
-    def bucket(step: int) -> Column:
-        return F.expr(f"`{value}` - pmod(`{value}`, {step}L)")
+    def at(rank: int, column: str) -> Column:
+        here = (F.col("up_to") > rank) & (F.col("up_to") - F.col("n") <= rank)
+        return F.max(F.when(here, F.col(column)))
 
-    in_order = Window.orderBy("bucket")
-    so_far = (Window.unboundedPreceding, Window.currentRow)
-    everything = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    position = F.lit(q) * (F.col("total") - 1)
-    lower_rank = F.floor(position)
-    found = _bucket_of_rank(
-        values.groupBy(bucket(steps[0]).alias("bucket"))
-        .agg(F.sum(weight).alias("n"), F.min(value).alias("least"))
-        .select(
-            "bucket",
-            "n",
-            F.sum("n").over(in_order.rowsBetween(*so_far)).alias("up_to"),
-            F.sum("n").over(everything).alias("total"),
-            F.min("least").over(everything).alias("smallest"),
-            F.lit(0).cast("bigint").alias("before"),
-        )
-        .select(
-            "*",
-            (position - lower_rank).alias("fraction"),
-            F.posexplode(
-                F.array(lower_rank, F.least(lower_rank + 1, F.col("total") - 1))
-            ).alias("side", "rank"),
-        )
+    return ranked.agg(
+        F.lit(first.total).cast("bigint").alias("total"),
+        at(rank, "v").alias("lower"),
+        at(next_rank, "v").alias("upper"),
+        F.lit(position - rank).alias("fraction"),
+        at(rank, "up_to").cast("bigint").alias("up_to_lower"),
+        F.lit(first.low).cast("bigint").alias("smallest"),
     )
-    carried = ["side", "rank", "total", "fraction", "smallest", "before"]
-    for coarse, fine in zip(steps, steps[1:]):
-        rows = found.collect()  # two rows, one per side
-        within = Window.partitionBy("side").orderBy("bucket").rowsBetween(*so_far)
-        sides = []
-        for row in rows:
-            inside = values.where(
-                (F.col(value) >= row["bucket"]) & (F.col(value) < row["bucket"] + coarse)
-            )
-            constants = [
-                F.lit(row[name]).cast(found.schema[name].dataType).alias(name) for name in carried
-            ]
-            sides.append(
-                inside.groupBy(bucket(fine).alias("bucket")).agg(F.sum(weight).alias("n")).select(
-                    *constants, "bucket", "n"
-                )
-            )
-        if not sides:
-            break
-        found = _bucket_of_rank(
-            reduce(DataFrame.unionByName, sides).withColumn(
-                "up_to", F.col("before") + F.sum("n").over(within)
-            )
-        )
 
-    def on(side: int, column) -> Column:
-        return F.max(F.when(F.col("side") == side, column))
 
-    return found.groupBy("total", "fraction", "smallest").agg(
-        on(0, F.col("bucket")).alias("lower"),
-        on(1, F.col("bucket")).alias("upper"),
-        on(0, F.col("before") + F.col("n")).alias("up_to_lower"),
-    )
+def _sketch(values: Column) -> list[Column]:
+    return [F.kll_sketch_agg_bigint(values.cast("bigint"), F.lit(SKETCH_SIZE)).alias("sketch")]
 
 
-def _bucket_of_rank(buckets: DataFrame) -> DataFrame:
-    """The buckets in which the ranks lie, with the number of values before them."""
-    before = F.col("up_to") - F.col("n")
-    return buckets.where((F.col("rank") >= before) & (F.col("rank") < F.col("up_to"))).select(
-        "side", "rank", "total", "fraction", "smallest", before.alias("before"), "bucket", "n"
+def _bounds(spark, sketch: bytearray, share: float) -> tuple[int, int]:
+    """Two values of a sketch that have a share of the others below them with a margin on both sides."""
+    found = spark.range(1).select(
+        *[
+            F.kll_sketch_get_quantile_bigint(F.lit(bytes(sketch)), F.lit(min(max(at, 0.0), 1.0)))
+            for at in (share - MARGIN, share + MARGIN)
+        ]
     )
+    a, b = found.first()
+    return a, b

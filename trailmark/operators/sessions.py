@@ -341,10 +341,14 @@ def length_distribution(summary: DataFrame) -> DataFrame:
     )
 
 
+def session_lengths(summary: DataFrame) -> DataFrame:
+    """As ``length_distribution``, but a row a session: nothing is shuffled where most lengths differ."""
+    return summary.where(F.col("duration_us").isNotNull()).select("duration_us", "sessions")
+
+
 def _written(distribution: DataFrame) -> DataFrame:
-    """The distribution in order of length, so that a scan can skip what it need not see."""
-    ordered = distribution.repartitionByRange("duration_us").sortWithinPartitions("duration_us")
-    return materialize(ordered, "lengths")
+    """The lengths, written once for all passes over them."""
+    return materialize(distribution.select("duration_us", "sessions"), "lengths")
 
 
 def length_p99(distribution: DataFrame, q: float = 0.99) -> DataFrame:

@@ -273,7 +273,7 @@ def session_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _click_lengths(spark: SparkSession, folder: str) -> DataFrame:
-    return sessions.length_distribution(_click_sessions(spark, folder))
+    return sessions.session_lengths(_click_sessions(spark, folder))
 
 
 def session_length_p99(spark: SparkSession, folder: str) -> DataFrame:
