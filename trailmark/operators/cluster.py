@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from multiprocessing.pool import ThreadPool
-
-from pyspark import inheritable_thread_target
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, Row, Window, functions as F
 
 from trailmark.functions import round_to
 from trailmark.params import DEFAULTS, USER_ID
@@ -21,6 +17,9 @@ FEATURES = [
 
 # A fit has converged when no centre moves further than this.
 CENTRE_SHIFT = 0.01
+MAX_PASSES = 300
+#: Users from whom the starts of a fit are drawn.
+SEED_ROWS = 5000
 
 
 def _available(segments: DataFrame) -> list[str]:
@@ -65,50 +64,120 @@ def cluster_users(
     n_clusters: int = DEFAULTS.clusters,
     seed: int = DEFAULTS.seed,
     starts: int = 10,
-    fit_tasks: int = DEFAULTS.fit_tasks,
 ) -> DataFrame:
     """Add ``cluster``, ``pc1`` and ``pc2`` to the user table.
 
-    The best of ``starts`` k-means fits is kept. Where a fit starts depends on the
-    order of users in its tasks, so they are dealt to ``fit_tasks`` tasks by a hash
-    and put in order: the labels are the same however the log was partitioned. Clusters are numbered by
-    their centres, so the numbers mean the same from run to run. The features
-    are written down once: every pass of every fit reads that table and not
-    the event log behind it.
+    The best of ``starts`` k-means fits is kept. Clusters are numbered by their centres, so the
+    numbers mean the same from run to run, and labels do not depend on how the log was
+    partitioned. The features are written down once: every pass reads that table and not the
+    event log behind it.
     """
     if len(_available(segments)) < 2:
         return segments.withColumns(
             {"cluster": F.lit(0), "pc1": F.lit(0.0), "pc2": F.lit(0.0)}
         )
     scaled = materialize(scaled_features(segments), "features")
-    users = scaled.count()
-    if users < n_clusters:
-        raise ValueError(f"{n_clusters} clusters need at least {n_clusters} users")
-    inputs = [_scaled(name) for name in _available(segments)]
-    vectors = VectorAssembler(inputCols=inputs, outputCol="features").transform(scaled)
-    dealt = vectors.repartition(fit_tasks, USER_ID).sortWithinPartitions(USER_ID)
-    model = _best_fit(dealt.select("features"), n_clusters, seed, starts)
-    centres = [tuple(centre) for centre in model.clusterCenters()]
-    by_centre = sorted(range(len(centres)), key=centres.__getitem__)
-    numbers = F.array(*[F.lit(by_centre.index(old)) for old in range(len(centres))])
-    renumbered = F.element_at(numbers, F.col("prediction") + 1)
-    return model.transform(vectors).select(
-        *segments.columns, renumbered.alias("cluster"), "pc1", "pc2"
-    )
+    point = F.array(*[_scaled(name) for name in _available(segments)])
+    points = scaled.select(F.xxhash64(F.lit(seed), USER_ID).alias("draw"), point.alias("point"))
+    centres = fit_centres(points, n_clusters, seed, starts)
+    nearest = _nearest(point, _literal(sorted(centres.tolist())))["cluster"]
+    return scaled.select(*segments.columns, nearest.alias("cluster"), "pc1", "pc2")
+
+
+def _literal(values: list) -> Column:
+    """Nested lists as one constant: equal plans, whatever the numbers, are compiled once."""
+    return F.array(*[_literal(v) for v in values]) if isinstance(values, list) else F.lit(float(values))
+
+
+def _nearest(point: Column, centres: Column) -> Column:
+    """Struct ``distance`` (squared) and ``cluster`` of the nearest centre; the first one of equals."""
 
+    def away(centre: Column, number: Column) -> Column:
+        squares = F.zip_with(point, centre, lambda a, b: (a - b) * (a - b))
+        total = F.aggregate(squares, F.lit(0.0), lambda so_far, square: so_far + square)
+        return F.struct(total.alias("distance"), number.alias("cluster"))
 
-def _best_fit(vectors: DataFrame, k: int, seed: int, starts: int) -> KMeansModel:
-    """The fit with the lowest cost; the fits run side by side on one cached table."""
-    cached = vectors.persist()
-    kmeans = KMeans(k=k, maxIter=300, tol=CENTRE_SHIFT)
-    fits = kmeans.fitMultiple(cached, [{kmeans.seed: seed + i} for i in range(starts)])
+    return F.array_min(F.transform(centres, away))
+
+
+def fit_centres(points: DataFrame, k: int, seed: int, starts: int) -> np.ndarray:
+    """Centres of the best fit to ``points`` (draw, point).
+
+    Each start is drawn (k-means++) from the ``SEED_ROWS`` points with the smallest draw, a bound
+    on what comes to the driver, and settled on those first. Then Lloyd's algorithm goes over all
+    points: one pass, and one aggregation of starts x k rows, moves the centres of all starts.
+    """
+    drawn = points.orderBy("draw", "point").limit(SEED_ROWS).select("point").collect()
+    if len(drawn) < k:
+        raise ValueError(f"{k} clusters need at least {k} users")
+    sample = np.array([row.point for row in drawn])
+    centres: list[np.ndarray] = []
+    for i in range(starts):
+        found = _settled(sample, _spread(sample, k, np.random.default_rng([seed, i])))
+        found = found[np.lexsort(found.T[::-1])]
+        # starts that have met go on as one
+        if all(_shift(found, other) > CENTRE_SHIFT for other in centres):
+            centres.append(found)
+    costs = [np.inf] * len(centres)
+    moving = list(range(len(centres)))
+    cached = points.select("point").persist()
     try:
-        with ThreadPool(starts) as pool:
-            task = inheritable_thread_target(vectors.sparkSession)(lambda _: next(fits)[1])
-            models = pool.map(task, range(starts))
+        for _ in range(MAX_PASSES):
+            before = [centres[s].copy() for s in moving]
+            for row in _sums(cached, before):
+                centres[moving[row.start]][row.cluster] = np.array(row.total) / row.n
+                costs[moving[row.start]] = row.cost
+            moving = [s for s, old in zip(moving, before) if _shift(old, centres[s]) > CENTRE_SHIFT]
+            if not moving:
+                break
     finally:
         cached.unpersist()
-    return min(models, key=lambda model: model.summary.trainingCost)
+    return centres[int(np.argmin(costs))]
+
+
+def _sums(points: DataFrame, centres: list[np.ndarray]) -> list[Row]:
+    """``start, cluster, n, total`` (of the points, by dimension) and ``cost`` of the whole start."""
+    dimensions = centres[0].shape[1]
+    choices = F.transform(
+        _literal([c.tolist() for c in centres]), lambda start: _nearest(F.col("point"), start)
+    )
+    placed = points.select("point", F.posexplode(choices).alias("start", "nearest"))
+    sums = placed.groupBy("start", F.col("nearest.cluster").alias("cluster")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.array(*[F.sum(F.get("point", d)) for d in range(dimensions)]).alias("total"),
+        F.sum("nearest.distance").alias("share"),
+    )
+    whole = Window.partitionBy("start")
+    return sums.withColumn("cost", F.sum("share").over(whole)).collect()
+
+
+def _shift(old: np.ndarray, new: np.ndarray) -> float:
+    return float(np.sqrt(((old - new) ** 2).sum(axis=1)).max())
+
+
+def _spread(sample: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Points drawn one after the other with probabilities that grow with the distance to those drawn."""
+    centres = [sample[rng.integers(len(sample))]]
+    away = np.full(len(sample), np.inf)
+    while len(centres) < k:
+        away = np.minimum(away, ((sample - centres[-1]) ** 2).sum(axis=1))
+        total = away.sum()
+        at = rng.choice(len(sample), p=away / total) if total > 0 else rng.integers(len(sample))
+        centres.append(sample[at])
+    return np.array(centres)
+
+
+def _settled(sample: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Lloyd's algorithm on the few points that seed a fit; a centre without points stays."""
+    for _ in range(MAX_PASSES):
+        label = ((sample[:, None, :] - centres) ** 2).sum(axis=2).argmin(axis=1)
+        moved = np.array(
+            [sample[label == j].mean(axis=0) if (label == j).any() else c for j, c in enumerate(centres)]
+        )
+        if _shift(centres, moved) <= CENTRE_SHIFT:
+            return moved
+        centres = moved
+    return centres
 
 
 def cluster_properties(segments: DataFrame, clustered: DataFrame) -> DataFrame:

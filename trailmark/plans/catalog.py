@@ -382,6 +382,12 @@ def kmeans_properties(spark: SparkSession, folder: str) -> DataFrame:
     return cluster.cluster_properties(segment_users(spark, folder), kmeans_clusters(spark, folder))
 
 
+def cluster_summary_of_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """``cluster_summary`` of clusters that SQL can name: users by the remainder of their number."""
+    labelled = segment_users(spark, folder).withColumn("cluster", (F.col("user_id") % 4).cast("int"))
+    return cluster.cluster_summary(labelled)
+
+
 def cluster_summary(spark: SparkSession, folder: str) -> DataFrame:
     return cluster.cluster_summary(kmeans_clusters(spark, folder))
 
@@ -556,6 +562,7 @@ QUERIES: dict[str, Query] = {
     "kmeans_clusters": kmeans_clusters,
     "kmeans_properties": kmeans_properties,
     "cluster_summary": cluster_summary,
+    "cluster_summary_of_labels": cluster_summary_of_labels,
     "hourly_events": hourly_events,
     "weekday_events": weekday_events,
     "purchase_heatmap": purchase_heatmap,

@@ -539,6 +539,17 @@ ORACLE: dict[str, str] = {
                  round_even({_money("s.avg_price")} / count(s.avg_price), 1) AS avg_price,
                  round_even(CAST(sum(session_count) AS BIGINT) / count(*), 1) AS avg_sessions
           FROM segments s GROUP BY segment ORDER BY segment""",
+    "cluster_summary_of_labels": SEGMENTS
+    + """, counted AS (
+           SELECT CAST(user_id % 4 AS INTEGER) AS cluster, segment, count(*) AS n,
+                  sum(total_events) AS events, sum(total_purchases) AS purchases
+           FROM segments GROUP BY ALL
+         )
+         SELECT cluster, CAST(sum(n) AS BIGINT) AS users,
+                round_even(CAST(sum(events) AS BIGINT) / CAST(sum(n) AS BIGINT), 1) AS avg_events,
+                round_even(CAST(sum(purchases) AS BIGINT) / CAST(sum(n) AS BIGINT), 1) AS avg_purchases,
+                first(segment ORDER BY n DESC, segment) AS dominant_segment
+         FROM counted GROUP BY cluster ORDER BY cluster""",
     "cart_abandoners": _with(ORDERS)
     + """SELECT DISTINCT user_id FROM orders_log WHERE event_type = 'cart'
          EXCEPT SELECT user_id FROM orders_log WHERE event_type = 'purchase'""",

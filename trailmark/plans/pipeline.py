@@ -38,9 +38,7 @@ class Analysis:
         """Users with their cluster; k-means is fitted when this is first asked for."""
         if self.segments is None:
             return None
-        return cluster.cluster_users(
-            self.segments, self.params.clusters, self.params.seed, fit_tasks=self.params.fit_tasks
-        )
+        return cluster.cluster_users(self.segments, self.params.clusters, self.params.seed)
 
 
 def run(
