@@ -10,10 +10,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import astuple
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from trailmark.operators import (
+    activity,
     brands,
     clean,
     cluster,
@@ -326,6 +328,26 @@ def cohort_active_users(spark: SparkSession, folder: str) -> DataFrame:
     return cohort.cohort_active_users(cohort_assign(spark, folder))
 
 
+def _stored_activity(spark: SparkSession, folder: str) -> DataFrame:
+    """The days of the order log as bitmaps, added in two batches."""
+    store = activity.Activity(spark, f"{shared_folder(spark)}/trailmark/activity-{uuid.uuid4().hex}")
+    log = orders_log(spark, folder)
+    early = F.col("event_time") < F.lit("1995-06-18").cast(log.schema["event_time"].dataType)
+    store.add(log.where(early))
+    store.add(log.where(~early))
+    return store.days
+
+
+def activity_cohorts(spark: SparkSession, folder: str) -> DataFrame:
+    """``cohort_active_users`` from stored bitmaps of days."""
+    return activity.active_users(_stored_activity(spark, folder))
+
+
+def activity_uniques(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct users and products of the headline figures, from stored bitmaps of days."""
+    return activity.distinct_counts(_stored_activity(spark, folder))
+
+
 def cohort_sizes(spark: SparkSession, folder: str) -> DataFrame:
     return cohort.cohort_sizes(cohort_assign(spark, folder))
 
@@ -472,12 +494,18 @@ def _spoiled_clicks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def validation_report(spark: SparkSession, folder: str) -> DataFrame:
-    """The findings about the clicks as they are, and about a spoiled copy."""
-    logs = {"clean": clicks(spark, folder), "spoiled": _spoiled_clicks(spark, folder)}
+    """The findings about the clicks as they are, spoiled, without rows, and without columns that are required."""
+    log = clicks(spark, folder)
+    logs = {
+        "clean": log,
+        "spoiled": _spoiled_clicks(spark, folder),
+        "empty": log.where("event_time IS NULL"),
+        "narrow": log.drop("user_id", "price"),
+    }
     reports = [
         quality.validation_report(log).select(F.lit(name).alias("log"), "*") for name, log in logs.items()
     ]
-    return reports[0].unionByName(reports[1])
+    return reduce(DataFrame.unionByName, reports)
 
 
 def csv_round_trip(spark: SparkSession, folder: str) -> DataFrame:
@@ -549,6 +577,8 @@ QUERIES: dict[str, Query] = {
     "kpi_cards": kpi_cards,
     "cohort_assign": cohort_assign,
     "cohort_active_users": cohort_active_users,
+    "activity_cohorts": activity_cohorts,
+    "activity_uniques": activity_uniques,
     "cohort_sizes": cohort_sizes,
     "cohort_retention": cohort_retention,
     "cohort_heatmap_labels": cohort_heatmap_labels,

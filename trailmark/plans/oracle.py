@@ -626,7 +626,16 @@ ORACLE: dict[str, str] = {
         ('warning', 'missing_user_session', 1), ('warning', 'unknown_type_rows', unknown),
         ('warning', 'bad_price_rows', bad_price), ('warning', 'negative_price_rows', negative),
         ('warning', 'null_product_id', no_product), ('error', 'null_product_id', no_product),
-        ('warning', 'null_user_id', no_user), ('error', 'bad_time_rows', bad_time)) AS f(level, "check", count)""",
+        ('warning', 'null_user_id', no_user), ('error', 'bad_time_rows', bad_time)) AS f(level, "check", count)
+      UNION ALL
+      SELECT 'empty', level, "check", CAST(count AS BIGINT) FROM (VALUES
+        ('info', 'rows', 0), ('info', 'columns', 7), ('error', 'no_rows', 0)) AS f(level, "check", count)
+      UNION ALL
+      SELECT 'narrow', level, "check", CAST(count AS BIGINT) FROM n, LATERAL (VALUES
+        ('info', 'rows', n), ('info', 'columns', 5), ('error', 'missing_user_id', 1),
+        ('error', 'missing_price', 1), ('warning', 'missing_category_id', 1),
+        ('warning', 'missing_category_code', 1), ('warning', 'missing_brand', 1),
+        ('warning', 'unknown_type_rows', unknown)) AS f(level, "check", count)""",
     "csv_round_trip": f"""
       SELECT CAST(event_id AS VARCHAR) AS event_id, event_type,
              strftime(CASE event_type
@@ -664,10 +673,12 @@ ORACLE: dict[str, str] = {
          FROM tails""",
 }
 
-# The same results on other paths: a log stored by day, the sieve, and counts observed in passing.
+# The same results on other paths: a log stored by day, the sieve, counts observed in passing, bitmaps of days.
 ORACLE |= {
     "stored_date_range": ORACLE["filter_date_range"],
     "stored_date_bounds": ORACLE["date_bounds"],
     "remove_many_bots": ORACLE["remove_bots"],
     "run_cleaning_counts": ORACLE["cleaning_report"],
+    "activity_cohorts": ORACLE["cohort_active_users"],
+    "activity_uniques": KPIS + "SELECT unique_users, unique_products FROM kpis",
 }
