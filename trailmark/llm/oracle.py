@@ -47,13 +47,26 @@ WITH words AS (
   SELECT lang, metric, count(*) AS n, list_sort(list(value)) AS v FROM long GROUP BY ALL
 ), whole AS (
   SELECT metric, list_sort(list(value)) AS v FROM long GROUP BY ALL
-), chosen AS (
+), each AS (
   SELECT own.lang, own.source, own.metric,
-         CASE WHEN own.n >= 100 THEN own.v WHEN of_lang.n >= 100 THEN of_lang.v ELSE whole.v END AS v
+         (own.n::DOUBLE * own.n) * (own.n::DOUBLE * own.n)
+           / ((own.n::DOUBLE * own.n) * (own.n::DOUBLE * own.n) + 6250000.0::DOUBLE) AS own_weight,
+         (of_lang.n::DOUBLE * of_lang.n) * (of_lang.n::DOUBLE * of_lang.n)
+           / ((of_lang.n::DOUBLE * of_lang.n) * (of_lang.n::DOUBLE * of_lang.n) + 6250000.0::DOUBLE) AS lang_weight,
+         own.v AS own_v, of_lang.v AS lang_v, whole.v AS all_v
   FROM own JOIN of_lang ON own.lang IS NOT DISTINCT FROM of_lang.lang AND own.metric = of_lang.metric
   JOIN whole ON own.metric = whole.metric
+), quartile AS (
+  SELECT lang, source, metric, own_weight, lang_weight, q,
+         own_v[ceil(len(own_v) * q)::INT] AS own_q, lang_v[ceil(len(lang_v) * q)::INT] AS lang_q,
+         all_v[ceil(len(all_v) * q)::INT] AS all_q
+  FROM each, (VALUES (0.25::DOUBLE), (0.75::DOUBLE)) AS t(q)
 ), quartiles AS (
-  SELECT lang, source, metric, v[ceil(len(v) * 0.25)::INT] AS q1, v[ceil(len(v) * 0.75)::INT] AS q3 FROM chosen
+  SELECT lang, source, metric,
+         max(v) FILTER (q = 0.25) AS q1, max(v) FILTER (q = 0.75) AS q3
+  FROM (SELECT *, own_q * own_weight + (lang_q * lang_weight + all_q * (1 - lang_weight)) * (1 - own_weight) AS v
+        FROM quartile)
+  GROUP BY ALL
 ), fences AS (
   SELECT lang, source, metric, q3 + 3.0::DOUBLE * greatest(q3 - q1, least::DOUBLE) AS high,
          q1 - 3.0::DOUBLE * greatest(q3 - q1, least::DOUBLE) AS low

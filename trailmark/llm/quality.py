@@ -5,9 +5,10 @@ document with its own kind: mergeable quantile sketches (KLL) of every metric ar
 built per language and source over the documents that pass the base rules, merged
 into sketches per language and one of all, and read at the quartiles. A document is
 rejected if a metric lies beyond the upper fence, third quartile + ``FENCE`` x
-interquartile range, or ``word_length`` also below the lower one. Groups of fewer than
-``MIN_GROUP`` documents borrow the sketch of their language, small languages that of
-the whole. Each metric has a least spread, so that a group of near-equal documents does
+interquartile range, or ``word_length`` also below the lower one. The quartiles
+of a group are drawn towards those of its language, and those of a language towards the
+whole, by a weight that rises smoothly with the group (n^4 against ``EVEN_GROUP``^4): small
+groups lean on what they belong to, and no size is a switch. Each metric has a least spread, so that a group of near-equal documents does
 not reject slight differences. The thresholds are a small table, written down once and
 joined to the documents.
 
@@ -28,7 +29,8 @@ from trailmark.storage import materialize
 SPACE = r"[\x20\x09-\x0D]"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-MIN_GROUP = 100
+#: A group of so many documents counts as much as what it belongs to, one of twice as many 16 times as much.
+EVEN_GROUP = 50.0
 SKETCH_K = 2048
 FENCE = 3.0
 #: Metrics of the adaptive rules and their least interquartile range.
@@ -143,12 +145,15 @@ def thresholds(measured: DataFrame) -> DataFrame:
     wider = languages.select(F.col("lang").alias("of"), F.col("n").alias("lang_n"), *quartiles("lang"))
     both = own.join(wider, F.col("lang").eqNullSafe(F.col("of")))
 
+    def weight(n: str) -> Column:
+        square = F.col(n).cast("double") * F.col(n).cast("double")
+        return square * square / (square * square + F.lit(EVEN_GROUP**4))
+
     def quartile(metric: str, name: str) -> Column:
-        return (
-            F.when(F.col("own_n") >= MIN_GROUP, F.col(f"own_{metric}_{name}"))
-            .when(F.col("lang_n") >= MIN_GROUP, F.col(f"lang_{metric}_{name}"))
-            .otherwise(F.lit(whole[f"all_{metric}_{name}"] if whole else None).cast("double"))
-        )
+        of_all = F.lit(whole[f"all_{metric}_{name}"] if whole else None).cast("double")
+        own, of_lang = F.col(f"own_{metric}_{name}"), F.col(f"lang_{metric}_{name}")
+        wider = of_lang * weight("lang_n") + of_all * (1 - weight("lang_n"))
+        return own * weight("own_n") + wider * (1 - weight("own_n"))
 
     def margin(metric: str) -> Column:
         spread = quartile(metric, "high") - quartile(metric, "low")
@@ -167,17 +172,19 @@ def judge(docs: DataFrame) -> DataFrame:
     names = without_columns(docs.columns, RESULTS)
     measured = materialize(measure(docs), "quality-measures")
     fences = materialize(thresholds(measured), "quality-thresholds")
-    # a small table is broadcast by its size; a large one is shuffled, hot sources split
-    joined = measured.join(
+    # the columns of a document are in one struct, so that none of them meets the name of a threshold;
+    # a small table is broadcast by its size, a large one is shuffled, hot sources split
+    joined = measured.select(F.struct(*measured.columns).alias("m")).join(
         fences,
-        F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")),
+        F.col("m.lang").eqNullSafe(F.col("of_lang")) & F.col("m.source").eqNullSafe(F.col("of_source")),
         "left",
     )
-    inside = F.col("word_length") >= F.col("word_length_low")
+    inside = F.col("m.word_length") >= F.col("word_length_low")
     for metric in SPREADS:
-        inside = inside & (F.col(metric) <= F.col(f"{metric}_high"))
-    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
-    return joined.select(*names, *COUNTS, *SPREADS, "base_failed", kept.alias("kept"))
+        inside = inside & (F.col("m")[metric] <= F.col(f"{metric}_high"))
+    kept = ~F.col("m.base_failed") & F.coalesce(inside, F.lit(True))
+    shown = [*names, *COUNTS, *SPREADS, "base_failed"]
+    return joined.select(*[F.col("m")[name].alias(name) for name in shown], kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
