@@ -9,7 +9,8 @@ LOW_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 # Names that operators use inside must not get in the way of columns of the same name.
 SCHEMA = (
     "doc_id bigint, text string, lang string, source string, n_chars bigint, "
-    "row string, `class` string, bucket bigint, node int, n string, hash int, number int, sent int"
+    "row string, `class` string, bucket bigint, node int, n string, hash int, number int, sent int, "
+    "drawn int, steps int, of_source int, toxic int, of_lang int, word_length_low int, shout_ratio_high int, m int"
 )
 
 
@@ -24,7 +25,7 @@ def low_words(text):
 def documents(spark, texts, schema=SCHEMA):
     """One document per text, or per (id, text)."""
     pairs = [t if isinstance(t, tuple) else (i, t) for i, t in enumerate(texts)]
-    extra = ("r", None, 5, 6, "n", None, 7, 8)
+    extra = ("r", None, 5, 6, "n", None, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16)
     rows = [
         (i, t, ["en", None, "de"][k % 3], ["web", "web", None][k % 3], None if t is None else len(t), *extra)
         for k, (i, t) in enumerate(pairs)

@@ -212,22 +212,25 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
 
     White space next to a cut stays. ``n_chars``, where present, is counted anew for cut texts.
     """
-    found = find_contamination(docs, benchmark, window)
     names = docs.columns
+    others = [name for name in names if name != "text"]
+    # the other columns are in one struct, so that none of them meets a name of a result
+    found = find_contamination(docs.select(F.struct(*others).alias("row"), "text"), benchmark, window)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            all_spans = batch.column("spans").to_pylist()
             texts = [
                 text if not spans else without_spans(text, spans)
-                for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())
+                for text, spans in zip(batch.column("text").to_pylist(), all_spans)
             ]
-            columns = {name: batch.column(name) for name in names}
+            columns = dict(zip(others, batch.column("row").flatten()))
             columns["text"] = pa.array(texts, pa.string())
             if "n_chars" in columns:
-                old, field = batch.column("n_chars").to_pylist(), batch.schema.field("n_chars")
-                new = [n if not s else len(t) for n, s, t in zip(old, batch.column("spans").to_pylist(), texts)]
-                columns["n_chars"] = pa.array(new, field.type)
-            yield pa.RecordBatch.from_pydict(columns)
+                old = columns["n_chars"]
+                new = [n if not s else len(t) for n, s, t in zip(old.to_pylist(), all_spans, texts)]
+                columns["n_chars"] = pa.array(new, old.type)
+            yield pa.RecordBatch.from_arrays([columns[name] for name in names], names=names)
 
     return map_batches(found, cut, docs.schema)
 

@@ -93,16 +93,22 @@ def mix_sources(
     table = materialize(distributions(replication_rates(docs, weights, repeat)), "poisson-steps")
     names = without_columns(docs.columns, RESULTS)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    drawn = uniform(F.lit(f"count {seed}"), key)
-    counted = docs.select(*names).join(table, F.col("source").eqNullSafe(F.col("of_source")))
+    # the columns of a document are in one struct, so that none of them meets a name used here
+    rows = docs.select(
+        F.struct(*names).alias("row"),
+        F.col("source").alias("source"),
+        key.alias("key"),
+        uniform(F.lit(f"count {seed}"), key).alias("drawn"),
+    )
+    counted = rows.join(table, F.col("source").eqNullSafe(F.col("of_source")))
     count = F.size(F.filter("steps", lambda step: step < F.col("drawn")))
     copies = (
-        counted.withColumn("drawn", drawn)
-        .select(*names, count.alias("n_copies"))
+        counted.select("row", "key", count.alias("n_copies"))
         .where("n_copies > 0")
-        .select(*names, F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"), "n_copies")
-        .withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(f"order {seed}"), key, F.col("copy"))))
-    )
-    return (
-        copies.select(*names, *RESULTS).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+        .select("row", "key", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"), "n_copies")
+        .withColumn(
+            "shuffle_key", F.md5(F.concat_ws("|", F.lit(f"order {seed}"), F.col("key"), F.col("copy")))
+        )
     )
+    dealt = copies.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    return dealt.select(*[F.col("row")[name].alias(name) for name in names], *RESULTS)

@@ -21,7 +21,8 @@ what is broadcast. All documents are scored, in one pass and without a shuffle.
 
 Defined cases: labels of one id that differ count as toxic; null labels and ids teach
 nothing; with no toxic or no clean labels every score is 0.0; texts without words have
-no segments and get the score of zero evidence; repeated documents each get their row.
+no segments and get the score of zero evidence; repeated documents each get their row;
+other columns are carried along, unless a result column has the name.
 """
 
 from __future__ import annotations
@@ -344,13 +345,16 @@ def fit_curve(scored: DataFrame, known: DataFrame) -> tuple[float, float]:
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents (without text) with ``n_words``, toxic ``segments`` and ``score``."""
     known, model = learn(docs, labels)
-    kept = [name for name in docs.columns if name != "text"]
+    kept = without_columns([name for name in docs.columns if name != "text"], [*RESULTS, "score"])
     if model is None:
         empty = F.array().cast(T.ArrayType(SEGMENT))
         return docs.select(*kept, empty.alias("segments"), F.lit(0.0).alias("score"))
+    # the columns of a document are in one struct, so that none of them meets a name used here
+    docs = docs.select("doc_id", "text", F.struct(*kept).alias("row"))
     model.rate = fit_decay(docs, known, model)
     model.space = fit_space(docs, known, model)
     scored = materialize(find_segments(docs, model).drop("text"), "toxic-segments")
     model.intercept, model.slope = fit_curve(scored, known)
     logit = F.lit(model.intercept) + F.lit(model.slope) * F.col("evidence")
-    return scored.withColumn("score", 1 / (1 + F.exp(-logit)))
+    score = 1 / (1 + F.exp(-logit))
+    return scored.select(*[F.col("row")[name].alias(name) for name in kept], *RESULTS, score.alias("score"))
