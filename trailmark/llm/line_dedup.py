@@ -34,6 +34,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from trailmark.llm.keys import KEY, bring_back, keyed
@@ -172,58 +173,60 @@ def fetch_chunks(
             )
 
 
+def _result(rows: pa.Array, block: Block, texts: list[bytes | None], counts: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows of a block with their new texts (None: as they were) and counts."""
+    mine = rows.slice(block.first_row, block.n_rows)
+    old = pc.struct_field(mine, "text")
+    new = pa.array(texts, pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [mine, pc.if_else(new.is_valid(), new.cast(pa.string()), old), *[pa.array(c.astype(np.int64)) for c in counts]],
+        names=["row", "text", "n_lines", "n_removed_chunks", "n_removed_lines"],
+    )
+
+
 def remove_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without the chunks that equal the bytes sent along, and what was removed."""
+    """Texts without the chunks that equal the bytes sent along, and what was removed, block by block."""
     for batch in batches:
-        sent = batch.column("sent").to_pylist()
-        texts: list[str | None] = batch.column("text").to_pylist()
-        n_lines, n_chunks = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-        removed_lines = np.zeros(len(texts), np.int64)
-        for block in blocks(batch.column("text")):
+        rows = batch.column("row")
+        for block in blocks(pc.struct_field(rows, "text")):
+            sent = batch.column("sent").slice(block.first_row, block.n_rows).to_pylist()
+            texts: list[bytes | None] = [None] * block.n_rows
+            n_lines, n_chunks, n_gone = (np.zeros(block.n_rows, np.int64) for _ in range(3))
             chunks = find_chunks(block)
             first = np.searchsorted(chunks.row, np.arange(block.n_rows + 1))
             for r in range(block.n_rows):
                 mine = range(first[r], first[r + 1])
-                at = block.first_row + r
-                n_lines[at] = chunks.n_lines[first[r] : first[r + 1]].sum()
-                doubtful = {c["number"]: c["bytes"] for c in sent[at] or ()}
+                n_lines[r] = chunks.n_lines[first[r] : first[r + 1]].sum()
+                doubtful = {c["number"]: c["bytes"] for c in sent[r] or ()}
+                if not doubtful:
+                    continue
                 raw = {i: block.data[chunks.start[i] : chunks.end[i]].tobytes() for i in mine}
                 gone = [i for i in mine if doubtful.get(i - first[r]) == raw[i]]
                 if gone:
-                    n_chunks[at] = len(gone)
-                    removed_lines[at] = chunks.n_lines[gone].sum()
+                    n_chunks[r] = len(gone)
+                    n_gone[r] = chunks.n_lines[gone].sum()
                     left = set(mine).difference(gone)
-                    texts[at] = b"\n".join(raw[i] for i in sorted(left)).decode()
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("row"),
-                pa.array(texts, pa.string()),
-                pa.array(n_lines),
-                pa.array(n_chunks),
-                pa.array(removed_lines),
-            ],
-            names=["row", "text", "n_lines", "n_removed_chunks", "n_removed_lines"],
-        )
+                    texts[r] = b"\n".join(raw[i] for i in sorted(left))
+            yield _result(rows, block, texts, [n_lines, n_chunks, n_gone])
 
 
 def remove_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without the lines of pairs that equal the bytes sent along, and what was removed."""
+    """Texts without the lines of pairs that equal the bytes sent along, and what was removed, block by block."""
     for batch in batches:
-        sent = batch.column("sent").to_pylist()
-        texts: list[str | None] = batch.column("text").to_pylist()
-        n_lines, n_runs, n_gone = (np.zeros(len(texts), np.int64) for _ in range(3))
-        for block in blocks(batch.column("text")):
+        rows = batch.column("row")
+        for block in blocks(pc.struct_field(rows, "text")):
+            sent = batch.column("sent").slice(block.first_row, block.n_rows).to_pylist()
+            texts: list[bytes | None] = [None] * block.n_rows
+            n_runs, n_gone = np.zeros(block.n_rows, np.int64), np.zeros(block.n_rows, np.int64)
             lines = find_lines(block)
             first = np.searchsorted(lines.row, np.arange(block.n_rows + 1))
-            n_lines[block.first_row : block.first_row + block.n_rows] = np.diff(first)
             for r in range(block.n_rows):
-                at = block.first_row + r
-                if not sent[at]:
+                if not sent[r]:
                     continue
                 start, end = lines.start[first[r] : first[r + 1]], lines.end[first[r] : first[r + 1]]
                 full = np.flatnonzero(lines.filled[first[r] : first[r + 1]])
                 gone = np.zeros(len(full), bool)
-                for pair in sent[at]:
+                for pair in sent[r]:
                     a, b = full[pair["number"]], full[pair["number"] + 1]
                     if block.data[start[a] : end[b]].tobytes() == pair["bytes"]:
                         gone[pair["number"] : pair["number"] + 2] = True
@@ -232,20 +235,11 @@ def remove_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 cut[full] = gone
                 for i in np.flatnonzero(gone[:-1] & gone[1:]):
                     cut[full[i] : full[i + 1]] = True
-                n_gone[at] = cut.sum()
-                n_runs[at] = (cut & ~np.concatenate([[False], cut[:-1]])).sum()
+                n_gone[r] = cut.sum()
+                n_runs[r] = (cut & ~np.concatenate([[False], cut[:-1]])).sum()
                 left = [block.data[start[i] : end[i]].tobytes() for i in np.flatnonzero(~cut)]
-                texts[at] = b"\n".join(left).decode()
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("row"),
-                pa.array(texts, pa.string()),
-                pa.array(n_lines),
-                pa.array(n_runs),
-                pa.array(n_gone),
-            ],
-            names=["row", "text", "n_lines", "n_removed_chunks", "n_removed_lines"],
-        )
+                texts[r] = b"\n".join(left)
+            yield _result(rows, block, texts, [np.diff(first), n_runs, n_gone])
 
 
 def find_repeats(rows: DataFrame) -> DataFrame:
@@ -347,16 +341,17 @@ def remove_repeats(
 ) -> DataFrame:
     rows = keyed(docs)
     repeats = materialize(find(rows), "chunks-to-compare")
-    decided, others = bring_back(rows, repeats)
+    # the text is in the row, and goes to Python once
+    decided, others = bring_back(rows.select(*KEY, "row"), repeats)
     untouched = F.lit(None).cast("array<struct<number:int,bytes:binary>>").alias("sent")
     result = T.StructType(
         [T.StructField("row", docs.select(F.struct(*docs.columns).alias("row")).schema[0].dataType)]
         + [T.StructField("text", T.StringType())]
         + [T.StructField(n, T.LongType()) for n in ("n_lines", "n_removed_chunks", "n_removed_lines")]
     )
-    parts = [decided.select("row", "text", "sent")]
+    parts = [decided.select("row", "sent")]
     if others is not None:
-        parts.append(others.select("row", "text", untouched))
+        parts.append(others.select("row", untouched))
     done = [map_batches(part, remove, result) for part in parts]
     return done[0] if len(done) == 1 else done[0].union(done[1])
 

@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from trailmark.llm.keys import KEY, bring_back
@@ -346,43 +347,42 @@ def ranges_of(flags: np.ndarray) -> list[int]:
 
 
 def remove_windows(spec: Spec) -> Callable:
-    """Texts without the symbols covered by the given windows (row, kept, counts)."""
+    """Texts without the symbols covered by the given windows (row, kept, counts), block by block."""
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_rows = batch.num_rows
-            ranges = batch.column("ranges").to_pylist()
-            n, removed, spans = (np.zeros(n_rows, np.int64) for _ in range(3))
-            kept: list[bytes] = []
-            for block in blocks(batch.column("text")):
+            rows, ranges = batch.column("row"), batch.column("ranges")
+            for block in blocks(pc.struct_field(rows, "text"), spec.block):
+                mine = ranges.slice(block.first_row, block.n_rows).to_pylist()
                 symbols = symbols_of(block, spec)
+                n = np.diff(symbols.first)
+                removed, spans = np.zeros(block.n_rows, np.int64), np.zeros(block.n_rows, np.int64)
+                kept: list[bytes] = []
                 for r in range(block.n_rows):
                     lo, hi = int(symbols.first[r]), int(symbols.first[r + 1])
-                    at = block.first_row + r
-                    n[at] = hi - lo
                     gone = np.zeros(hi - lo + 1, np.int64)
-                    for start, end in ranges[at] or ():
+                    for start, end in mine[r] or ():
                         gone[start] += 1
                         gone[end - 1 + spec.window] -= 1
                     gone = np.cumsum(gone[:-1]) > 0
-                    removed[at] = gone.sum()
-                    spans[at] = len(ranges_of(gone)) // 2
+                    removed[r] = gone.sum()
+                    spans[r] = len(ranges_of(gone)) // 2
                     if spec.words:
                         # white space between words is what bytes.split() takes for it
                         words = block.text(r).split()
                         kept.append(b" ".join([w for w, g in zip(words, gone.tolist()) if not g]))
                     else:
                         kept.append(block.data[lo:hi][~gone].tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("row"),
-                    pa.array(kept, pa.binary()),
-                    pa.array(n),
-                    pa.array(removed),
-                    pa.array(spans),
-                ],
-                names=["row", "kept", "n_symbols", "n_removed", "n_spans"],
-            )
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        rows.slice(block.first_row, block.n_rows),
+                        pa.array(kept, pa.binary()),
+                        pa.array(n.astype(np.int64)),
+                        pa.array(removed),
+                        pa.array(spans),
+                    ],
+                    names=["row", "kept", "n_symbols", "n_removed", "n_spans"],
+                )
 
     return remove
 
@@ -468,7 +468,8 @@ def remove_repeated(
     # documents without an id have no place in an order of ids
     inside = rows.where(F.col("row.doc_id").isNotNull()) if ordered else rows
     windows = materialize(find_repeated(inside, spec, match, ordered, max_group), "windows-to-remove")
-    decided, others = bring_back(rows, windows)
+    # the text is in the row, and goes to Python once
+    decided, others = bring_back(rows.select(*KEY, "row"), windows)
     none = F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("ranges")
     result = T.StructType(
         [T.StructField("row", rows.schema["row"].dataType), T.StructField("kept", T.BinaryType())]
@@ -477,9 +478,7 @@ def remove_repeated(
 
     def as_pairs(frame: DataFrame) -> DataFrame:
         pair = F.transform("ranges", lambda r: F.array(r["start"], r["end"]))
-        return map_batches(
-            frame.select("row", "text", pair.alias("ranges")), remove_windows(spec), result
-        )
+        return map_batches(frame.select("row", pair.alias("ranges")), remove_windows(spec), result)
 
-    done = as_pairs(decided.select("row", "text", "ranges"))
-    return done if others is None else done.union(as_pairs(others.select("row", "text", none)))
+    done = as_pairs(decided.select("row", "ranges"))
+    return done if others is None else done.union(as_pairs(others.select("row", none)))
