@@ -3,7 +3,9 @@ import re
 from cases import documents, fresh, no_documents, odd_texts
 from pyspark.sql import functions as F
 
+from trailmark.llm import privacy
 from trailmark.llm.privacy import choose_surrogates, replace_entities
+from trailmark.storage import materialize
 
 TEXT = (
     "Mail jo.Smith9@mail7.example.com or JO.SMITH9@MAIL7.EXAMPLE.COM, and ann@mail7.example.com; call "
@@ -78,3 +80,34 @@ def test_odd_texts(spark):
     assert all(row.text == row.row.text for row in rows if not row.n_entities)
     assert replace_entities(no_documents(spark), "k").collect() == []
     assert "Python" not in replace_entities(docs, "k")._jdf.queryExecution().toString()
+
+
+def test_networks_nearly_used_up_end_in_one_round(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(privacy, "materialize", lambda frame, label: rounds.append(label) or materialize(frame, label))
+    networks = {"192.168.": 60_000, "172.16.": 3000, "10.0.": 3000, "127.0.": 3000}
+    rows = [
+        ("ip", f"{prefix}{i // 256}.{i % 256}") for prefix, n in networks.items() for i in range(n)
+    ]
+    entities = spark.createDataFrame(rows, "type string, canonical string")
+    got = privacy.choose_surrogates(entities, "k").collect()
+    assert rounds.count("surrogates") == 1
+    assert len(got) == len({r.surrogate for r in got}) == len(rows)
+    for row in got:
+        assert row.surrogate.split(".")[0] == row.canonical.split(".")[0]
+        assert all(0 <= int(x) <= 255 for x in row.surrogate.split("."))
+        if row.canonical.startswith("192.168."):
+            assert row.surrogate.startswith("192.168.")
+        if row.canonical.startswith("172."):
+            assert 16 <= int(row.surrogate.split(".")[1]) <= 31
+    few = entities.where("canonical LIKE '172.16.%'")
+    again = {r.canonical: r.surrogate for r in privacy.choose_surrogates(few, "k").collect()}
+    other = {r.canonical: r.surrogate for r in privacy.choose_surrogates(few, "l").collect()}
+    assert again == {r.canonical: r.surrogate for r in got if r.canonical.startswith("172.")} and again != other
+
+
+def test_a_form_that_is_used_up_ends(spark, monkeypatch):
+    monkeypatch.setattr(privacy, "FREE_ATTEMPTS", 2)
+    rows = [("phone_abroad", f"1{i:03}") for i in range(520)]  # of 1,000: no 520 others are free
+    got = privacy.choose_surrogates(spark.createDataFrame(rows, "type string, canonical string"), "k").collect()
+    assert len({r.surrogate for r in got}) == 520

@@ -13,7 +13,10 @@ put back. So equal entities get equal surrogates in the whole corpus.
 
 Surrogates are checked over all entities: two entities must not share one, and none may equal a
 real entity. Of those that clash the smallest keeps its surrogate unless it is a real one; the
-others draw again, with longer words from the second time on, until none clashes.
+others draw again, with longer words from the second time on, until none clashes. Two kinds
+keep distinctness but may equal real ones, as there may be no free ones: addresses of private
+networks, which a keyed permutation of the network maps one to one without any draw, and what
+has met real ones ``FREE_ATTEMPTS`` times, as of numbers of a form that is nearly used up.
 
 Only entities and the documents that have any are shuffled.
 
@@ -45,6 +48,10 @@ PHONE = (
     r"|(?<![\p{L}\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\d-])"
 )
 CARD = r"(?<![\p{L}\d])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?!\d)"
+LARGE_172 = r"^172\.(?:1[6-9]|2\d|3[01])\."
+PRIVATE = r"^(?:10\.|127\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.)"
+#: Draws after which a surrogate may equal a real entity of its form.
+FREE_ATTEMPTS = 12
 SECRET = r"(?<![\p{L}\d])[0-9a-fA-F]{32,}(?![\p{L}\d])"
 ANY_TITLE = "|".join(t for titles in TITLES.values() for t in titles)
 NAME = rf"(?<![\p{{L}}])(?:{ANY_TITLE})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"
@@ -160,6 +167,32 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, b: a + F.coalesce(b, F.lit(0)))
 
 
+def permuted(number: Column, bits: int, key: str) -> Column:
+    """A keyed permutation of the numbers of ``bits`` bits (a Feistel network of eight turns)."""
+    size = 1 << (bits // 2)
+    halves = F.struct(
+        F.floor(number / size).cast("int").alias("left"), (number % size).cast("int").alias("right")
+    )
+
+    def turned(state: Column, turn: Column) -> Column:
+        seed = F.sha2(F.concat_ws("|", F.lit(f"{key}|{bits}"), turn.cast("string"), state.right.cast("string")), 256)
+        mixed = state.left.bitwiseXOR(draw(seed, F.lit(0), size).cast("int"))
+        return F.struct(state.right.alias("left"), mixed.alias("right"))
+
+    turns = F.sequence(F.lit(1), F.lit(8))
+    return F.aggregate(turns, halves, turned, lambda state: state.left * size + state.right)
+
+
+def private_address(prefix: str, base: int, place: Column, bits: int, key: str) -> Column:
+    """The address behind ``prefix`` that the permutation of its network puts in the place of another."""
+
+    def written(number: Column) -> Column:
+        octets = [F.floor(number / 65536), F.floor(number / 256) % 256, number % 256]
+        return F.concat(F.lit(prefix), F.concat_ws(".", *[octet.cast("int").cast("string") for octet in octets]))
+
+    return F.get(F.transform(F.array(permuted(place, bits, f"{key}|{prefix}") + base), written), 0)
+
+
 def surrogate_of(kind: Column, canonical: Column, attempt: Column, key: str) -> Column:
     """What stands for an entity at the given attempt; in canonical form."""
     seed = F.sha2(F.concat_ws("|", F.lit(key), kind, canonical, attempt.cast("string")), 256)
@@ -173,16 +206,15 @@ def surrogate_of(kind: Column, canonical: Column, attempt: Column, key: str) ->
     valid = luhn_sum(canonical) % 10 == 0
     card = F.when(valid, F.concat(body, check)).otherwise(F.concat(body, F.right(number, F.lit(1))))
     octet = [draw(seed, F.lit(i), 254) + 1 for i in range(4)]
+    low = F.transform(F.split(canonical, r"\."), lambda x: x.cast("int"))
+    place = (F.get(low, 1) * 256 + F.get(low, 2)) * 256 + F.get(low, 3)
     public = F.array_except(F.sequence(F.lit(1), F.lit(223)), F.array(*map(F.lit, (10, 127, 172, 192))))
     first = F.get(public, draw(seed, F.lit(0), 219))
     ip = (
-        F.when(canonical.startswith("10."), F.concat_ws(".", F.lit("10"), *octet[1:]))
-        .when(canonical.startswith("127."), F.concat_ws(".", F.lit("127"), *octet[1:]))
-        .when(canonical.startswith("192.168."), F.concat_ws(".", F.lit("192.168"), *octet[2:]))
-        .when(
-            canonical.rlike(r"^172\.(?:1[6-9]|2\d|3[01])\."),
-            F.concat_ws(".", F.lit("172"), draw(seed, F.lit(1), 16) + 16, *octet[2:]),
-        )
+        F.when(canonical.startswith("10."), private_address("10.", 0, place, 24, key))
+        .when(canonical.startswith("127."), private_address("127.", 0, place, 24, key))
+        .when(canonical.startswith("192.168."), private_address("192.", 168 << 16, place % 65536, 16, key))
+        .when(canonical.rlike(LARGE_172), private_address("172.", 16 << 16, place - (16 << 16), 20, key))
         .otherwise(F.concat_ws(".", first, *octet[1:]))
     )
     secret = F.array_join(
@@ -260,7 +292,9 @@ def choose_surrogates(entities: DataFrame, key: str) -> DataFrame:
             & (F.col("surrogate") == F.col("real")),
             "left",
         )
-        clash = (F.col("keeper.canonical") != F.col("canonical")) | F.col("real").isNotNull()
+        # addresses of private networks are permuted, hence distinct, among all that there are
+        free = ~((F.col("type") == "ip") & F.col("canonical").rlike(PRIVATE)) & (F.col("attempt") < FREE_ATTEMPTS)
+        clash = (F.col("keeper.canonical") != F.col("canonical")) | (F.col("real").isNotNull() & free)
         checked = materialize(
             checked.select("type", "canonical", "scope", "own", "attempt", "surrogate", clash.alias("clash")),
             "checked-surrogates",
