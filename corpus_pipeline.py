@@ -51,8 +51,8 @@ STAGES = [
     ("mixing", mixing),
 ]
 
-# Line chunks and signatures depend on 64-bit hashes that SQL does not have; the
-# tests compare the stages with brute force instead.
+# Signatures depend on 64-bit hashes that SQL does not have; a test compares all
+# rows with a plain chain of the five stages instead.
 ORACLE_SQL = None
 
 
