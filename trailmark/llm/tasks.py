@@ -1,39 +1,5 @@
-"""Python code in tasks: executors get this package from the driver, not from their own disks."""
+"""Python code in tasks: the general helpers, under the name the operators import."""
 
-from __future__ import annotations
+from trailmark.tasks import map_batches, ship_code
 
-import os
-import tempfile
-import zipfile
-from collections.abc import Callable, Iterator
-from pathlib import Path
-
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, types as T
-
-_shipped: set[str] = set()
-
-
-def ship_code(spark: SparkSession) -> None:
-    """Give all executors of this application the package, once, through Spark's file server."""
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="trailmark-code-")
-    archive = os.path.join(folder, f"{root.name}-code.zip")
-    with zipfile.ZipFile(archive, "w") as target:
-        for file in sorted(root.rglob("*.py")):
-            target.write(file, str(file.relative_to(root.parent)))
-    context.addPyFile(archive)
-    _shipped.add(context.applicationId)
-
-
-def map_batches(
-    frame: DataFrame,
-    function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-    schema: T.StructType | str,
-) -> DataFrame:
-    """``mapInArrow`` with this package at hand on every executor."""
-    ship_code(frame.sparkSession)
-    return frame.mapInArrow(function, schema)
+__all__ = ["map_batches", "ship_code"]
