@@ -22,12 +22,17 @@ What a representative does not link may still be similar to each other. Where no
 classes are left in a bucket, they are dealt anew by every two of their open buckets, and where
 several are left in those, by every three; each of these finer buckets has a representative of
 its own. Texts below the threshold seldom share two or three bands, while two at the threshold
-share 6.6 of the 20 on average and thus 18 pairs and 32 triples. A node is compared with one
-other in each of its buckets, never with all: the work is in proportion to the nodes. What can be missed
-is a link between two texts that meet in many buckets but are never compared in any; the README
-has the measured recall.
+share 6.6 of the 20 on average and thus 18 pairs and 32 triples. So far a node is compared with one
+other in each of its buckets: the work is in proportion to the nodes.
 
-With 20 bands of 5, two texts at the threshold share a bucket with probability 0.9996.
+What is still of several classes in a bucket is compared exactly, every two texts of different
+classes. The nodes of a bucket are laid out by class and cut into blocks of bounded size; a task
+takes two blocks at a time and gets the common shingles of all their pairs from products of
+matrices. Blocks of one and the same class are not paired. This step is quadratic in what is left
+in a bucket, but bounded in memory and dealt to all tasks; it returns links only.
+
+So two texts that share a bucket are in one class or were compared. With 20 bands of 5, two texts
+at the threshold share a bucket with probability 0.9996.
 
 Defined cases: a text without words is a class of its own; rows with equal id and text are one
 document; null ids come last when the one to keep is chosen; a class is named by its
@@ -57,6 +62,11 @@ COMPONENTS = BANDS * BAND_ROWS
 FIRST_ARRIVALS = COMPONENTS * (np.log(COMPONENTS) + 3)
 #: Buckets of one band, of two, of three.
 LEVELS = 3
+#: Bytes of a block of texts to be compared with each other; a text counts ``TEXT_BYTES`` more than it has.
+PAIR_BYTES = 1 << 21
+TEXT_BYTES = 2048
+#: Cells of a matrix of texts by shingles.
+CELLS = 1 << 20
 _STEP = np.uint64(0xD1342543DE82EF95)
 
 
@@ -174,18 +184,21 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return max(probability, common.sum() / len(union))
 
 
+def weighted_sets(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The shingles of every text, sorted, and their weights."""
+    sets: list = []
+    for block in blocks(texts):
+        row, shingle, weight, _ = weighted_shingles(block)
+        first = np.searchsorted(row, np.arange(block.n_rows + 1))
+        sets += [(shingle[i:j], weight[i:j]) for i, j in zip(first, first[1:])]
+    return sets
+
+
 def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs that are similar enough."""
     for batch in batches:
         n = batch.num_rows
-        sides = []
-        for name in ("text_a", "text_b"):
-            sets: list = []
-            for block in blocks(batch.column(name)):
-                row, shingle, weight, _ = weighted_shingles(block)
-                first = np.searchsorted(row, np.arange(block.n_rows + 1))
-                sets += [(shingle[i:j], weight[i:j]) for i, j in zip(first, first[1:])]
-            sides.append(sets)
+        sides = [weighted_sets(batch.column(name)) for name in ("text_a", "text_b")]
         similar = pa.array([similarity(sides[0][i], sides[1][i]) >= THRESHOLD for i in range(n)], pa.bool_())
         yield pa.RecordBatch.from_arrays(
             [batch.column("a").filter(similar), batch.column("b").filter(similar)], names=["a", "b"]
@@ -200,6 +213,94 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_batches(both.select("a", "text_a", "b", "text_b"), compare, "a binary, b binary")
 
 
+def common_shingles(left: list, right: list, weighted: bool) -> np.ndarray:
+    """For every pair of two lists of sets: how many shingles are common, or a bound of the probability Jaccard.
+
+    The bound is the smaller of the shares that the common shingles have of either one's weight.
+    """
+    of_left, of_right = (np.concatenate([s[0] for s in side]) for side in (left, right))
+    known = np.intersect1d(of_left, of_right)
+    entries = []
+    for side, shingles in ((left, of_left), (right, of_right)):
+        row = np.repeat(np.arange(len(side)), [len(s[0]) for s in side])
+        share = np.concatenate([s[1] / s[1].sum() for s in side])
+        at = np.minimum(np.searchsorted(known, shingles), max(0, len(known) - 1))
+        met = known[at] == shingles if len(known) else np.zeros(len(shingles), bool)
+        entries.append((row[met], at[met], share[met]))
+    sums = [np.zeros((len(left), len(right)), np.float32) for _ in range(1 + weighted)]
+    width = max(1, CELLS // max(len(left), len(right)))
+    for low in range(0, len(known), width):
+        has, shares = [], []
+        for side, (row, at, share) in zip((left, right), entries):
+            mine = (at >= low) & (at < low + width)
+            for matrices, values in ((has, 1), (shares, share[mine])):
+                matrices.append(np.zeros((len(side), min(width, len(known) - low)), np.float32))
+                matrices[-1][row[mine], at[mine] - low] = values
+        if weighted:
+            sums[0] += shares[0] @ has[1].T
+            sums[1] += has[0] @ shares[1].T
+        else:
+            sums[0] += has[0] @ has[1].T
+    return np.minimum(*sums) if weighted else sums[0]
+
+
+def links_between(left: list, right: list) -> list[tuple[bytes, bytes]]:
+    """Links that join all classes with similar texts in two lists of (class, set)."""
+    sets_a, sets_b = ([s for _, s in side] for side in (left, right))
+    common = common_shingles(sets_a, sets_b, weighted=False)
+    sizes = [np.array([len(s[0]) for s in side], float) for side in (sets_a, sets_b)]
+    repeats = [np.array([bool((s[1] > 1).any()) for s in side]) for side in (sets_a, sets_b)]
+    number = {name: n for n, name in enumerate(dict.fromkeys(name for name, _ in [*left, *right]))}
+    classes = [np.array([number[name] for name, _ in side]) for side in (left, right)]
+    apart = classes[0][:, None] != classes[1][None, :]
+    by_set = apart & (common / (sizes[0][:, None] + sizes[1][None, :] - common) >= THRESHOLD)
+    # the measures differ for texts that repeat shingles only; rounding is left to the exact measure
+    bound = np.zeros(common.shape, np.float32)
+    some = [np.flatnonzero(r) for r in repeats]
+    if len(some[0]):
+        bound[some[0]] = common_shingles([sets_a[i] for i in some[0]], sets_b, weighted=True)
+    if len(some[1]):
+        bound[:, some[1]] = common_shingles(sets_a, [sets_b[j] for j in some[1]], weighted=True)
+    by_weight = apart & ~by_set & (bound >= THRESHOLD - 1e-3)
+    merged: dict[bytes, bytes] = {}
+
+    def top(name: bytes) -> bytes:
+        while name in merged:
+            name = merged[name]
+        return name
+
+    links = []
+    for found, sure in ((by_set, True), (by_weight, False)):
+        for i, j in zip(*map(np.ndarray.tolist, np.nonzero(found))):
+            a, b = top(left[i][0]), top(right[j][0])
+            if a != b and (sure or similarity(sets_a[i], sets_b[j]) >= THRESHOLD):
+                merged[max(a, b)] = min(a, b)
+                links.append((a, b))
+    return links
+
+
+def compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between classes from all pairs of texts of two blocks; the partition is sorted by pair of blocks."""
+    held: tuple = ()
+    sides: dict[int, list] = {}
+
+    def links() -> Iterator[pa.RecordBatch]:
+        found = links_between(sides[held[1]], sides[held[2]])
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)], names=["a", "b"])
+
+    for batch in batches:
+        names = zip(*(batch.column(name).to_pylist() for name in ("bucket", "i", "j", "block", "class")))
+        for (bucket, i, j, block, of), words in zip(names, weighted_sets(batch.column("text"))):
+            if held != (bucket, i, j):
+                if held:
+                    yield from links()
+                held, sides = (bucket, i, j), {}
+            sides.setdefault(block, []).append((of, words))
+    if held:
+        yield from links()
+
+
 def renamed_classes(frame: DataFrame, column: str, merged: DataFrame) -> DataFrame:
     """``frame`` with the classes in ``column`` replaced by what they were merged into."""
     names = merged.select(F.col("node").alias("merged_class"), F.col("class").alias("merged_into"))
@@ -220,12 +321,41 @@ def finer_buckets(left: DataFrame, lists: DataFrame) -> DataFrame:
     return materialize(level.join(several, "bucket", "left_semi"), "finer-members")
 
 
-def settle(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """``node, class`` of all ``members`` (bucket, node, weight), by representatives of finer and finer buckets."""
+def links_left(members: DataFrame, classes: DataFrame, texts: DataFrame, pair_bytes: int) -> DataFrame:
+    """Links (a, b) that join the classes that have similar texts in any bucket, from all pairs of different classes."""
+    names = classes.select(F.col("node").alias("named"), "class")
+    placed = materialize(
+        members.select("bucket", "node").join(names, F.col("node") == F.col("named")).drop("named"), "placed-members"
+    )
+    several = placed.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+    several = materialize(several.where("low != high").select("bucket"), "unsettled-buckets")
+    left = placed.join(several, "bucket", "left_semi")
+    sizes = texts.select(F.col("node").alias("of"), (F.octet_length("text") + TEXT_BYTES).cast("bigint").alias("size"))
+    left = left.join(sizes, F.col("node") == F.col("of")).drop("of")
+    # blocks by class, so that those of a large class are not paired with each other
+    ahead = F.sum("size").over(Window.partitionBy("bucket").orderBy("class", "node")) - F.col("size")
+    left = left.withColumn("block", F.floor(ahead / pair_bytes).cast("int")).drop("size")
+    left = materialize(left, "blocks-left")
+    ends = left.groupBy("bucket", "block").agg(F.min("class").alias("low"), F.max("class").alias("high"))
+    ends = materialize(ends, "ends-of-blocks")
+    first = ends.select("bucket", F.col("block").alias("i"), F.col("low").alias("low_i"))
+    second = ends.select(F.col("bucket").alias("of"), F.col("block").alias("j"), F.col("high").alias("high_j"))
+    pairs = first.join(second, F.col("bucket") == F.col("of")).where("i <= j AND low_i != high_j")
+    sides = pairs.select("bucket", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    met = materialize(sides, "pairs-of-blocks").join(left, ["bucket", "block"]).join(texts, "node")
+    met = met.select("bucket", "i", "j", "block", "class", "text").repartition("bucket", "i", "j")
+    return map_batches(met.sortWithinPartitions("bucket", "i", "j"), compare_blocks, "a binary, b binary")
+
+
+def settle(members: DataFrame, texts: DataFrame, levels: int = LEVELS, pair_bytes: int = PAIR_BYTES) -> DataFrame:
+    """``node, class`` of all ``members`` (bucket, node, weight).
+
+    By representatives of finer and finer buckets, and exactly where several classes are left in a bucket.
+    """
     classes = materialize(members.select("node", F.col("node").alias("class")).distinct(), "classes")
     level = members.select("bucket", "node", F.col("node").alias("class"), F.array("bucket").alias("of"), "weight")
     rank = F.col("weight")
-    for depth in range(1, LEVELS + 1):
+    for depth in range(1, levels + 1):
         best = F.max(F.struct(rank, "node", "class")).alias("best")
         chosen = level.groupBy("bucket").agg(best)
         chosen = materialize(
@@ -241,7 +371,7 @@ def settle(members: DataFrame, texts: DataFrame) -> DataFrame:
         links = links.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
         merged = materialize(connected_components(links), "merged-classes")
         classes = materialize(renamed_classes(classes, "class", merged), "classes")
-        if depth == LEVELS:
+        if depth == levels:
             break
         rest = level.select("bucket", "node", "class", "of").join(
             renamed_classes(chosen, "class_a", merged), "bucket"
@@ -258,7 +388,9 @@ def settle(members: DataFrame, texts: DataFrame) -> DataFrame:
             lists = materialize(lists, "open-lists")
         # any node may represent a finer bucket: another one in each
         level, rank = finer_buckets(left, lists), F.xxhash64("bucket", "node")
-    return classes
+    links = materialize(links_left(members, classes, texts, pair_bytes), "links-left")
+    merged = materialize(connected_components(links), "merged-classes")
+    return materialize(renamed_classes(classes, "class", merged), "classes")
 
 
 def classify(rows: DataFrame) -> DataFrame:
