@@ -1,8 +1,11 @@
 import corpus_pipeline
+import pyarrow as pa
 from cases import documents, fresh, no_documents, prose, words
 from test_line_dedup import texts
 
-from trailmark.llm.line_dedup import dedup_runs
+from trailmark.llm.keys import keyed
+from trailmark.llm.line_dedup import dedup_runs, find_chunks, find_repeated_runs
+from trailmark.llm.words import blocks
 
 
 def pairs(text):
@@ -49,3 +52,23 @@ def test_the_stage_removes_short_runs_in_mid_document(spark):
         assert got == {
             i: "\n".join([*a[:3], *([] if i else block), *a[3:]]) for i, a in enumerate(around)
         }
+
+
+def test_whole_chunks_are_looked_up_where_they_repeat(spark):
+    rng = fresh(23)
+    block = [prose(rng, 9) for _ in range(40)]
+    made = ["\n".join([*(prose(rng, 9) for _ in range(4)), *block, *(prose(rng, 9) for _ in range(4))]) for _ in range(4)]
+    docs = documents(spark, made)
+    sent = {row.key_id: row.sent for row in find_repeated_runs(keyed(docs)).collect()}
+    assert sorted(sent) == [1, 2, 3]
+    text = blocks(pa.array(made))
+    chunks = [find_chunks(b) for b in text][0]
+    for i, units in sent.items():
+        mine = [n for n, row in enumerate(chunks.row) if row == i]
+        inner = [n for n in mine if chunks.n_filled[n] >= 2 and (chunks.hash == chunks.hash[n]).sum() == 4]
+        whole = {unit.number for unit in units if unit.whole}
+        assert whole == {int(chunks.number[n]) for n in inner} and len(whole) >= 4
+        # what is left for pairs: where chunks meet, and at the ends of the block
+        assert sum(not unit.whole for unit in units) <= len(mine) + 8
+    got = {row.row.doc_id: row.n_removed_lines for row in dedup_runs(docs).collect()}
+    assert got == {0: 0, 1: 40, 2: 40, 3: 40}

@@ -1,20 +1,25 @@
 """Line dedup: every repeated run of two or more lines, and content-defined chunks of lines.
 
-``dedup_runs`` is the whole job. Every line that is not blank forms a pair with the next one
-like it, blank lines between them included. A pair that also stands at an earlier place (a
-smaller id, or further up in the same document without sharing a line) is repeated, and its
-lines go; of a repeated run of any length, anywhere in a text, these are all lines. The first
-occurrence of a line never goes. Bytes are compared before removal: in a run of repeated
-pairs every second one and the last are fetched, which cover all its lines. Blank lines go if
-the lines around them go on both sides.
-
-``dedup_lines`` is coarser and lighter: it finds the repeated runs that hold a whole chunk.
-Lines are hashed, and a rolling hash over ``ROLL`` line hashes ends a chunk behind every
-line where it is 0 modulo ``MEAN_LINES``: a boundary depends on the lines around it only,
-so inserted or missing lines move no other boundary. Chunks of at least ``MIN_LINES`` lines
-that are not blank take part. Their hashes are counted over all documents; the first
-occurrence, by id and place, stays. Every other one is compared with the first one byte by
-byte and removed, with its line breaks, if they are equal.
+Texts are cut into content-defined chunks: lines are hashed, and a rolling hash over ``ROLL``
+line hashes ends a chunk behind every line where it is 0 modulo ``MEAN_LINES``: a boundary
+depends on the lines around it only, so inserted or missing lines move no other boundary.
+Chunks of at least ``MIN_LINES`` lines that are not blank take part. Their hashes are counted
+over all documents; the first occurrence, by id and place, stays. Every other one is compared
+with the first one byte by byte and removed if they are equal.
+
+``dedup_runs`` is the whole job: chunks first, and then what repeats across their boundaries
+or in chunks that differ. Every line that is not blank forms a pair with the next one like it,
+blank lines between them included. A pair that also stands at an earlier place (a smaller id, or
+further up in the same document without sharing a line) is repeated, and its lines go; of a
+repeated run of any length, anywhere in a text, these are all lines. The first occurrence of a
+line never goes. In a chunk that is not the first of its kind all pairs are repeated, so it is
+looked up as a whole; pairs are looked up one by one inside first occurrences of chunks and
+where two chunks meet. Bytes are compared before removal: in a run of repeated pairs every
+second one and the last are fetched, which cover all its lines. Blank lines go if the lines
+around them go on both sides.
+
+``dedup_lines`` is coarser and lighter: chunks only, with their line breaks. It finds the
+repeated runs that hold a whole chunk.
 
 In both, what is shuffled first is a few numbers a chunk or pair. Bytes are fetched only for first
 occurrences of repeated ones and sent to the documents that repeat them; a hot one is a
@@ -30,7 +35,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +76,15 @@ class Chunks:
     hash: np.ndarray
 
 
+@dataclass
+class Units:
+    """All pairs of a block, and the chunk of each: its index if both lines are inside, else -1."""
+
+    chunks: Chunks
+    pairs: Chunks
+    inside: np.ndarray
+
+
 def find_lines(block: Block) -> Lines:
     n = block.n_rows
     breaks = np.flatnonzero(block.data == 10)
@@ -124,15 +137,86 @@ def find_pairs(block: Block) -> Chunks:
     return Chunks(row, number, start, end, b - a + 1, np.full(len(a), 2), lines.sums.hash(start, end))
 
 
-def list_chunks(
-    batches: Iterator[pa.RecordBatch], find: Callable[[Block], Chunks] = find_chunks
-) -> Iterator[pa.RecordBatch]:
+def find_units(block: Block) -> Units:
+    chunks, pairs = find_chunks(block), find_pairs(block)
+    # texts follow each other in a block, so places are in order over all rows
+    of_first = np.searchsorted(chunks.start, pairs.start, "right") - 1
+    of_last = np.searchsorted(chunks.start, pairs.end - 1, "right") - 1
+    return Units(chunks, pairs, np.where(of_first == of_last, of_first, -1))
+
+
+def list_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks that take part with the pairs inside, and, without a number, the pairs where chunks meet."""
+    for batch in batches:
+        keys = [batch.column(name).to_numpy() for name in KEY]
+        unknown = batch.column("unknown").to_numpy(zero_copy_only=False)
+        for block in blocks(batch.column("text")):
+            units = find_units(block)
+            chunks, pairs = units.chunks, units.pairs
+            whole = np.flatnonzero(chunks.n_filled >= MIN_LINES)
+            edges = np.flatnonzero(units.inside < 0)
+            inner = np.flatnonzero(units.inside >= 0)
+            # pairs inside come in the order of their chunks, each of which has one at least
+            ends = np.append(np.searchsorted(units.inside[inner], whole), len(inner))
+            order = np.concatenate([inner, edges])
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.concatenate([ends, len(inner) + np.arange(1, len(edges) + 1)]), pa.int32()),
+                pa.StructArray.from_arrays(
+                    [
+                        pa.array(pairs.number[order].astype(np.int32)),
+                        pa.array(pairs.hash[order].view(np.int64)),
+                        pa.array((pairs.end - pairs.start)[order].astype(np.int64)),
+                    ],
+                    names=["number", "hash", "n_bytes"],
+                ),
+            )
+            row = block.first_row + np.concatenate([chunks.row[whole], pairs.row[edges]])
+            none = np.arange(len(row)) >= len(whole)
+            zeros = np.zeros(len(edges), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(unknown[row]),
+                    *[pa.array(key[row]) for key in keys],
+                    pa.array(np.concatenate([chunks.number[whole], zeros]).astype(np.int32), mask=none),
+                    pa.array(np.concatenate([chunks.hash[whole].view(np.int64), zeros]), mask=none),
+                    pa.array(np.concatenate([(chunks.end - chunks.start)[whole], zeros]).astype(np.int64), mask=none),
+                    lists,
+                ],
+                names=["unknown", *KEY, "number", "hash", "n_bytes", "pairs"],
+            )
+
+
+def fetch_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the chunks and pairs asked for by number."""
+    for batch in batches:
+        wanted = batch.column("numbers").to_pylist()
+        for block in blocks(batch.column("text")):
+            units = find_units(block)
+            kinds = {True: units.chunks, False: units.pairs}
+            first = {whole: np.searchsorted(kind.row, np.arange(block.n_rows)) for whole, kind in kinds.items()}
+            found = [
+                (unit["whole"], kinds[unit["whole"]], int(first[unit["whole"]][r]) + unit["number"])
+                for r in range(block.n_rows)
+                for unit in wanted[block.first_row + r]
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([whole for whole, _, _ in found], pa.bool_()),
+                    pa.array([int(kind.hash[i].view(np.int64)) for _, kind, i in found], pa.int64()),
+                    pa.array([int(kind.end[i] - kind.start[i]) for _, kind, i in found], pa.int64()),
+                    pa.array([block.data[kind.start[i] : kind.end[i]].tobytes() for _, kind, i in found], pa.binary()),
+                ],
+                names=["whole", "hash", "n_bytes", "bytes"],
+            )
+
+
+def list_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chunks that take part: document, number, hash and length in bytes."""
     for batch in batches:
         keys = [batch.column(name).to_numpy() for name in KEY]
         unknown = batch.column("unknown").to_numpy(zero_copy_only=False)
         for block in blocks(batch.column("text")):
-            chunks = find(block)
+            chunks = find_chunks(block)
             kept = np.flatnonzero(chunks.n_filled >= MIN_LINES)
             row = block.first_row + chunks.row[kept]
             yield pa.RecordBatch.from_arrays(
@@ -147,14 +231,12 @@ def list_chunks(
             )
 
 
-def fetch_chunks(
-    batches: Iterator[pa.RecordBatch], find: Callable[[Block], Chunks] = find_chunks
-) -> Iterator[pa.RecordBatch]:
+def fetch_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the chunks asked for by number."""
     for batch in batches:
         wanted = batch.column("numbers").to_pylist()
         for block in blocks(batch.column("text")):
-            chunks = find(block)
+            chunks = find_chunks(block)
             first = np.searchsorted(chunks.row, np.arange(block.n_rows))
             found = [
                 int(first[r]) + number
@@ -210,26 +292,33 @@ def remove_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield _result(rows, block, texts, [n_lines, n_chunks, n_gone])
 
 
-def remove_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without the lines of pairs that equal the bytes sent along, and what was removed, block by block."""
+def remove_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts without the lines of chunks and pairs that equal the bytes sent along, and what was removed."""
     for batch in batches:
         rows = batch.column("row")
         for block in blocks(pc.struct_field(rows, "text")):
             sent = batch.column("sent").slice(block.first_row, block.n_rows).to_pylist()
             texts: list[bytes | None] = [None] * block.n_rows
             n_runs, n_gone = np.zeros(block.n_rows, np.int64), np.zeros(block.n_rows, np.int64)
-            lines = find_lines(block)
+            lines, chunks = find_lines(block), find_chunks(block)
             first = np.searchsorted(lines.row, np.arange(block.n_rows + 1))
+            first_chunk = np.searchsorted(chunks.row, np.arange(block.n_rows))
             for r in range(block.n_rows):
                 if not sent[r]:
                     continue
                 start, end = lines.start[first[r] : first[r + 1]], lines.end[first[r] : first[r + 1]]
                 full = np.flatnonzero(lines.filled[first[r] : first[r + 1]])
                 gone = np.zeros(len(full), bool)
-                for pair in sent[r]:
-                    a, b = full[pair["number"]], full[pair["number"] + 1]
-                    if block.data[start[a] : end[b]].tobytes() == pair["bytes"]:
-                        gone[pair["number"] : pair["number"] + 2] = True
+                for unit in sent[r]:
+                    if unit["whole"]:
+                        chunk = int(first_chunk[r]) + unit["number"]
+                        a, b = chunks.start[chunk], chunks.end[chunk]
+                        mine = slice(*np.searchsorted(start[full], [a, b]))
+                    else:
+                        a, b = start[full[unit["number"]]], end[full[unit["number"] + 1]]
+                        mine = slice(unit["number"], unit["number"] + 2)
+                    if block.data[a:b].tobytes() == unit["bytes"]:
+                        gone[mine] = True
                 # blank lines follow the lines on both sides of them
                 cut = np.zeros(len(start), bool)
                 cut[full] = gone
@@ -281,28 +370,39 @@ def find_repeats(rows: DataFrame) -> DataFrame:
     return compared.groupBy(*KEY).agg(F.collect_list(F.struct("number", "bytes")).alias("sent"))
 
 
-def find_repeated_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of lines to compare, by document: ``key_id, key_text, sent`` (number and first one's bytes)."""
+def find_repeated_runs(rows: DataFrame) -> DataFrame:
+    """Chunks and pairs to compare, by document: ``key_id, key_text, sent`` (kind, number and first one's bytes)."""
     listed = map_batches(
         rows.select(F.col("row.doc_id").isNull().alias("unknown"), *KEY, "text"),
-        partial(list_chunks, find=find_pairs),
-        "unknown boolean, key_id bigint, key_text bigint, number int, hash bigint, n_bytes bigint",
+        list_units,
+        "unknown boolean, key_id bigint, key_text bigint, number int, hash bigint, n_bytes bigint, "
+        "pairs array<struct<number:int,hash:bigint,n_bytes:bigint>>",
     )
-    pairs = materialize(listed, "line-pairs")
+    listed = materialize(listed, "line-chunks")
+    chunks = listed.where("number IS NOT NULL")
     place = F.struct("unknown", *KEY, "number")
-    repeated = (
-        pairs.groupBy("hash", "n_bytes")
-        .agg(F.min(place).alias("first"), F.max(place).alias("last"))
-        .where(F.col("first") != F.col("last"))
-        .select(F.col("hash").alias("h"), F.col("n_bytes").alias("b"), "first")
+
+    def repeated(units: DataFrame) -> DataFrame:
+        found = units.groupBy("hash", "n_bytes").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+        found = found.where(F.col("first") != F.col("last"))
+        return found.select(F.col("hash").alias("h"), F.col("n_bytes").alias("b"), "first")
+
+    same = (F.col("hash") == F.col("h")) & (F.col("n_bytes") == F.col("b"))
+    many = materialize(repeated(chunks.drop("pairs")), "repeated-chunks")
+    own = [*[F.col(c) for c in ("unknown", *KEY)], F.col("number"), F.col("hash"), F.col("n_bytes")]
+    first = F.when(place != F.col("first"), F.col("first")).alias("first")
+    # the pairs of a chunk that is not the first one like it go with the chunk
+    judged = chunks.join(many, same, "left").select(*own, first, F.when(first.isNull(), F.col("pairs")).alias("pairs"))
+    judged = materialize(judged, "judged-chunks")
+    whole = judged.where("first IS NOT NULL").dropDuplicates([*KEY, "number"])
+    single = judged.where("first IS NULL").select("unknown", *KEY, "pairs").unionByName(
+        listed.where("number IS NULL").select("unknown", *KEY, "pairs")
     )
+    pairs = materialize(single.select("unknown", *KEY, F.inline("pairs")), "line-pairs")
     # a pair that shares a line with its first occurrence is not another one
     shares = F.struct("unknown", *KEY, (F.col("number") - 1).alias("number")) == F.col("first")
-    later = (
-        pairs.join(repeated, (F.col("hash") == F.col("h")) & (F.col("n_bytes") == F.col("b")))
-        .where((place != F.col("first")) & ~shares)
-        .dropDuplicates([*KEY, "number"])
-    )
+    later = pairs.join(repeated(pairs), same).where((place != F.col("first")) & ~shares)
+    later = later.dropDuplicates([*KEY, "number"])
     # every second pair of a run and its last one hold all its lines
     in_text = Window.partitionBy(*KEY).orderBy("number")
     run = later.withColumn("run", F.col("number") - F.row_number().over(in_text)).withColumn(
@@ -310,28 +410,31 @@ def find_repeated_pairs(rows: DataFrame) -> DataFrame:
     )
     begin = F.min("number").over(Window.partitionBy(*KEY, "run"))
     needed = run.withColumn("begin", begin).where(((F.col("number") - F.col("begin")) % 2 == 0) | F.col("ends"))
-    needed = materialize(needed.select(*KEY, "number", "hash", "n_bytes", "first"), "pairs-to-fetch")
+    wanted = ["whole", *KEY, "number", "hash", "n_bytes", "first"]
+    needed = needed.withColumn("whole", F.lit(False)).select(*wanted).unionByName(
+        whole.withColumn("whole", F.lit(True)).select(*wanted)
+    )
+    needed = materialize(needed, "units-to-fetch")
     firsts = materialize(
-        needed.select("first")
+        needed.select("whole", "first")
         .distinct()
         .groupBy(F.col("first.key_id").alias("key_id"), F.col("first.key_text").alias("key_text"))
-        .agg(F.collect_list("first.number").alias("numbers")),
-        "first-pairs",
+        .agg(F.collect_list(F.struct("whole", F.col("first.number").alias("number"))).alias("numbers")),
+        "first-units",
     )
     owners, others = bring_back(rows.select(*KEY, "text"), firsts)
     if others is None:
         owners = owners.where("numbers IS NOT NULL")
     content = map_batches(
-        owners.select("text", "numbers"),
-        partial(fetch_chunks, find=find_pairs),
-        "hash bigint, n_bytes bigint, bytes binary",
+        owners.select("text", "numbers"), fetch_units, "whole boolean, hash bigint, n_bytes bigint, bytes binary"
     )
-    content = content.select(F.col("hash").alias("of"), F.col("n_bytes").alias("of_bytes"), "bytes")
-    content = content.dropDuplicates(["of", "of_bytes"])  # rows of one document have the same
-    compared = needed.select(*KEY, "number", "hash", "n_bytes").join(
-        content, (F.col("hash") == F.col("of")) & (F.col("n_bytes") == F.col("of_bytes"))
+    content = content.select(
+        F.col("whole").alias("of_whole"), F.col("hash").alias("of"), F.col("n_bytes").alias("of_bytes"), "bytes"
     )
-    return compared.groupBy(*KEY).agg(F.collect_list(F.struct("number", "bytes")).alias("sent"))
+    content = content.dropDuplicates(["of_whole", "of", "of_bytes"])  # rows of one document have the same
+    same = (F.col("hash") == F.col("of")) & (F.col("n_bytes") == F.col("of_bytes"))
+    compared = needed.drop("first").join(content, same & (F.col("whole") == F.col("of_whole")))
+    return compared.groupBy(*KEY).agg(F.collect_list(F.struct("whole", "number", "bytes")).alias("sent"))
 
 
 def remove_repeats(
@@ -343,7 +446,7 @@ def remove_repeats(
     repeats = materialize(find(rows), "chunks-to-compare")
     # the text is in the row, and goes to Python once
     decided, others = bring_back(rows.select(*KEY, "row"), repeats)
-    untouched = F.lit(None).cast("array<struct<number:int,bytes:binary>>").alias("sent")
+    untouched = F.lit(None).cast(repeats.schema["sent"].dataType).alias("sent")
     result = T.StructType(
         [T.StructField("row", docs.select(F.struct(*docs.columns).alias("row")).schema[0].dataType)]
         + [T.StructField("text", T.StringType())]
@@ -358,7 +461,7 @@ def remove_repeats(
 
 def dedup_runs(docs: DataFrame) -> DataFrame:
     """``row`` (the document as it was), the new ``text``, and counts of lines and runs removed."""
-    return remove_repeats(docs, find_repeated_pairs, remove_pairs)
+    return remove_repeats(docs, find_repeated_runs, remove_units)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
