@@ -17,7 +17,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     smaller = F.least("a", "b").alias("low")
     links = links.where("a != b").select(F.greatest("a", "b").alias("high"), smaller).distinct()
-    links = materialize(links, "links")
+    links = materialize(links, "links", small=True)
     while True:
         both = links.unionByName(links.select(F.col("low").alias("high"), F.col("high").alias("low")))
         least = (
@@ -32,13 +32,13 @@ def connected_components(links: DataFrame) -> DataFrame:
             .where("high != low")
             .distinct()
         )
-        large = materialize(large, "large-star")
+        large = materialize(large, "large-star", small=True)
         least = large.groupBy(F.col("high").alias("centre")).agg(F.min("low").alias("least"))
         moved = large.join(least, F.col("high") == F.col("centre"))
         small = moved.select("high", F.col("least").alias("low")).unionByName(
             moved.where("low != least").select(F.col("low").alias("high"), F.col("least").alias("low"))
         )
-        small = materialize(small.where("high != low").distinct(), "small-star")
+        small = materialize(small.where("high != low").distinct(), "small-star", small=True)
         # stable when every node has one link and what it hangs on hangs on nothing
         tops = small.select(F.col("low").alias("top")).distinct()
         chained = small.join(tops, F.col("high") == F.col("top"), "left_semi")

@@ -345,7 +345,7 @@ def find_repeats(rows: DataFrame) -> DataFrame:
         .agg(F.min(place).alias("first"), F.max(place).alias("last"))
         .where(F.col("first") != F.col("last"))
     )
-    repeated = materialize(repeated.select("hash", "n_bytes", "first"), "repeated-chunks")
+    repeated = materialize(repeated.select("hash", "n_bytes", "first"), "repeated-chunks", small=True)
     firsts = materialize(
         repeated.groupBy(F.col("first.key_id").alias("key_id"), F.col("first.key_text").alias("key_text")).agg(
             F.collect_list("first.number").alias("numbers")
@@ -388,12 +388,12 @@ def find_repeated_runs(rows: DataFrame) -> DataFrame:
         return found.select(F.col("hash").alias("h"), F.col("n_bytes").alias("b"), "first")
 
     same = (F.col("hash") == F.col("h")) & (F.col("n_bytes") == F.col("b"))
-    many = materialize(repeated(chunks.drop("pairs")), "repeated-chunks")
+    many = materialize(repeated(chunks.drop("pairs")), "repeated-chunks", small=True)
     own = [*[F.col(c) for c in ("unknown", *KEY)], F.col("number"), F.col("hash"), F.col("n_bytes")]
     first = F.when(place != F.col("first"), F.col("first")).alias("first")
     # the pairs of a chunk that is not the first one like it go with the chunk
     judged = chunks.join(many, same, "left").select(*own, first, F.when(first.isNull(), F.col("pairs")).alias("pairs"))
-    judged = materialize(judged, "judged-chunks")
+    judged = materialize(judged, "judged-chunks", small=True)
     whole = judged.where("first IS NOT NULL").dropDuplicates([*KEY, "number"])
     single = judged.where("first IS NULL").select("unknown", *KEY, "pairs").unionByName(
         listed.where("number IS NULL").select("unknown", *KEY, "pairs")
@@ -414,13 +414,14 @@ def find_repeated_runs(rows: DataFrame) -> DataFrame:
     needed = needed.withColumn("whole", F.lit(False)).select(*wanted).unionByName(
         whole.withColumn("whole", F.lit(True)).select(*wanted)
     )
-    needed = materialize(needed, "units-to-fetch")
+    needed = materialize(needed, "units-to-fetch", small=True)
     firsts = materialize(
         needed.select("whole", "first")
         .distinct()
         .groupBy(F.col("first.key_id").alias("key_id"), F.col("first.key_text").alias("key_text"))
         .agg(F.collect_list(F.struct("whole", F.col("first.number").alias("number"))).alias("numbers")),
         "first-units",
+        small=True,
     )
     owners, others = bring_back(rows.select(*KEY, "text"), firsts)
     if others is None:

@@ -316,7 +316,7 @@ def finer_buckets(left: DataFrame, lists: DataFrame) -> DataFrame:
     )
     level = materialize(dealt.select("node", "class", "of", F.xxhash64("of").alias("bucket")), "finer-buckets")
     several = level.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-    several = materialize(several.where("low != high").select("bucket"), "finer-open")
+    several = materialize(several.where("low != high").select("bucket"), "finer-open", small=True)
     # written, as it is read for the representatives, the comparisons and what they leave
     return materialize(level.join(several, "bucket", "left_semi"), "finer-members")
 
@@ -328,21 +328,21 @@ def links_left(members: DataFrame, classes: DataFrame, texts: DataFrame, pair_by
         members.select("bucket", "node").join(names, F.col("node") == F.col("named")).drop("named"), "placed-members"
     )
     several = placed.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-    several = materialize(several.where("low != high").select("bucket"), "unsettled-buckets")
+    several = materialize(several.where("low != high").select("bucket"), "unsettled-buckets", small=True)
     left = placed.join(several, "bucket", "left_semi")
     sizes = texts.select(F.col("node").alias("of"), (F.octet_length("text") + TEXT_BYTES).cast("bigint").alias("size"))
     left = left.join(sizes, F.col("node") == F.col("of")).drop("of")
     # blocks by class, so that those of a large class are not paired with each other
     ahead = F.sum("size").over(Window.partitionBy("bucket").orderBy("class", "node")) - F.col("size")
     left = left.withColumn("block", F.floor(ahead / pair_bytes).cast("int")).drop("size")
-    left = materialize(left, "blocks-left")
+    left = materialize(left, "blocks-left", small=True)
     ends = left.groupBy("bucket", "block").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-    ends = materialize(ends, "ends-of-blocks")
+    ends = materialize(ends, "ends-of-blocks", small=True)
     first = ends.select("bucket", F.col("block").alias("i"), F.col("low").alias("low_i"))
     second = ends.select(F.col("bucket").alias("of"), F.col("block").alias("j"), F.col("high").alias("high_j"))
     pairs = first.join(second, F.col("bucket") == F.col("of")).where("i <= j AND low_i != high_j")
     sides = pairs.select("bucket", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    met = materialize(sides, "pairs-of-blocks").join(left, ["bucket", "block"]).join(texts, "node")
+    met = materialize(sides, "pairs-of-blocks", small=True).join(left, ["bucket", "block"]).join(texts, "node")
     met = met.select("bucket", "i", "j", "block", "class", "text").repartition("bucket", "i", "j")
     return map_batches(met.sortWithinPartitions("bucket", "i", "j"), compare_blocks, "a binary, b binary")
 
@@ -352,7 +352,7 @@ def settle(members: DataFrame, texts: DataFrame, levels: int = LEVELS, pair_byte
 
     By representatives of finer and finer buckets, and exactly where several classes are left in a bucket.
     """
-    classes = materialize(members.select("node", F.col("node").alias("class")).distinct(), "classes")
+    classes = materialize(members.select("node", F.col("node").alias("class")).distinct(), "classes", small=True)
     level = members.select("bucket", "node", F.col("node").alias("class"), F.array("bucket").alias("of"), "weight")
     rank = F.col("weight")
     for depth in range(1, levels + 1):
@@ -361,6 +361,7 @@ def settle(members: DataFrame, texts: DataFrame, levels: int = LEVELS, pair_byte
         chosen = materialize(
             chosen.select("bucket", F.col("best.node").alias("a"), F.col("best.class").alias("class_a")),
             "representatives",
+            small=True,
         )
         met = level.join(chosen, "bucket").where("class != class_a")
         met = met.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
@@ -369,28 +370,28 @@ def settle(members: DataFrame, texts: DataFrame, levels: int = LEVELS, pair_byte
             ends = classes.select(F.col("node").alias("end"), F.col("class").alias(f"class_{side}"))
             links = links.join(ends, F.col(side) == F.col("end")).drop("end")
         links = links.select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
-        merged = materialize(connected_components(links), "merged-classes")
-        classes = materialize(renamed_classes(classes, "class", merged), "classes")
+        merged = materialize(connected_components(links), "merged-classes", small=True)
+        classes = materialize(renamed_classes(classes, "class", merged), "classes", small=True)
         if depth == levels:
             break
         rest = level.select("bucket", "node", "class", "of").join(
             renamed_classes(chosen, "class_a", merged), "bucket"
         )
         rest = renamed_classes(rest, "class", merged).where("class != class_a")
-        rest = materialize(rest.select("bucket", "node", "class", "of"), "not-linked")
+        rest = materialize(rest.select("bucket", "node", "class", "of"), "not-linked", small=True)
         several = rest.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"))
-        several = materialize(several.where("low != high").select("bucket"), "open-buckets")
+        several = materialize(several.where("low != high").select("bucket"), "open-buckets", small=True)
         if several.isEmpty():
             break
         left = rest.join(several, "bucket", "left_semi").select("node", "class", "of")
         if depth == 1:
             lists = left.groupBy("node").agg(F.sort_array(F.collect_set(F.get("of", 0))).alias("open"))
-            lists = materialize(lists, "open-lists")
+            lists = materialize(lists, "open-lists", small=True)
         # any node may represent a finer bucket: another one in each
         level, rank = finer_buckets(left, lists), F.xxhash64("bucket", "node")
-    links = materialize(links_left(members, classes, texts, pair_bytes), "links-left")
-    merged = materialize(connected_components(links), "merged-classes")
-    return materialize(renamed_classes(classes, "class", merged), "classes")
+    links = materialize(links_left(members, classes, texts, pair_bytes), "links-left", small=True)
+    merged = materialize(connected_components(links), "merged-classes", small=True)
+    return materialize(renamed_classes(classes, "class", merged), "classes", small=True)
 
 
 def classify(rows: DataFrame) -> DataFrame:
@@ -410,15 +411,15 @@ def classify(rows: DataFrame) -> DataFrame:
     ).dropDuplicates(["node"])
     members = stands.select("node", *KEY, F.explode("bands").alias("bucket"))
     crowded = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialize(members.join(crowded, "bucket"), "bucket-members")
+    members = materialize(members.join(crowded, "bucket"), "bucket-members", small=True)
     compared = members.groupBy("node", *KEY).agg(F.sum("n").alias("weight"))
-    compared = materialize(compared, "compared-nodes")
+    compared = materialize(compared, "compared-nodes", small=True)
     found, others = bring_back(rows.select(*KEY, "text"), compared.select("node", *KEY))
     if others is None:
         found = found.where("node IS NOT NULL")
     texts = materialize(found.select("node", "text").dropDuplicates(["node"]), "texts-to-compare")
     weighted = members.select("bucket", "node").join(compared.select("node", "weight"), "node")
-    classes = settle(materialize(weighted, "weighted-members"), texts)
+    classes = settle(materialize(weighted, "weighted-members", small=True), texts)
     named = signed.select("unknown", *KEY, "node").join(classes, "node", "left")
     # a text without words has no node and is named by its key, longer than a node's name
     alone = F.concat_ws("|", F.lit("without words"), "unknown", *KEY).cast("binary")
@@ -434,7 +435,7 @@ def find_near_duplicates(docs: DataFrame) -> DataFrame:
         F.min(best).alias("best"), F.count(F.lit(1)).alias("class_size")
     )
     # written, so that the members of a very large class can be split in the join
-    classes = materialize(classes, "class-sizes")
+    classes = materialize(classes, "class-sizes", small=True)
     joined = members.join(classes.withColumnRenamed("class", "of"), F.col("class") == F.col("of"))
     return joined.select(
         "unknown",
@@ -452,12 +453,12 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     Of rows with equal id and text, one stays.
     """
     rows = keyed(docs)
-    judged = materialize(find_near_duplicates(docs).where("worded"), "near-verdicts")
+    judged = materialize(find_near_duplicates(docs).where("worded"), "near-verdicts", small=True)
     dropped = judged.where("NOT kept").select(*KEY, F.lit(True).alias("dropped")).distinct()
-    decided, others = bring_back(rows, materialize(dropped, "near-dropped"))
+    decided, others = bring_back(rows, materialize(dropped, "near-dropped", small=True))
     left = others if others is not None else decided.where("dropped IS NULL")
     repeated = judged.where("kept").groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    repeated = materialize(repeated, "near-repeated")
+    repeated = materialize(repeated, "near-repeated", small=True)
     if not repeated.isEmpty():
         decided, others = bring_back(left.select(*KEY, "row"), repeated)
         order = Window.partitionBy(*KEY).orderBy(F.xxhash64(F.to_json("row")))
